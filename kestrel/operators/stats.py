@@ -159,3 +159,44 @@ def confusion_table(df: DataFrame, label: str = "label", prediction: str = "pred
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# ---------------------------------------------------------------- V1 exact quantiles
+def exact_quantiles(long: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation per group, from a distributed sort.
+
+    Global positions come from a range-partitioned sort (no group is gathered in one task);
+    only the two rows around each wanted rank are kept and interpolated."""
+    from kestrel.operators.table import dense_positions
+
+    ranked = dense_positions(long.select(group, value), [group, value])
+    bounds = ranked.groupBy(group).agg(F.min("pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    j = ranked.join(F.broadcast(bounds), group).withColumn("_r", F.col("pos") - F.col("_start"))
+    outs = []
+    for p in probs:
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        sel = j.filter((F.col("_r") == lo) | (F.col("_r") == hi)).groupBy(group).agg(
+            F.first(h).alias("_h"),
+            F.max(F.when(F.col("_r") == lo, F.col(value))).alias("_lo"),
+            F.max(F.when(F.col("_r") == hi, F.col(value))).alias("_hi"),
+        )
+        outs.append(
+            sel.select(group, F.lit(float(p)).alias("prob"),
+                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))).alias("value"))
+        )
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+def feature_profile(df: DataFrame, features: str = "features") -> DataFrame:
+    """V1: per feature min, quartiles and max (instead of plotting every point)."""
+    long = df.select(F.posexplode(features).alias("feature_idx", "value"))
+    q = exact_quantiles(long, "feature_idx", "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return q.groupBy("feature_idx").pivot("prob", [0.0, 0.25, 0.5, 0.75, 1.0]).agg(F.first("value")).select(
+        "feature_idx",
+        F.col("`0.0`").alias("min"), F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
+        F.col("`0.75`").alias("q3"), F.col("`1.0`").alias("max"),
+    )

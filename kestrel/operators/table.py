@@ -103,3 +103,28 @@ def stack_parts(train: DataFrame, test: DataFrame | None, part_col: str = "part"
     if "label" in tr.columns and "label" not in te.columns:
         te = te.withColumn("label", F.lit(None).cast("double"))
     return tr.unionByName(te)
+
+
+def dense_positions(df: DataFrame, order_cols: list[str], out: str = "pos") -> DataFrame:
+    """0-based global position in ``order_cols`` order without a single-partition window.
+
+    A range-partitioned sort is persisted so that both passes see the same partitions; one row
+    per partition (count, first id) gives each partition's offset through a small running sum,
+    broadcast back to the rows."""
+    from pyspark import StorageLevel
+    from pyspark.sql.window import Window
+
+    s = (
+        df.orderBy(*order_cols)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    parts = s.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_first", "_off")
+    return (
+        s.join(F.broadcast(offs), "_pid")
+        .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+        .drop("_pid", "_mid", "_first", "_off")
+    )
