@@ -37,6 +37,14 @@ class SplitThresholds:
     seed: int
     # {(it, label): (quota, hash, row_id)}
     bounds: dict
+    class_counts: dict = None
+
+    def train_counts(self) -> dict:
+        """{split: {class: training rows}} -- known from the quotas, no pass needed."""
+        out = {}
+        for (it, lab), (q, _, _) in self.bounds.items():
+            out.setdefault(it, {})[lab] = self.class_counts[lab] - q
+        return out
 
     def is_val(self, it: int, label: str = "label", row_id: str = "row_id") -> Column:
         h = split_key(self.seed, it, row_id)
@@ -118,7 +126,7 @@ def fit_split(df: DataFrame, n_iter: int, test_size: float = 0.3, seed: int = 0,
         bounds[(int(r["it"]), lab)] = (quotas[lab], r["h"], int(r["rid"]))
     if len(bounds) != len(need):
         raise RuntimeError("split thresholds incomplete")
-    return SplitThresholds(n_iter=n_iter, seed=seed, bounds=bounds)
+    return SplitThresholds(n_iter=n_iter, seed=seed, bounds=bounds, class_counts=class_n)
 
 
 def _in_prefix(prefix: dict, plen: int) -> Column:

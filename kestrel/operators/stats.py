@@ -51,9 +51,10 @@ def _sum_blobs_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"blob": [acc.tobytes()]})
 
 
-def sum_partials(partials: DataFrame, size: int) -> np.ndarray:
+def sum_partials(partials: DataFrame, size: int, n_parts: int | None = None) -> np.ndarray:
     """Sum the float64 blobs of ``partials`` (one per input partition) into one vector."""
-    n_parts = partials.rdd.getNumPartitions()
+    if n_parts is None:
+        n_parts = partials.rdd.getNumPartitions()
     if n_parts * size * 8 > DIRECT_COLLECT_BYTES:
         groups = max(2, int(math.sqrt(n_parts)))
         partials = (

@@ -9,10 +9,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+BLAS_ENV = ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kestrel") -> SparkSession:
-    """Session for tests and the bench. On a cluster, build your own session instead."""
+    """Session for tests and the bench. On a cluster, build your own session instead.
+
+    Every task runs its own NumPy: one BLAS thread per Python worker, so the cores are shared by
+    tasks rather than oversubscribed (set the same ``spark.executorEnv.*`` on a cluster)."""
+    for k in BLAS_ENV:
+        os.environ.setdefault(k, "1")
+    b = SparkSession.builder
+    for k in BLAS_ENV:
+        b = b.config(f"spark.executorEnv.{k}", "1")
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        b.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.default.parallelism", str(shuffle_partitions))
