@@ -21,7 +21,7 @@ from kestrel.functions.arrow import column, list_to_matrix, matrix_to_list
 from kestrel.operators.stats import BLOB_SCHEMA, gram, partial_map, sample_gram, sum_partials
 
 RETAIN_TOL = 1e-9
-WIDE_MAX_ROWS = 20_000
+WIDE_MAX_ROWS = 5_000  # the n x n sample Gram is decomposed on the driver
 
 
 def _fix_signs(v: np.ndarray) -> np.ndarray:
