@@ -671,6 +671,43 @@ def q_run_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return run_record_frame(spark, res.record)
 
 
+# ---------------------------------------------------------------- A8 + F6, M2
+def q_mse_logistic_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 with F6: MSE of P(class 1) = logistic(0.02 * value - 3) per split and part."""
+    from kestrel.functions.arrays import logistic
+    from kestrel.operators.metrics import mse
+
+    lg = _split_long(T.events_features(spark, sf), N_SPLITS)
+    lg = lg.withColumn("part", F.when(F.col("is_val"), "cv").otherwise("tr")).withColumn(
+        "prob", logistic(dot_literal("features", [0.02], -3.0)))
+    m = mse(lg, ["iter"])
+    return m.select(F.col("iter").cast("int").alias("iter"), "part", r6(F.col("mse")).alias("mse"))
+
+
+SQL_MSE_LOGISTIC_EVENTS = f"""WITH {SQL_EVENTS}, {sql_split(N_SPLITS)}
+SELECT CAST(sp.iter AS INTEGER) AS iter, CASE WHEN sp.is_val THEN 'cv' ELSE 'tr' END AS part,
+       round(avg(power(sp.label - 1.0 / (1.0 + exp(-(f.features[1] * 0.02 - 3.0))), 2)), 6) + 0.0 AS mse
+FROM sp JOIN f ON sp.row_id = f.row_id GROUP BY 1, 2"""
+
+
+def q_scaler_train_to_test_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: log10 + standardise fitted on the labelled documents, applied to the unlabelled ones."""
+    d = T.documents_with_parts(spark, sf)
+    sc = Scaler(standardise=True, log10=True).fit(table.part(d, "train"))
+    out = sc.transform(table.part(d, "test"))
+    return out.select("row_id", r6(F.get("features", 0)).alias("value"))
+
+
+SQL_SCALER_TRAIN_TO_TEST_DOCUMENTS = """WITH d AS (
+  SELECT CAST(d.doc_id AS BIGINT) AS row_id, l.doc_id IS NOT NULL AS train,
+         CASE WHEN d.n_chars > 0 THEN log10(d.n_chars) WHEN d.n_chars = 0 THEN CAST('-inf' AS DOUBLE)
+              ELSE CAST('nan' AS DOUBLE) END AS v
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM d WHERE train)
+SELECT row_id, round((v - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS value
+FROM d CROSS JOIN m WHERE NOT train"""
+
+
 QUERIES = {
     "s3_shape_embeddings": (q_shape, SQL_SHAPE),
     "a1_class_balance_embeddings": (q_balance_embeddings, SQL_BALANCE_EMB),
@@ -702,6 +739,8 @@ QUERIES = {
     "v1_feature_profile_orders": (q_feature_profile_orders, SQL_FEATURE_PROFILE_ORDERS),
     "s4_predictions_documents": (q_predictions_documents, SQL_PREDICTIONS_DOCUMENTS),
     "s1_j1_csv_roundtrip_orders": (q_csv_roundtrip_orders, SQL_CSV_ROUNDTRIP_ORDERS),
+    "a8_mse_logistic_events": (q_mse_logistic_events, SQL_MSE_LOGISTIC_EVENTS),
+    "m2_scaler_train_to_test_documents": (q_scaler_train_to_test_documents, SQL_SCALER_TRAIN_TO_TEST_DOCUMENTS),
     # fitted stages: rows-only here, invariants and brute force in tests/
     "m4_pca_spectrum_embeddings": (q_pca_spectrum_embeddings, None),
     "m7_pca_transform_embeddings": (q_pca_transform_embeddings, None),
