@@ -112,15 +112,48 @@ def moments_arrays(df: DataFrame, features: str = "features") -> tuple[np.ndarra
 
 
 # ---------------------------------------------------------------- A11 / A12 Gram
+GRAM_TILE = 1024  # feature rows per tile once d exceeds it
+
+
 def gram(df: DataFrame, d: int, features: str = "features") -> np.ndarray:
-    """Uncentred X^T X (d x d), summed from per-partition BLAS products."""
+    """Uncentred X^T X (d x d), summed from per-partition BLAS products.
+
+    Up to ``GRAM_TILE`` features each task emits one d*d blob. Wider data emits one blob per
+    block of ``GRAM_TILE`` rows of X^T X keyed by tile, summed per tile by a keyed reduction,
+    so no task holds more than GRAM_TILE * d partial sums per key."""
+    if d <= GRAM_TILE:
+
+        def part(batch: pa.RecordBatch) -> np.ndarray:
+            x = list_to_matrix(column(batch, features), d)
+            return (x.T @ x).reshape(-1)
 
-    def part(batch: pa.RecordBatch) -> np.ndarray:
-        x = list_to_matrix(column(batch, features), d)
-        return (x.T @ x).reshape(-1)
+        partials = df.select(features).mapInArrow(partial_map(part, d * d), BLOB_SCHEMA)
+        g = sum_partials(partials, d * d).reshape(d, d)
+        return (g + g.T) / 2.0
+    tiles = [(t, min(t + GRAM_TILE, d)) for t in range(0, d, GRAM_TILE)]
+
+    def run(batches):
+        acc = [np.zeros((hi - lo, d)) for lo, hi in tiles]
+        seen = False
+        for b in batches:
+            if b.num_rows:
+                x = list_to_matrix(column(b, features), d)
+                for k, (lo, hi) in enumerate(tiles):
+                    acc[k] += x[:, lo:hi].T @ x
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(range(len(tiles))), pa.int32()), pa.array([a.tobytes() for a in acc], pa.binary())],
+                ["tile", "blob"])
 
-    partials = df.select(features).mapInArrow(partial_map(part, d * d), BLOB_SCHEMA)
-    g = sum_partials(partials, d * d).reshape(d, d)
+    summed = (
+        df.select(features).mapInArrow(run, "tile int, blob binary")
+        .groupBy("tile").applyInPandas(lambda pdf: _sum_blobs_pdf(pdf).assign(tile=pdf["tile"].iloc[0]), "blob binary, tile int")
+    )
+    g = np.zeros((d, d))
+    for r in summed.collect():
+        lo, hi = tiles[r["tile"]]
+        g[lo:hi] = np.frombuffer(r["blob"], dtype=np.float64).reshape(hi - lo, d)
     return (g + g.T) / 2.0
 
 
@@ -170,31 +203,29 @@ def exact_quantiles(long: DataFrame, group: str, value: str, probs: list[float])
     only the two rows around each wanted rank are kept and interpolated."""
     from kestrel.operators.table import dense_positions
 
-    ranked = dense_positions(long.select(group, value), [group, value])
-    bounds = ranked.groupBy(group).agg(F.min("pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(F.broadcast(bounds), group).withColumn("_r", F.col("pos") - F.col("_start"))
-    outs = []
-    for p in probs:
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        sel = j.filter((F.col("_r") == lo) | (F.col("_r") == hi)).groupBy(group).agg(
-            F.first(h).alias("_h"),
-            F.max(F.when(F.col("_r") == lo, F.col(value))).alias("_lo"),
-            F.max(F.when(F.col("_r") == hi, F.col(value))).alias("_hi"),
-        )
-        outs.append(
-            sel.select(group, F.lit(float(p)).alias("prob"),
-                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))).alias("value"))
-        )
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    tie = [c for c in long.columns if c not in (group, value)][:1]  # e.g. row_id: spreads runs of equal values
+    ranked = dense_positions(long.select(group, value, *tie), [group, value, *tie])
+    # one row per group (bounded by the number of features): where each group starts, its size
+    bounds = ranked.groupBy(group).agg(F.min("pos").alias("_start"), F.count(F.lit(1)).alias("_n")).collect()
+    wanted, plan = set(), []
+    for b in bounds:
+        for p in probs:
+            h = (b["_n"] - 1) * float(p)
+            lo, hi = b["_start"] + math.floor(h), b["_start"] + math.ceil(h)
+            wanted.update((lo, hi))
+            plan.append((b[group], float(p), lo, hi, h - math.floor(h)))
+    spark = long.sparkSession
+    pos_df = spark.createDataFrame([(int(w),) for w in sorted(wanted)], "pos bigint")
+    vals = {r["pos"]: r[value] for r in ranked.join(F.broadcast(pos_df), "pos").select("pos", value).collect()}
+    rows = [(g, p, float(vals[lo] + (vals[hi] - vals[lo]) * frac)) for g, p, lo, hi, frac in plan]
+    gtype = long.schema[group].dataType.simpleString()
+    return spark.createDataFrame(rows, f"{group} {gtype}, prob double, value double")
 
 
 def feature_profile(df: DataFrame, features: str = "features") -> DataFrame:
     """V1: per feature min, quartiles and max (instead of plotting every point)."""
-    long = df.select(F.posexplode(features).alias("feature_idx", "value"))
+    keep = ["row_id"] if "row_id" in df.columns else []
+    long = df.select(*keep, F.posexplode(features).alias("feature_idx", "value"))
     q = exact_quantiles(long, "feature_idx", "value", [0.0, 0.25, 0.5, 0.75, 1.0])
     return q.groupBy("feature_idx").pivot("prob", [0.0, 0.25, 0.5, 0.75, 1.0]).agg(F.first("value")).select(
         "feature_idx",

@@ -67,3 +67,18 @@ def test_dense_positions(spark):
     pos = table.dense_positions(df, ["k"]).collect()
     ks = sorted(r.k for r in pos)
     assert sorted((r.pos, r.k) for r in pos) == list(enumerate(ks))
+
+
+def test_gram_tiled_path(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((120, 7))
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(120)]).repartition(3)
+    monkeypatch.setattr(stats, "GRAM_TILE", 3)
+    assert np.allclose(stats.gram(df, 7), x.T @ x, atol=1e-10)
+
+
+def test_quantiles_with_a_hot_value(spark):
+    v = np.r_[np.zeros(700), np.arange(1, 301, dtype=float)]
+    df = frame(spark, [(i, 0.0, [float(v[i])]) for i in range(1000)]).repartition(4)
+    r = stats.feature_profile(df).first()
+    assert [r["min"], r.q1, r.median, r.q3, r["max"]] == list(np.quantile(v, [0, 0.25, 0.5, 0.75, 1]))
