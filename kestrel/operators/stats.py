@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.arrow import column, list_to_matrix
 
 BLOB_SCHEMA = "blob binary"
+MAX_CLASSES = 100_000  # bound on the class table that is broadcast in the balance
 # Collect partial blobs directly up to this many bytes; beyond, reduce in a tree first.
 DIRECT_COLLECT_BYTES = 256 << 20
 
@@ -78,10 +79,14 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     spark = df.sparkSession
     counts = df.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.persist()
-    tot = counts.agg(F.sum("_n").alias("total"), F.max("_lab").alias("max_label")).first()
+    tot = counts.agg(F.sum("_n").alias("total"), F.max("_lab").alias("max_label"),
+                     F.count(F.lit(1)).alias("n_labels")).first()
     if tot["total"] is None or tot["max_label"] is None:
         counts.unpersist()
         raise ValueError("class balance needs at least one labelled row")
+    if tot["n_labels"] > MAX_CLASSES or tot["max_label"] >= MAX_CLASSES:
+        counts.unpersist()
+        raise ValueError(f"{tot['n_labels']} distinct labels up to {tot['max_label']}: not class codes")
     k = int(math.floor(tot["max_label"])) + 1
     classes = spark.range(0, max(k, 0)).select(F.col("id").cast("int").alias("class"))
     out = (
