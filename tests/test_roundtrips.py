@@ -62,3 +62,22 @@ def test_mse_and_best_gamma_and_mask(spark):
     assert select.collect_best(select.best_gamma(g))["gamma"] == 1.0
     t = frame(spark, [(0, 0.0, [1.0, 2.0, 3.0])])
     assert table.keep_mask(t, [True, False, True]).first().features == [1.0, 3.0]
+
+
+def test_run_with_sparse_filter_save_then_load(spark, tmp_path):
+    from kestrel.plans.run import run
+
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((60, 4))
+    y = (x[:, 0] > 0).astype(float)
+    df = frame(spark, [(i, float(y[i]), x[i].tolist()) for i in range(60)])
+    base = {"svm_type": "linear", "pca_flag": False, "skip_model_selection": True, "C": 1.0,
+            "sparse_filtering_flag": True, "n_features_sf": 3, "n_layers_sf": 2, "n_iterations_sf": 3,
+            "n_iterations_performance_estimation": 2, "max_iter": 30}
+    cfg = RunConfig.from_dict({**base, "save_sf_fn": str(tmp_path / "sf"), "dest_path": str(tmp_path / "a")})
+    first = run(spark, cfg, table=df)
+    assert len(first.model["classifier"]["weights"]) == 4 + 6 + 1
+    assert len(first.model["sparse_filter"]["layers"]) == 2
+    cfg2 = RunConfig.from_dict({**base, "load_sf_fn": str(tmp_path / "sf"), "dest_path": str(tmp_path / "b")})
+    second = run(spark, cfg2, table=df)
+    assert np.allclose(first.model["classifier"]["weights"], second.model["classifier"]["weights"], atol=1e-6)
