@@ -415,19 +415,41 @@ SELECT CAST(a.feature_idx AS INTEGER) AS i, CAST(b.feature_idx AS INTEGER) AS j,
 FROM e a JOIN e b ON a.row_id = b.row_id GROUP BY a.feature_idx, b.feature_idx"""
 
 
-def q_sample_gram_nation(spark: SparkSession, sf: str) -> DataFrame:
-    """A12 over ``nation``, whose 25 rows are fixed at every scale factor (the n x n output
-    stays within the stated cap however large the other tables grow)."""
-    s = T.table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("row_id"),
-        F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")).alias("features"))
-    g = stats.sample_gram(s, 5_000)
+N_BUCKETS = 40  # account-balance histogram buckets of width 275 from -1000
+
+
+def nation_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    """Per nation, counts of customers by account-balance bucket: 25 rows x 40 features, derived
+    by an aggregation over the whole customer table (the work grows with it, the rows do not)."""
+    c = T.table(spark, sf, "customer")
+    b = F.least(F.lit(N_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.col("c_acctbal") + 1000.0) / 275.0).cast("int")))
+    return c.groupBy(F.col("c_nationkey").cast("bigint").alias("row_id")).agg(
+        F.array(*[F.sum(F.when(b == k, 1.0).otherwise(0.0)) for k in range(N_BUCKETS)]).alias("features")
+    ).withColumn("label", F.lit(None).cast("double"))
+
+
+def q_sample_gram_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """X X^T of the per-nation histograms (n = nations, within the stated cap)."""
+    g = stats.sample_gram(nation_histograms(spark, sf), 5_000)
     return g.select("r1", "r2", r6(F.col("value")).alias("value"))
 
 
-SQL_SAMPLE_GRAM_NATION = """SELECT CAST(a.n_nationkey AS BIGINT) AS r1, CAST(b.n_nationkey AS BIGINT) AS r2,
-  round(CAST(a.n_nationkey AS DOUBLE) * b.n_nationkey + CAST(a.n_regionkey AS DOUBLE) * b.n_regionkey, 6) + 0.0 AS value
-FROM nation a CROSS JOIN nation b"""
+SQL_SAMPLE_GRAM_NATIONS = f"""WITH b AS (SELECT c_nationkey AS nk,
+   least({N_BUCKETS - 1}, greatest(0, CAST(floor((c_acctbal + 1000.0) / 275.0) AS INTEGER))) AS bucket FROM customer),
+h AS (SELECT nk, bucket, count(*) AS cnt FROM b GROUP BY nk, bucket),
+n AS (SELECT DISTINCT nk FROM b),
+p AS (SELECT hx.nk AS r1, hy.nk AS r2, sum(CAST(hx.cnt AS DOUBLE) * hy.cnt) AS v
+      FROM h hx JOIN h hy ON hx.bucket = hy.bucket GROUP BY 1, 2)
+SELECT CAST(x.nk AS BIGINT) AS r1, CAST(y.nk AS BIGINT) AS r2, round(coalesce(p.v, 0.0), 6) + 0.0 AS value
+FROM n x CROSS JOIN n y LEFT JOIN p ON p.r1 = x.nk AND p.r2 = y.nk"""
+
+
+def q_wide_pca_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: wide PCA (40 features > 25 rows) of the per-nation histograms."""
+    from kestrel.operators.pca import PCA
+
+    p = PCA(variance_retain=1.0).fit(nation_histograms(spark, sf), N_BUCKETS)
+    return p.spectrum_frame(spark).withColumn("branch", F.lit(p.branch))
 
 
 def q_running_share_embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -730,7 +752,7 @@ QUERIES = {
     "a15_confusion_events": (q_confusion_events, SQL_CONFUSION_EVENTS),
     "w2_gain_selection_orders": (q_gain_selection_orders, SQL_GAIN_SELECTION_ORDERS),
     "a11_gram_embeddings": (q_gram_embeddings, SQL_GRAM_EMB),
-    "a12_sample_gram_nation": (q_sample_gram_nation, SQL_SAMPLE_GRAM_NATION),
+    "a12_sample_gram_nations": (q_sample_gram_nations, SQL_SAMPLE_GRAM_NATIONS),
     "w1_running_share_embeddings": (q_running_share_embeddings, SQL_RUNNING_SHARE_EMB),
     "m12_layer_transform_embeddings": (q_layer_transform_embeddings, SQL_LAYER_TRANSFORM_EMB),
     "a13_a14_layer_norms_embeddings": (q_layer_norms_embeddings, SQL_LAYER_NORMS_EMB),
@@ -744,6 +766,7 @@ QUERIES = {
     # fitted stages: rows-only here, invariants and brute force in tests/
     "m4_pca_spectrum_embeddings": (q_pca_spectrum_embeddings, None),
     "m7_pca_transform_embeddings": (q_pca_transform_embeddings, None),
+    "m5_wide_pca_nations": (q_wide_pca_nations, None),
     "m9_forest_importance_embeddings": (q_forest_importance_embeddings, None),
     "e3_linear_grid_embeddings": (q_linear_grid_embeddings, None),
     "e4_rbf_grid_embeddings": (q_rbf_grid_embeddings, None),
