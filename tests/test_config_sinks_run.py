@@ -52,6 +52,9 @@ def test_run_end_to_end(spark, tmp_path):
     assert rec["01) number of samples dataset"] == 500
     acc = spark.read.option("header", True).csv(f"{tmp_path}/experiments/experiment_{res.run_name}_results/accuracy")
     assert acc.count() == 2
+    opt = {r.metric: float(r.c) for r in res.optimum.collect()}
+    assert set(opt) == {"accuracy", "precision", "recall", "f1"} and opt["accuracy"] == res.C
+    assert res.grid.filter("log10_c = -1.0").count() == 6
 
 
 def test_run_from_csv_with_test_set(spark, tmp_path):
