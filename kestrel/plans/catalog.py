@@ -44,12 +44,12 @@ li AS (SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) A
               sum(l_extendedprice) AS sum_price, avg(l_discount) AS avg_disc, avg(l_tax) AS avg_tax
        FROM lineitem GROUP BY l_orderkey),
 f AS (SELECT CAST(o_orderkey AS BIGINT) AS row_id,
-             CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS label,
+             CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS label,
              [n_lines, sum_qty, sum_price, avg_disc, avg_tax] AS features
       FROM orders JOIN li ON o_orderkey = l_orderkey)"""
 
 SQL_EMB = """
-f AS (SELECT CAST(vec_id AS BIGINT) AS row_id, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS label,
+f AS (SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS DOUBLE) AS label,
              list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features FROM embeddings)"""
 
 SQL_DOCS = """
@@ -58,7 +58,7 @@ f AS (SELECT CAST(l.doc_id AS BIGINT) AS row_id, CAST(l.quality AS DOUBLE) AS la
       FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 SQL_EVENTS = """
-f AS (SELECT CAST(event_id AS BIGINT) AS row_id, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS label,
+f AS (SELECT CAST(event_id AS BIGINT) AS row_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS label,
              [CAST(value AS DOUBLE)] AS features FROM events)"""
 
 SQL_EXPLODE = """e AS (SELECT row_id, label, unnest(generate_series(0, len(features) - 1)) AS feature_idx,
@@ -258,8 +258,8 @@ def _metrics_per_split_events(spark: SparkSession, sf: str) -> DataFrame:
     return metrics_from_counts(counts)
 
 
-SQL_EVENTS_CELLS = """cells AS (SELECT * FROM (VALUES (0, 50.0), (1, 100.0), (2, 200.0)) a(idx_c, c)
-                 CROSS JOIN (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) b(idx_gamma, gamma))"""
+SQL_EVENTS_CELLS = """cells AS (SELECT * FROM (VALUES (0, 50.0::DOUBLE), (1, 100.0::DOUBLE), (2, 200.0::DOUBLE)) a(idx_c, c)
+                 CROSS JOIN (VALUES (0, 0.5::DOUBLE), (1, 1.0::DOUBLE), (2, 2.0::DOUBLE)) b(idx_gamma, gamma))"""
 
 SQL_EVENTS_COUNTS = f"""WITH {SQL_EVENTS}, {sql_split(N_SPLITS)}, {SQL_EVENTS_CELLS},
 sc AS (SELECT sp.iter, sp.label, sp.is_val, cells.*,
@@ -363,8 +363,8 @@ def q_confusion_events(spark: SparkSession, sf: str) -> DataFrame:
     return stats.confusion_table(p)
 
 
-SQL_CONFUSION_EVENTS = """SELECT CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS label,
-       CASE WHEN value - 100.0 > 0 THEN 1.0 ELSE 0.0 END AS prediction, count(*) AS n
+SQL_CONFUSION_EVENTS = """SELECT CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS label,
+       CAST(CASE WHEN value - 100.0 > 0 THEN 1 ELSE 0 END AS DOUBLE) AS prediction, count(*) AS n
 FROM events GROUP BY 1, 2"""
 
 # given prefix scorer over FX2 (weights, intercept): the curve of its first-k-feature models
