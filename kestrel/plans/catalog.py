@@ -738,6 +738,42 @@ SELECT row_id, round((v - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS
 FROM d CROSS JOIN m WHERE NOT train"""
 
 
+# ---------------------------------------------------------------- M7 / M8 with a given basis
+PROJ_K = 3
+
+
+def _given_pca(d: int = 64):
+    from kestrel.operators.pca import PCA
+
+    p = PCA(num_components=PROJ_K)
+    dd, jj = np.meshgrid(np.arange(d), np.arange(PROJ_K), indexing="ij")
+    p.components = np.cos(dd + 3.0 * jj) / 8.0
+    return p
+
+
+def q_projection_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 then M8 with a given basis P: score = X P, reconstruction = score P^T (no centring)."""
+    p = _given_pca()
+    emb = T.embeddings(spark, sf)
+    score = p.transform(emb)
+    back = p.inverse_transform(score)
+    s = score.select("row_id", F.posexplode("features").alias("j", "v")).select(
+        "row_id", F.lit("score").alias("kind"), F.col("j").cast("int").alias("idx"), r6(F.col("v")).alias("value"))
+    r = back.select("row_id", F.posexplode("features").alias("j", "v")).select(
+        "row_id", F.lit("reconstruction").alias("kind"), F.col("j").cast("int").alias("idx"), r6(F.col("v")).alias("value"))
+    return s.unionByName(r)
+
+
+SQL_PROJECTION_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
+p AS (SELECT d.range AS feature_idx, j.range AS j, cos(d.range + 3.0 * j.range) / 8.0 AS w
+      FROM range(64) d CROSS JOIN range({PROJ_K}) j),
+sc AS (SELECT e.row_id, p.j, sum(e.x * p.w) AS v FROM e JOIN p USING (feature_idx) GROUP BY e.row_id, p.j),
+rc AS (SELECT sc.row_id, p.feature_idx, sum(sc.v * p.w) AS v FROM sc JOIN p ON sc.j = p.j GROUP BY sc.row_id, p.feature_idx)
+SELECT row_id, 'score' AS kind, CAST(j AS INTEGER) AS idx, round(v, 6) + 0.0 AS value FROM sc
+UNION ALL
+SELECT row_id, 'reconstruction' AS kind, CAST(feature_idx AS INTEGER) AS idx, round(v, 6) + 0.0 AS value FROM rc"""
+
+
 QUERIES = {
     "s3_shape_embeddings": (q_shape, SQL_SHAPE),
     "a1_class_balance_embeddings": (q_balance_embeddings, SQL_BALANCE_EMB),
@@ -775,6 +811,7 @@ QUERIES = {
     "m4_pca_spectrum_embeddings": (q_pca_spectrum_embeddings, None),
     "m7_pca_transform_embeddings": (q_pca_transform_embeddings, None),
     "m5_wide_pca_nations": (q_wide_pca_nations, None),
+    "m7_m8_projection_embeddings": (q_projection_embeddings, SQL_PROJECTION_EMB),
     "m9_forest_importance_embeddings": (q_forest_importance_embeddings, None),
     "e3_linear_grid_embeddings": (q_linear_grid_embeddings, None),
     "e4_rbf_grid_embeddings": (q_rbf_grid_embeddings, None),
