@@ -774,6 +774,67 @@ UNION ALL
 SELECT row_id, 'reconstruction' AS kind, CAST(feature_idx AS INTEGER) AS idx, round(v, 6) + 0.0 AS value FROM rc"""
 
 
+# ---------------------------------------------------------------- C5 on 64 features; M14 / M15 stack
+def _given_weights(d: int = 64) -> tuple[list, float]:
+    return [float(np.sin(j + 1.0) / 4.0) for j in range(d)], 0.05
+
+
+def q_predict_linear_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """C5 against given weights: score = x . w + b, class 1 when > 0 (a JVM expression)."""
+    from kestrel.plans.model_selection import TrainedModel, predict
+
+    w, b = _given_weights()
+    model = TrainedModel("linear", np.array(w + [b]), 1.0, None, None, True)
+    out = predict(T.embeddings(spark, sf), model)
+    return out.select("row_id", r6(F.col("score")).alias("score"), "prediction")
+
+
+SQL_PREDICT_LINEAR_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
+w AS (SELECT range AS feature_idx, sin(range + 1.0) / 4.0 AS w FROM range(64)),
+sc AS (SELECT e.row_id, sum(e.x * w.w) + 0.05 AS score FROM e JOIN w USING (feature_idx) GROUP BY e.row_id)
+SELECT row_id, round(score, 6) + 0.0 AS score, CAST(CASE WHEN score > 0 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM sc"""
+
+STACK_K = (4, 3)
+
+
+def _given_stack():
+    from kestrel.operators.sparse_filter import SparseFilter, SparseFilterLayer
+
+    l1 = _given_layer()
+    l2 = SparseFilterLayer(n_features=STACK_K[1])
+    dd, jj = np.meshgrid(np.arange(STACK_K[0]), np.arange(STACK_K[1]), indexing="ij")
+    l2.W = np.cos(dd * STACK_K[1] + jj + 2.0) * 0.5
+    l2.b = -0.05 * np.arange(STACK_K[1])
+    return SparseFilter(n_layers=2, n_features=STACK_K[0], layers=[l1, l2])
+
+
+def q_stack_transform_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Both layers' outputs concatenated (M15: depth 1 is the first 4 columns)."""
+    out = _given_stack().transform(T.embeddings(spark, sf), norms="batch", by=None)
+    return _explode_rounded(out.select("row_id", F.col("sf_features").alias("features")))
+
+
+def _sql_layer(src: str, p: str, d: int, k: int, w_expr: str, b_expr: str) -> str:
+    """CTEs for one layer over src(row_id, feature_idx, x), ending in {p}y(row_id, j, y)."""
+    return f"""{p}w AS (SELECT dd.range AS feature_idx, jj.range AS j, {w_expr} AS w, {b_expr} AS b
+      FROM range({d}) dd CROSS JOIN range({k}) jj),
+{p}z AS (SELECT s.row_id, w.j, sum(s.x * w.w) + max(w.b) AS z FROM {src} s JOIN {p}w w USING (feature_idx) GROUP BY s.row_id, w.j),
+{p}s AS (SELECT row_id, j, sqrt(z * z + 1e-8) AS s FROM {p}z),
+{p}n AS (SELECT j, sqrt(sum(s * s) + 1e-8) AS norm FROM {p}s GROUP BY j),
+{p}u AS (SELECT a.row_id, a.j, a.s / n.norm AS u FROM {p}s a JOIN {p}n n USING (j)),
+{p}r AS (SELECT row_id, sqrt(sum(u * u) + 1e-8) AS r FROM {p}u GROUP BY row_id),
+{p}y AS (SELECT u.row_id, u.j, u.u / r.r AS y FROM {p}u u JOIN {p}r r USING (row_id))"""
+
+
+SQL_STACK_TRANSFORM_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
+{_sql_layer("e", "l1", 64, STACK_K[0], f"sin(dd.range * {SF_K} + jj.range + 1.0) * 0.25", "0.1 * jj.range")},
+e2 AS (SELECT row_id, j AS feature_idx, y AS x FROM l1y),
+{_sql_layer("e2", "l2", STACK_K[0], STACK_K[1], f"cos(dd.range * {STACK_K[1]} + jj.range + 2.0) * 0.5", "-0.05 * jj.range")}
+SELECT row_id, CAST(j AS INTEGER) AS feature_idx, round(y, 6) + 0.0 AS value FROM l1y
+UNION ALL
+SELECT row_id, CAST(j + {STACK_K[0]} AS INTEGER) AS feature_idx, round(y, 6) + 0.0 AS value FROM l2y"""
+
+
 QUERIES = {
     "s3_shape_embeddings": (q_shape, SQL_SHAPE),
     "a1_class_balance_embeddings": (q_balance_embeddings, SQL_BALANCE_EMB),
@@ -800,6 +861,8 @@ QUERIES = {
     "w1_running_share_embeddings": (q_running_share_embeddings, SQL_RUNNING_SHARE_EMB),
     "m12_layer_transform_embeddings": (q_layer_transform_embeddings, SQL_LAYER_TRANSFORM_EMB),
     "a13_a14_layer_norms_embeddings": (q_layer_norms_embeddings, SQL_LAYER_NORMS_EMB),
+    "m14_stack_transform_embeddings": (q_stack_transform_embeddings, SQL_STACK_TRANSFORM_EMB),
+    "c5_predict_linear_embeddings": (q_predict_linear_embeddings, SQL_PREDICT_LINEAR_EMB),
     "j6_rbf_kernel_embeddings": (q_rbf_kernel_embeddings, SQL_RBF_KERNEL_EMB),
     "j5_chi2_kernel_orders": (q_chi2_kernel_orders, SQL_CHI2_KERNEL_ORDERS),
     "v1_feature_profile_orders": (q_feature_profile_orders, SQL_FEATURE_PROFILE_ORDERS),
