@@ -42,11 +42,16 @@ def confusion_counts(df: DataFrame, group_cols: Sequence[str], label: str = "lab
     )
 
 
-def metrics_from_counts(counts: DataFrame) -> DataFrame:
+def metrics_from_counts(counts: DataFrame, extra: dict | None = None) -> DataFrame:
     """A3 accuracy, A4 precision, A5 recall, A6 f1 (positive class 1, 0 when undefined),
-    A7 training and validation misclassification rates."""
+    A7 training and validation misclassification rates.
+
+    ``extra`` (H2, pluggable error measures): {name: fn(cols) -> Column}, where ``cols`` maps
+    tp, fp, fn, tn, tr_wrong, tr_n to Columns -- any measure that is a function of the counts."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n_cv = tp + fp + fn + tn
+    cols = {c: F.col(c) for c in ("tp", "fp", "fn", "tn", "tr_wrong", "tr_n")}
+    more = [fn_(cols).alias(name) for name, fn_ in (extra or {}).items()]
     return counts.select(
         "*",
         _ratio(tp + tn, n_cv).alias("accuracy"),
@@ -55,6 +60,7 @@ def metrics_from_counts(counts: DataFrame) -> DataFrame:
         _ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1"),
         _ratio(F.col("tr_wrong"), F.col("tr_n")).alias("tr_err"),
         _ratio(fp + fn, n_cv).alias("cv_err"),
+        *more,
     )
 
 

@@ -34,8 +34,12 @@ STEPS = (1.0, 0.5, 0.1, 0.01)
 FIRST_STEPS = (1.0, 0.1, 0.01, 1e-3)
 
 
-def activate(kind: str, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(act(z), act'(z)) for the shipped activations (H1): soft absolute and logistic."""
+def activate(kind, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(act(z), act'(z)) for the shipped activations (H1): 'soft_absolute', 'logistic', or a
+    pair of vectorised callables (act, derivative) for a custom one."""
+    if isinstance(kind, tuple):
+        fn, dfn = kind
+        return fn(z), dfn(z)
     if kind == "soft_absolute":
         s = np.sqrt(z * z + EPS)
         return s, z / s

@@ -192,6 +192,15 @@ def column_norms(df: DataFrame, features: str = "features", eps: float = 1e-8, b
     )
 
 
+# ---------------------------------------------------------------- S1 NaN policy
+def nan_cells(df: DataFrame, features: str = "features") -> int:
+    """Number of NaN (or null) feature cells: the reader turns empty and non-numeric fields into
+    NaN, and a fit must not start on them."""
+    per_row = F.aggregate(F.col(features), F.lit(0),
+                          lambda acc, x: acc + F.when(x.isNull() | F.isnan(x), 1).otherwise(0))
+    return int(df.agg(F.sum(per_row).alias("n")).first()["n"] or 0)
+
+
 # ---------------------------------------------------------------- A15
 def confusion_table(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n)."""

@@ -89,3 +89,14 @@ def test_entry_and_registry(spark):
     rows = df.collect()
     assert len(rows) == 1 and rows[0].metric == "accuracy"
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_run_rejects_nan_cells(spark, tmp_path):
+    from kestrel.plans.run import run
+
+    (tmp_path / "train.csv").write_text("1,2\n3,\n5,6\n7,8\n")
+    (tmp_path / "labels.csv").write_text("0\n1\n0\n1\n")
+    cfg = RunConfig.from_dict({"training_set_fn": str(tmp_path / "train.csv"), "target_set_fn": str(tmp_path / "labels.csv"),
+                               "svm_type": "linear", "skip_model_selection": True, "C": 1.0, "pca_flag": False})
+    with pytest.raises(ValueError, match="non-numeric"):
+        run(spark, cfg, write=False)

@@ -67,3 +67,22 @@ def test_cli_parses_and_runs(spark, tmp_path):
     (tmp_path / "run.json").write_text(json.dumps(cfg))
     main(["--configuration_filename", str(tmp_path / "run.json")])
     assert spark.read.json(str(tmp_path / "out" / "experiments" / "runs")).count() == 1
+
+
+def test_pluggable_estimator_and_measures(spark):
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((150, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
+    df = frame(spark, [(i, float(y[i]), x[i].tolist()) for i in range(150)])
+    balanced_err = {"balanced_error": lambda c: (c["fp"] / (c["fp"] + c["tn"]) + c["fn"] / (c["fn"] + c["tp"])) / 2}
+    res = ms.evaluate_estimator(df, lambda reg: LogisticRegression(regParam=reg, maxIter=50), [0.0, 10.0], n_iter=2,
+                                seed=3, probability=True, extra=balanced_err)
+    g = res.grid.orderBy("idx_c").collect()
+    assert g[0].accuracy > 0.85 and g[0].cv_mse < g[1].cv_mse
+    assert 0.0 <= g[0].balanced_error <= 0.2
+    svc = ms.evaluate_estimator(df, lambda c: LinearSVC(regParam=c, maxIter=30), [0.01], n_iter=2, seed=3)
+    assert svc.grid.first().accuracy > 0.85
+    assert svc.per_split.filter(F.col("tr_n") > 0).count() == 2

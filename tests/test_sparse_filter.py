@@ -64,3 +64,21 @@ def test_stack_concatenates_layers(xdf):
     assert len(sf.sub_networks()) == 2
     again = SparseFilter.from_dict(sf.to_dict())
     assert np.allclose(again.layers[1].W, sf.layers[1].W)
+
+
+def test_custom_activation_gradient(xdf):
+    x, df = xdf
+    act = (np.tanh, lambda z: 1.0 - np.tanh(z) ** 2)
+    layer = SparseFilterLayer(n_features=2, activation=act)
+    rng = np.random.default_rng(17)
+    theta = rng.standard_normal(6 * 2 + 2)
+
+    def obj(t):
+        s = np.tanh(x @ t[:12].reshape(6, 2) + t[12:])
+        u = s / np.sqrt((s * s).sum(0) + 1e-8)
+        return (u / np.sqrt((u * u).sum(1) + 1e-8)[:, None]).sum()
+
+    (f, g), = layer.evaluate(df, 6, [theta])[0]
+    assert f == pytest.approx(obj(theta))
+    num = np.array([(obj(theta + e) - obj(theta - e)) / 2e-6 for e in np.eye(len(theta)) * 1e-6])
+    assert np.allclose(g, num, atol=1e-5)
