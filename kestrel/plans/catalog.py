@@ -835,6 +835,25 @@ UNION ALL
 SELECT row_id, CAST(j + {STACK_K[0]} AS INTEGER) AS feature_idx, round(y, 6) + 0.0 AS value FROM l2y"""
 
 
+def q_sweep_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """M16 + S5 + S6: sparse-filter sweep over all documents (labelled = train, the rest = test;
+    features [n_chars, toxic-or-0] log-scaled), widths 4 and 6, 2 layers, stored as one dataset
+    partitioned by depth / width / iterations / repetition / part under the checkpoint folder,
+    then read back. A short L-BFGS budget (5 evaluations) keeps the query small."""
+    from kestrel.operators.sparse_filter import sweep
+    from kestrel.session import ensure_checkpoint_dir
+
+    d = T.documents_with_parts(spark, sf)
+    lab = T.table(spark, sf, "labels").select(F.col("doc_id").cast("bigint").alias("row_id"), "toxic")
+    feats = d.join(lab, "row_id", "left").select(
+        "row_id", "part",
+        F.array(F.log1p(F.get("features", 0)), F.coalesce(F.col("toxic"), F.lit(0)).cast("double")).alias("features"))
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/kestrel-sweep-{uuid.uuid4().hex}"
+    back = sweep(feats, 2, [4, 6], n_layers=2, n_reps=1, n_iterations=5, out_path=out, seed=SEED)
+    return back.groupBy("n_layers", "n_features", "n_iter", "n_rep", "part").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.size("features")).alias("width"))
+
+
 QUERIES = {
     "s3_shape_embeddings": (q_shape, SQL_SHAPE),
     "a1_class_balance_embeddings": (q_balance_embeddings, SQL_BALANCE_EMB),
@@ -882,5 +901,6 @@ QUERIES = {
     "e7_prefix_curve_orders": (q_prefix_curve_orders, None),
     "e9_performance_documents": (q_performance_docs, None),
     "m13_sparse_filter_embeddings": (q_sparse_filter_embeddings, None),
+    "m16_sweep_documents": (q_sweep_documents, None),
     "e10_run_embeddings": (q_run_embeddings, None),
 }
