@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from kestrel.config import RunConfig
 from kestrel.plans.run import record_json, run
+from kestrel.session import ship_package
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,6 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     cfg = RunConfig.from_json(args.configuration_filename)
     spark = SparkSession.builder.appName(f"kestrel-{cfg.dataset_name}").getOrCreate()
+    ship_package(spark)
     res = run(spark, cfg)
     print(record_json(res))
     print(json.dumps({"run": res.run_name, "C": res.C, "gamma": res.gamma, **res.performance}))

@@ -106,6 +106,9 @@ class PCA:
         return spark.createDataFrame(rows, "component int, value double, share double, kept boolean")
 
     def _apply(self, df: DataFrame, mat: np.ndarray, features: str) -> DataFrame:
+        from kestrel.session import ship_package
+
+        ship_package(df.sparkSession)
         d_in = mat.shape[0]
 
         def run(batches):

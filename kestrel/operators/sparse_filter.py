@@ -178,6 +178,9 @@ class SparseFilterLayer:
 
     # -------------------------------------------------------------- transform
     def activations(self, df: DataFrame, features: str = "features", out: str = "_act") -> DataFrame:
+        from kestrel.session import ship_package
+
+        ship_package(df.sparkSession)
         w, b, act = self.W, self.b, self.activation
         d = w.shape[0]
         schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])

@@ -21,7 +21,7 @@ from kestrel.functions.arrow import column, list_to_matrix
 BLOB_SCHEMA = "blob binary"
 MAX_CLASSES = 100_000  # bound on the class table that is broadcast in the balance
 # Collect partial blobs directly up to this many bytes; beyond, reduce in a tree first.
-DIRECT_COLLECT_BYTES = 256 << 20
+DIRECT_COLLECT_BYTES = 64 << 20
 
 
 def _blob_batch(vec: np.ndarray) -> pa.RecordBatch:
@@ -54,6 +54,9 @@ def _sum_blobs_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sum_partials(partials: DataFrame, size: int, n_parts: int | None = None) -> np.ndarray:
     """Sum the float64 blobs of ``partials`` (one per input partition) into one vector."""
+    from kestrel.session import ship_package
+
+    ship_package(partials.sparkSession)
     if n_parts is None:
         n_parts = partials.rdd.getNumPartitions()
     if n_parts * size * 8 > DIRECT_COLLECT_BYTES:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     b = SparkSession.builder
     for k in BLAS_ENV:
         b = b.config(f"spark.executorEnv.{k}", "1")
-    return (
+    spark = (
         b.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -38,6 +39,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.python.worker.reuse", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -64,3 +67,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_SHIPPED: set = set()
+_ZIP: list = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in the Python workers (once per application).
+
+    Per-partition functions reference package code by module, so executors must import it:
+    the package is zipped once per driver process and added with ``SparkContext.addPyFile``
+    (with spark-submit, ``--py-files`` does the same)."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    if not _ZIP:
+        root = os.path.dirname(os.path.abspath(__file__))
+        fd, path = tempfile.mkstemp(prefix="kestrel-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for base, _, files in os.walk(root):
+                if "__pycache__" in base:
+                    continue
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(base, name)
+                        zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+        _ZIP.append(path)
+    sc.addPyFile(_ZIP[0])
+    _SHIPPED.add(app)
