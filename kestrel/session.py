@@ -78,7 +78,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Per-partition functions reference package code by module, so executors must import it:
     the package is zipped once per driver process and added with ``SparkContext.addPyFile``
-    (with spark-submit, ``--py-files`` does the same)."""
+    (with spark-submit, ``--py-files`` does the same). The zip is code, not data: it sits on the
+    driver only until Spark's own file distribution has copied it to each executor."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
