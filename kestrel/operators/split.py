@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 HEX_STEP = 3  # 16^3 = 4,096 buckets per level
 FINAL_RANK_ROWS = 200_000  # rank rows directly once the boundary bucket is this small
+MAX_CLASSES = 10_000  # the per-class quota table lives on the driver
 
 
 def split_key(seed: int, it: int | Column, row_id: str = "row_id") -> Column:
@@ -73,7 +74,10 @@ def fit_split(df: DataFrame, n_iter: int, test_size: float = 0.3, seed: int = 0,
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
     base = df.filter(F.col(label).isNotNull()).select(F.col(row_id).alias("rid"), F.col(label).cast("double").alias("lab"))
-    class_n = {float(r["lab"]): int(r["n"]) for r in base.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = base.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct labels: not class codes")
+    class_n = {float(r["lab"]): int(r["n"]) for r in counts}
     if len(class_n) < 2:
         raise ValueError("stratified split needs at least two classes")
     quotas = {}
