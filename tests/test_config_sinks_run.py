@@ -100,3 +100,27 @@ def test_run_rejects_nan_cells(spark, tmp_path):
                                "svm_type": "linear", "skip_model_selection": True, "C": 1.0, "pca_flag": False})
     with pytest.raises(ValueError, match="non-numeric"):
         run(spark, cfg, write=False)
+
+
+def test_run_with_prefix_curve_selection(spark, tmp_path):
+    import numpy as np
+
+    from kestrel.plans.run import apply_model, run
+    from tests.conftest import frame
+
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((120, 4))
+    y = (x[:, 0] - x[:, 1] > 0).astype(float)
+    df = frame(spark, [(i, float(y[i]), x[i].tolist()) for i in range(120)])
+    cfg = RunConfig.from_dict({"svm_type": "linear", "pca_flag": False, "C_list": [0.1, 10.0], "n_iterations_ms": 2,
+                               "rfe_features_selection_flag": True, "n_iterations_rfe": 2,
+                               "n_iterations_performance_estimation": 2, "dest_path": str(tmp_path)})
+    res = run(spark, cfg, table=df)
+    mask = res.model["rfe_mask"]
+    assert len(mask) == 4 and mask[0] and mask[1]  # the label is a rule of the first two features
+    assert res.record["number of features after rfe"] == sum(mask)
+    assert len(res.model["classifier"]["weights"]) == sum(mask) + 1
+    curve = res.curve.filter("metric = 'accuracy'").orderBy("n_features").collect()
+    assert [r.n_features for r in curve] == [1, 2, 3, 4] and curve[1].value > curve[0].value
+    scored = apply_model(df, res.model).toPandas().sort_values("row_id")
+    assert (scored.prediction.values == y).mean() > 0.85
