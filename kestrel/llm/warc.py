@@ -43,6 +43,7 @@ ROLL = 256 << 20
 BUFFER = 1 << 20
 LEVEL = 1
 MIN_BYTES = 1000
+BROADCAST_ROWS = 100_000  # repeated payloads (under 100 bytes each) that every task may hold
 DATE = "2020-01-01T00:00:00Z"
 GZIP = 31  # zlib window bits for a gzip wrapper
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -140,6 +141,9 @@ def with_references(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     large = F.octet_length("payload") >= min_bytes
     first = (rows.where(large & F.col("page_id").isNotNull()).groupBy("digest")
              .agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("keeper > least").drop("least"))
+    first = cut_lineage(first)
+    if first.count() <= BROADCAST_ROWS:  # then the payloads need no shuffle
+        first = F.broadcast(first)
     other = large & (F.col("page_id") < F.col("keeper"))
     return (rows.join(first, "digest", "left")
             .select("page_id", "url", "payload", "digest", F.when(other, F.col("keeper")).alias("refers_to")))
