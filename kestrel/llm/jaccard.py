@@ -200,8 +200,9 @@ def _overlap(m: int, row: np.ndarray, col: np.ndarray, n: np.ndarray) -> np.ndar
     out = np.zeros((m, m), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    width = max(256, (1 << 22) // max(1, m))
-    for a in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+    columns = int(col[-1]) + 1 if len(col) else 0
+    width = min(columns, max(256, (1 << 22) // max(1, m)))
+    for a in range(0, columns, max(1, width)):
         i, j = np.searchsorted(col, [a, a + width])
         block = np.zeros((m, width), np.float32)
         block[row[i:j], col[i:j] - a] = 1.0
