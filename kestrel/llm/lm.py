@@ -177,91 +177,96 @@ class TreeModel:
         return out
 
 
-def build_tree(levels: list[dict[int, np.ndarray]], depth: int) -> TreeModel:
-    """``levels[d]``: context of d bytes (most recent lowest) -> counts of the 256 next symbols."""
-    ids: list[dict[int, int]] = []
-    count = 1
-    for level in levels:
-        ids.append({c: count + i for i, c in enumerate(sorted(level))})
-        count += len(level)
-    step = np.zeros((count, 256), np.uint16 if count <= 65536 else np.int32)
+def build_tree(level: np.ndarray, context: np.ndarray, node: np.ndarray, symbol: np.ndarray, n: np.ndarray, depth: int) -> TreeModel:
+    """``level`` and ``context`` (its bytes as an integer, most recent lowest) of each tree node, sorted
+    by level; ``n`` times node ``node`` was followed by ``symbol``. Per-node tables are held for all
+    nodes only where needed, otherwise a level at a time."""
+    count = len(level) + 1
+    spans = [tuple(np.searchsorted(level, [d, d + 1]) + 1) for d in range(depth + 1)]
     symbols = np.zeros((count, 256))
+    np.add.at(symbols.reshape(-1), (node + 1) * 256 + symbol, n)
+    step = np.zeros((count, 256), np.uint16 if count <= 65536 else np.int32)
     parent = np.zeros(count, np.int64)
-    for d, level in enumerate(levels):
-        for c, n in level.items():
-            me = ids[d][c]
-            symbols[me] = n
-            if d:
-                parent[me] = ids[d - 1][c & ((1 << 8 * (d - 1)) - 1)]
-                step[parent[me], c >> 8 * (d - 1)] = me
-        level.clear()
-    spans = [(min(m.values()), max(m.values()) + 1) for m in ids if m]
-    slices = [[(d, i, min(b, i + SLICE)) for i in range(a, b, SLICE)] for d, (a, b) in enumerate(spans)]
-    rest = symbols.copy()  # what no own child holds
-    for d, a, b in (x for level in slices[1:] for x in level):
-        np.subtract.at(rest, parent[a:b], symbols[a:b])
+    for d in range(1, depth + 1):
+        (up, _), (a, b) = spans[d - 1], spans[d]
+        above, own = context[spans[d - 1][0] - 1 : spans[d - 1][1] - 1], context[a - 1 : b - 1]
+        order = np.argsort(above)
+        parent[a:b] = up + order[np.searchsorted(above, own & ((1 << 8 * (d - 1)) - 1), sorter=order)]
+        step[parent[a:b], own >> 8 * (d - 1)] = np.arange(a, b)
+
+    def rests(d: int) -> np.ndarray:  # what no own child holds
+        (a, b), out = spans[d], symbols[spans[d][0] : spans[d][1]].copy()
+        if d < depth:
+            np.subtract.at(out, parent[spans[d + 1][0] : spans[d + 1][1]] - a, symbols[spans[d + 1][0] : spans[d + 1][1]])
+        return out
+
+    def sliced(d: int) -> Iterator[tuple[int, int]]:
+        return ((i, min(spans[d][1], i + SLICE)) for i in range(*spans[d], SLICE))
+
     # weighted log probabilities, deepest first; index by (node, prefix of the byte)
     weight = np.zeros((count, 256), np.float32)  # share of a node's own estimate in its mixture
-    below = np.zeros((count, 256))  # log of the product over the children
-    for d, a, b in (x for level in slices[::-1] for x in level):
-        mixed = own = kt_log(*bit_counts(symbols[a:b]))
-        weight[a:b] = 1.0
-        if d < depth:
-            mixed = np.logaddexp(own, below[a:b] + kt_log(*bit_counts(rest[a:b]))) - np.log(2.0)
-            weight[a:b] = np.exp(np.minimum(0.0, own - np.log(2.0) - mixed))
-        if d:
-            np.add.at(below, parent[a:b], mixed)
-    del below
-
-    def ones(n: np.ndarray) -> np.ndarray:  # KT estimate of a one-bit
-        zero, one = bit_counts(n)
+    below = np.zeros((0, 256))  # log of the product over the children
+    for d in range(depth, -1, -1):
+        first, rest = spans[d][0], rests(d)
+        above = np.zeros((spans[d - 1][1] - spans[d - 1][0] if d else 1, 256))
+        for a, b in sliced(d):
+            mixed = own = kt_log(*bit_counts(symbols[a:b]))
+            weight[a:b] = 1.0
+            if d < depth:
+                mixed = np.logaddexp(own, below[a - first : b - first] + kt_log(*bit_counts(rest[a - first : b - first]))) - np.log(2.0)
+                weight[a:b] = np.exp(np.minimum(0.0, own - np.log(2.0) - mixed))
+            if d:
+                np.add.at(above, parent[a:b] - spans[d - 1][0], mixed)
+        below = above
+    del below, above
+
+    def ones(m: np.ndarray) -> np.ndarray:  # KT estimate of a one-bit
+        zero, one = bit_counts(m)
         return (one + 0.5) / (zero + one + 1.0)
 
     logp = np.zeros((count, 256), np.float32)
-    carry = np.ones((count, 256), np.float32)  # weight left for deeper nodes
-    sofar = np.zeros((count, 256), np.float32)  # mixture of the ancestors' estimates
-    symbol = np.arange(256)
-    for d, a, b in (x for level in slices for x in level):
-        reach, base = (carry[parent[a:b]], sofar[parent[a:b]]) if d else (np.float32(1), np.float32(0))
-        sofar[a:b] = base + reach * weight[a:b] * ones(symbols[a:b])
-        carry[a:b] = reach * (1 - weight[a:b])
-        p = sofar[a:b] + carry[a:b] * ones(rest[a:b])  # carry is 0 at full depth
-        p = np.clip(p, 1e-12, 1 - 1e-12)
-        for j in range(8):
-            node = (1 << j) + (symbol >> (8 - j))
-            bit = (symbol >> (7 - j)) & 1
-            logp[a:b] += np.log10(np.where(bit, p[:, node], 1 - p[:, node]))
+    carry, sofar = np.ones((1, 256), np.float32), np.zeros((1, 256), np.float32)  # of the level above:
+    byte = np.arange(256)  # weight left for deeper nodes, mixture of the estimates so far
+    for d in range(depth + 1):
+        first, rest = spans[d][0], rests(d)
+        left, mix = (np.zeros((spans[d][1] - first, 256), np.float32) for _ in range(2))
+        for a, b in sliced(d):
+            up = parent[a:b] - spans[d - 1][0] if d else np.zeros(b - a, np.int64)
+            at = slice(a - first, b - first)
+            mix[at] = sofar[up] + carry[up] * weight[a:b] * ones(symbols[a:b])
+            left[at] = carry[up] * (1 - weight[a:b])
+            p = np.clip(mix[at] + left[at] * ones(rest[at]), 1e-12, 1 - 1e-12)  # nothing is left at full depth
+            for j in range(8):
+                prefix = (1 << j) + (byte >> (8 - j))
+                bit = (byte >> (7 - j)) & 1
+                logp[a:b] += np.log10(np.where(bit, p[:, prefix], 1 - p[:, prefix]))
+        carry, sofar = left, mix
     return TreeModel(depth, step, logp)
 
 
 def grow(grams: DataFrame, depth: int, nodes: int) -> TreeModel:
     """``grams(gram, n)`` -> model. At most ``nodes`` contexts of at most 256 counts are collected."""
-    tables = []
-    for d in range(depth + 1):
-        mask = (1 << 8 * (d + 1)) - 1
-        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n"))
-        tables.append(own.groupBy(F.shiftright("g", 8).alias("ctx"))
-                      .agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n")).alias("s"))
-                      .select(F.lit(d).alias("d"), "ctx", "t", "s"))
-    contexts = tables[0]
-    for t in tables[1:]:
-        contexts = contexts.unionByName(t)
-    contexts = cut_lineage(contexts.where(F.col("t") > 1))  # one occurrence tells no more than the rest does
+    contexts, own = None, grams.select(F.col("gram").alias("g"), "n")
+    for d in range(depth, -1, -1):  # each depth is summed from the one below it
+        if d < depth:
+            own = own.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n"))
+        seen = (own.groupBy(F.shiftright("g", 8).alias("ctx"))
+                .agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n")).alias("s"))
+                .where(F.col("t") > 1)  # one occurrence tells no more than the rest does
+                .select(F.lit(d).alias("d"), "ctx", "t", "s"))
+        contexts = seen if contexts is None else contexts.unionByName(seen)
+    contexts = cut_lineage(contexts)
     sizes = contexts.groupBy("t").agg(F.count("*").alias("k")).orderBy(F.desc("t")).limit(nodes).toArrow()
     fits = np.flatnonzero(np.cumsum(sizes["k"].to_numpy()) <= nodes)
-    least = sizes["t"].to_numpy()[fits[-1]] if len(fits) else 1 << 62
-    got = contexts.where((F.col("t") >= int(least)) | (F.col("d") == 0)).select("d", "ctx", "s").toArrow().combine_chunks()
-    levels: list[dict[int, np.ndarray]] = [{} for _ in range(depth + 1)]
-    if got.num_rows:
-        lists = got["s"].combine_chunks()
-        pairs = lists.flatten()
-        sym, n = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        at = lists.offsets.to_numpy()
-        for d, ctx, a, b in zip(got["d"].to_pylist(), got["ctx"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            levels[d][ctx] = np.bincount(sym[a:b], n[a:b], 256).astype(np.float32)
-    else:
-        levels[0][0] = np.zeros(256)
-    return build_tree(levels, depth)
+    least = int(sizes["t"][int(fits[-1])].as_py()) if len(fits) else 1 << 62
+    got = contexts.where((F.col("t") >= least) | (F.col("d") == 0)).select("d", "ctx", "s").toArrow().sort_by([("d", "ascending"), ("ctx", "ascending")])
+    if not got.num_rows:
+        none = np.zeros(0, np.int64)
+        return build_tree(np.zeros(1, np.int64), np.zeros(1, np.int64), none, none, none, depth)
+    lists = got.combine_chunks()["s"].combine_chunks()
+    pairs = lists.flatten()
+    return build_tree(got["d"].to_numpy(), got["ctx"].to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())),
+                      pairs.field(0).to_numpy(zero_copy_only=False), pairs.field(1).to_numpy(zero_copy_only=False).astype(np.float64), depth)
 
 
 def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, nodes: int = NODES, hot: int = HOT) -> DataFrame:
