@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import cut_lineage
 
+BROADCAST_SOURCES = 100_000  # a table of so many sources (under 100 bytes each) may go to every task
 BITS = 10
 FAN = 1 << BITS
 LEVELS = 2
@@ -55,6 +56,12 @@ class Mixture:
     exponent: float
     budget: float
     sources: DataFrame  # skey, tokens, weight, epochs
+    few: bool  # few enough to be broadcast
+
+    def sent(self, per_source: DataFrame) -> DataFrame:
+        """A table of one row per source for a join with documents: broadcast behind the count; more
+        sources than that are joined by shuffle, where skew handling may split a hot one."""
+        return F.broadcast(per_source) if self.few else per_source
 
 
 def _moments(sources: DataFrame, exps: list[float]) -> list[tuple[float, float, float]]:
@@ -105,10 +112,11 @@ def plan(sized: DataFrame, entropy: float | None, max_repeats: float | None, bud
     """``sized(skey, tokens)`` -> exponent, budget and the table of sources."""
     per = sized.groupBy("skey").agg(F.sum("tokens").alias("tokens"))
     per = cut_lineage(per)
-    total, n = per.where(F.col("tokens") > 0).agg(F.sum("tokens"), F.count("*")).first()
+    total, n, every = per.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0), F.count("*")).first()
+    few = every <= BROADCAST_SOURCES
     per = per.withColumn("ln", F.when(F.col("tokens") > 0, F.log(F.col("tokens") / F.lit(float(total or 1)))))
     if not n:
-        return Mixture(1.0, 0.0, per.select("skey", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs")))
+        return Mixture(1.0, 0.0, per.select("skey", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs")), few)
     top_ln = per.agg(F.max("ln")).first()[0]
     a = solve(per, float(total), n, top_ln, entropy, max_repeats, budget)
     z = _moments(per, [a])[0][0]
@@ -116,14 +124,14 @@ def plan(sized: DataFrame, entropy: float | None, max_repeats: float | None, bud
         budget = total * z / math.exp((a - 1) * top_ln)
     weight = F.coalesce(F.exp(a * F.col("ln")) / z, F.lit(0.0))
     epochs = F.when(F.col("tokens") > 0, F.round(weight * budget / F.col("tokens"), 9)).otherwise(F.lit(1.0))
-    return Mixture(a, budget, per.select("skey", "tokens", weight.alias("weight"), epochs.alias("epochs")))
+    return Mixture(a, budget, per.select("skey", "tokens", weight.alias("weight"), epochs.alias("epochs")), few)
 
 
-def thresholds(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def thresholds(sized: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
     """Per source with a partial epoch: ``full`` epochs and the ``last`` place its partial one takes."""
-    part = (sources.withColumn("full", F.floor("epochs").cast("bigint"))
+    part = (mixture.sources.withColumn("full", F.floor("epochs").cast("bigint"))
             .withColumn("left", (F.col("epochs") - F.col("full")) * F.col("tokens")).where(F.col("left") > 0))
-    rows = (sized.join(part.select("skey", "full", "left"), "skey")
+    rows = (sized.join(mixture.sent(part.select("skey", "full", "left")), "skey")
             .withColumn("place", place(seed, F.col("full"), F.col("key"))).select("skey", "full", "left", "place", "tokens"))
     shift = 63
     for level in range(LEVELS + 1):
@@ -138,7 +146,7 @@ def thresholds(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
         if level == LEVELS:
             return cut_lineage(edge.select("skey", "full", F.col("e.block").alias("last")))
         edge = cut_lineage(edge.select("skey", F.col("e.block").alias("edge"), F.col("e.rest").alias("left")))
-        rows = (rows.drop("left").join(edge, "skey").where(F.shiftright("place", shift) == F.col("edge"))
+        rows = (rows.drop("left").join(mixture.sent(edge), "skey").where(F.shiftright("place", shift) == F.col("edge"))
                 .select("skey", "full", "left", "place", "tokens"))
     raise AssertionError
 
@@ -151,12 +159,13 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, max_repeats: float | None
     sized = cut_lineage(docs.select(F.col(key).alias("key"), skey.alias("skey"), word_count(F.col(text)).alias("tokens"))
                         .groupBy("skey", "key").agg(F.sum("tokens").alias("tokens")))
     mixture = plan(sized, entropy, max_repeats, budget)
-    last = thresholds(sized, mixture.sources, seed)
+    last = thresholds(sized, mixture, seed)
     reads = (mixture.sources.select("skey", F.floor("epochs").cast("bigint").alias("full"))
              .join(last.select("skey", "last"), "skey", "left"))
     own = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "place")]
     rows = docs.select(*own, word_count(F.col(text)).alias("n_tokens"), skey.alias("__skey"))
-    rows = rows.join(reads.withColumnsRenamed({"skey": "__skey", "full": "__full", "last": "__last"}), "__skey")
+    reads = reads.withColumnsRenamed({"skey": "__skey", "full": "__full", "last": "__last"})
+    rows = rows.join(mixture.sent(reads), "__skey")
     again = F.coalesce(place(seed, F.col("__full"), F.col(key)) <= F.col("__last"), F.lit(False))
     times = F.col("__full") + again.cast("bigint")
     rows = rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
