@@ -51,7 +51,6 @@ class TreeEncoder(dict):
         super().__init__()
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.bytes_of = {v: k for k, v in ranks.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -152,10 +151,12 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     shared = broadcast_value(docs.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = {v: k for k, v in shared.value.items()}
+        table = [b""] * (max(shared.value.values(), default=-1) + 1)
+        for token, i in shared.value.items():
+            table[i] = token
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            got = [concat_tree([bytes_of[i] for i in np.frombuffer(v.as_py() or b"", "<u4").tolist()]) for v in col]
+            got = [concat_tree(list(map(table.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist()))) for v in col]
             yield append_columns(batch, {out: pa.array(got, pa.binary())})
 
     return docs.mapInArrow(run, appended_schema(docs, f"{out} binary"))
