@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, texts
 
 DEPTH = 5
-NODES = 65535
+NODES = 32767
 SLICE = 4096
 HOT = 1 << 18
-HELD = 1 << 20  # distinct tokens, or pending byte strings, that a task holds before it passes them on
+HELD = 1 << 19  # distinct tokens, or pending byte strings, that a task holds before it passes them on
 END = 0xFF
 
 
@@ -284,10 +284,10 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
     heavy = vocabulary.where(F.col("every") * hot >= every).select("token", "n").toArrow()
     heavy = dict(zip(heavy["token"].to_pylist(), heavy["n"].to_pylist(), strict=True))
     low = big_n + 0.5 * (big_v + 1)
-    shared = broadcast_value(spark, (model, {t: (float(np.log10((c + 0.5) / low)), c > 0) for t, c in heavy.items()}))
+    shared = broadcast_value(spark, (model, {t: float(np.log10((c + 0.5) / low)) for t, c in heavy.items()}, float(np.log10(0.75 / low))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = shared.value
+        tree, known, once = shared.value
         part = TaskContext.get().partitionId()
         at, held = 0, 0
         rare: dict[bytes, list[int]] = {}
@@ -337,8 +337,8 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
                             got.append(at)
                         held += 1
                     else:
-                        base += hit[0]
-                        seen += hit[1]
+                        base += hit
+                        seen += hit > once  # a count of 1 or more lies above
                 lines.append((len(words), seen, base, 0.0, len(raw)))
                 raws.append(raw)
                 size += len(raw)
