@@ -46,6 +46,14 @@ def texts(col: pa.Array) -> Iterator[str | None]:
         yield v.as_py()
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes, so that what a task makes of them stays small."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Contiguous runs of equal ``keys`` from batches sorted by them, across batch borders."""
     rest: list[pa.RecordBatch] = []

@@ -28,6 +28,7 @@ an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, texts
+from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, slices, texts
 
 DEPTH = 5
 NODES = 32767
 SLICE = 4096
 HOT = 1 << 18
-HELD = 1 << 19  # distinct tokens, or pending byte strings, that a task holds before it passes them on
+HELD = 1 << 18  # distinct tokens that a task holds before it passes them on; eight times as many byte strings
 END = 0xFF
 
 
@@ -98,7 +99,7 @@ def _count(depth: int):
                 grams.clear()
             held = 0
 
-        for batch in batches:
+        for batch in slices(batches):
             for is_train, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 raw = lowered(text)
                 into = train if is_train else other
@@ -107,9 +108,9 @@ def _count(depth: int):
                 if is_train:
                     grams.append(byte_strings(raw, depth))
                     held += len(raw) + 1
-                if held > 4 * HELD:
+                if held > 8 * HELD:
                     fold_in()
-                    if len(keys) > 4 * HELD:
+                    if len(keys) > 8 * HELD:
                         yield strings()
                 if len(train) + len(other) > HELD:
                     yield tokens()
@@ -289,8 +290,9 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, once = shared.value
         part = TaskContext.get().partitionId()
-        at, held = 0, 0
-        rare: dict[bytes, list[int]] = {}
+        at = 0
+        rare: dict[bytes, int] = {}  # token -> its number
+        which, where = array("i"), array("i")  # for each occurrence: the token's number and the row
 
         def rows(first: int, ids: list, lines: list[tuple]) -> pa.RecordBatch:
             n = len(lines)
@@ -302,15 +304,18 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
 
         def unknown() -> pa.RecordBatch:
             n = len(rare)
+            number = np.frombuffer(which, np.int32)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=n))]).astype(np.int32),
+                                             np.frombuffer(where, np.int32)[np.argsort(number, kind="stable")])
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                  pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.array(list(rare), pa.binary()),
-                 pa.array(list(rare.values()), pa.list_(pa.int32()))], names=names)
+                 lists], names=names)
             rare.clear()
             return out
 
         names = ["part", "row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "token", "rows"]
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(2).to_pylist()
             first, lines, raws, size = at, [], [], 0
 
@@ -330,12 +335,8 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
                 for w in words:
                     hit = known.get(w)
                     if hit is None:
-                        got = rare.get(w)
-                        if got is None:
-                            rare[w] = [at]
-                        else:
-                            got.append(at)
-                        held += 1
+                        which.append(rare.setdefault(w, len(rare)))
+                        where.append(at)
                     else:
                         base += hit
                         seen += hit > once  # a count of 1 or more lies above
@@ -345,9 +346,9 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
                 at += 1
                 if size > HELD:
                     settle()
-                if held > 4 * HELD:
+                if len(rare) > HELD or len(where) > 8 * HELD:
                     yield unknown()
-                    held = 0
+                    which, where = array("i"), array("i")
             settle()
             yield rows(first, ids, lines)
         if rare:
