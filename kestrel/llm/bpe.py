@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, slices, texts
 
 LEAF = 16
 CACHE = 1 << 18
@@ -76,7 +76,7 @@ class TreeEncoder(dict):
         """Does the pair of tokens encode to itself?"""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > CACHE // 4:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return got
@@ -126,24 +126,37 @@ class TreeEncoder(dict):
         return b"".join(map(self.__getitem__, self.find(text))) if text else b""
 
 
-def concat_tree(parts: list[bytes]) -> bytes:
-    """Balanced concatenation, neighbours first."""
-    while len(parts) > 1:
-        parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
-    return parts[0] if parts else b""
+class TreeDecoder:
+    """Packed ids -> bytes."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.table[i] = token
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with ``out BINARY`` appended: the ids of the whole text as little-endian uint32."""
+    def decode(self, ids: bytes | None) -> bytes:
+        parts = list(map(self.table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        while len(parts) > 1:  # balanced concatenation, neighbours first
+            parts = [b"".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
+        return parts[0] if parts else b""
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids",
+           check: str | None = None) -> DataFrame:
+    """``docs`` with ``out BINARY`` appended: the ids of the whole text as little-endian uint32. With
+    ``check``, a column of that name holds what the ids decode to, made in the same task."""
     shared = broadcast_value(docs.sparkSession, (ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TreeEncoder(*shared.value)
-        for batch in batches:
-            col = batch.column(batch.schema.get_field_index(text))
-            yield append_columns(batch, {out: pa.array([enc.encode(t) for t in texts(col)], pa.binary())})
+        enc, dec = TreeEncoder(*shared.value), TreeDecoder(shared.value[0])
+        for batch in slices(batches):
+            ids = [enc.encode(t) for t in texts(batch.column(batch.schema.get_field_index(text)))]
+            cols = {out: pa.array(ids, pa.binary())}
+            if check:
+                cols[check] = pa.array([dec.decode(i) for i in ids], pa.binary())
+            yield append_columns(batch, cols)
 
-    return docs.mapInArrow(run, appended_schema(docs, f"{out} binary"))
+    return docs.mapInArrow(run, appended_schema(docs, f"{out} binary" + (f", {check} binary" if check else "")))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -151,13 +164,10 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
     shared = broadcast_value(docs.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, i in shared.value.items():
-            table[i] = token
-        for batch in batches:
+        dec = TreeDecoder(shared.value)
+        for batch in slices(batches):
             col = batch.column(batch.schema.get_field_index(ids))
-            got = [concat_tree(list(map(table.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist()))) for v in col]
-            yield append_columns(batch, {out: pa.array(got, pa.binary())})
+            yield append_columns(batch, {out: pa.array([dec.decode(v.as_py()) for v in col], pa.binary())})
 
     return docs.mapInArrow(run, appended_schema(docs, f"{out} binary"))
 
@@ -171,7 +181,6 @@ def op3(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
-    coded = encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    back = decode(coded, ranks)
+    back = encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, check="decoded")
     return back.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
