@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage, sorted_groups, texts
+from kestrel.llm.common import cut_lineage, slices, sorted_groups, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -105,7 +105,7 @@ def rate(similarity: float, recall: float) -> float:
 
 def _signatures(words: int, chosen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, sizes, picks, lengths = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingles(text, words)

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, slices, texts
 
 BUCKETS = 1 << 16
 SMOOTH = 0.5
@@ -112,7 +112,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[lang] = counts[lang] + c if lang in counts else c
         pending.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             idx = trigram_buckets(text)
             if len(idx):
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", gap: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             col = batch.column(batch.schema.get_field_index(text))
             got = [m.predict(t, gap) for t in texts(col)]
             yield append_columns(batch, {"lang_pred": pa.array([g[0] for g in got], pa.string()),

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, slices, texts
 
 STATS = ("log_chars", "log_words", "mean_word", "upper", "digit", "stop_punct", "symbol", "bang", "bar", "non_ascii",
          "space", "word_variety", "top_word", "repeat_pair", "mean_line", "repeat_line", "short_line", "line_end",
@@ -77,7 +77,7 @@ def document_stats(text: str | None) -> list[float]:
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [document_stats(t) for t in texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             col = batch.column(batch.schema.get_field_index(text))
             x = np.array([document_stats(t) for t in texts(col)]).reshape(-1, len(STATS))
             s = m.scores(x)
