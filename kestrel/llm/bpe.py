@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, slices, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, lean, slices, texts
 
 LEAF = 16
 CACHE = 1 << 18
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 cols[check] = pa.array([dec.decode(i) for i in ids], pa.binary())
             yield append_columns(batch, cols)
 
-    return docs.mapInArrow(run, appended_schema(docs, f"{out} binary" + (f", {check} binary" if check else "")))
+    return docs.mapInArrow(lean(run), appended_schema(docs, f"{out} binary" + (f", {check} binary" if check else "")))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -169,7 +169,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
             col = batch.column(batch.schema.get_field_index(ids))
             yield append_columns(batch, {out: pa.array([dec.decode(v.as_py()) for v in col], pa.binary())})
 
-    return docs.mapInArrow(run, appended_schema(docs, f"{out} binary"))
+    return docs.mapInArrow(lean(run), appended_schema(docs, f"{out} binary"))
 
 
 def n_tokens(ids: Column) -> Column:

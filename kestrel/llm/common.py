@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 from kestrel.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-exported)
 
+MapFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +59,20 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[p
             yield batch.slice(i, step)
 
 
+def lean(run: MapFn) -> MapFn:
+    """``run``, then what the task's Python worker no longer needs goes back to the system: workers are
+    reused by later tasks, and would hold it beside the JVM's heap until then."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Contiguous runs of equal ``keys`` from batches sorted by them, across batch borders."""
     rest: list[pa.RecordBatch] = []
@@ -80,6 +99,3 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def broadcast_value(spark: SparkSession, value):
     """Broadcast of a fitted model: only objects whose size a parameter bounds go through here."""
     return spark.sparkContext.broadcast(value)
-
-
-MapFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

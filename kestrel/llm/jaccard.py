@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage, slices, sorted_groups, texts
+from kestrel.llm.common import cut_lineage, lean, slices, sorted_groups, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -270,7 +270,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sig = cut_lineage(src.withColumn("pick", F.xxhash64("text"))
-                      .mapInArrow(_signatures(words, rate(similarity, recall)),
+                      .mapInArrow(lean(_signatures(words, rate(similarity, recall))),
                                   "doc_id bigint, pick bigint, key binary, size bigint, chars bigint, picks array<bigint>"))
     one = (sig.where("doc_id is not null").groupBy("doc_id")
            .agg(F.min_by(F.struct("key", "size", "chars", "picks"), "pick").alias("s")).select("doc_id", "s.*"))
@@ -283,7 +283,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     member = leaf.join(about, "rep")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     need = (member.where(F.col("n") <= limit).select("path", "rep", "size", "leaves").repartition(parts, "path").sortWithinPartitions("path")
-            .mapInArrow(_prepass(similarity), "path bigint, rep bigint"))
+            .mapInArrow(lean(_prepass(similarity)), "path bigint, rep bigint"))
     need = cut_lineage(need.union(leaf.where(F.col("n") > limit).select("path", "rep")))
     wanted = need.join(about, "rep")
     load = wanted.groupBy("path").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
@@ -298,7 +298,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
             .select("rep", "copies", "leaves", "text", "t.path", "t.block", F.explode("t.at").alias("at"))
             .select("path", "at.bi", "at.bj", "block", "rep", "copies", "leaves", "text"))
     found = cut_lineage(rows.repartition(parts, "path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "rep")
-                        .mapInArrow(_verify(similarity, words), "rep bigint, links bigint, low bigint"))
+                        .mapInArrow(lean(_verify(similarity, words)), "rep bigint, links bigint, low bigint"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = (reps.select("key", "rep", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")

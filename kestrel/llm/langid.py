@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, slices, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, lean, slices, texts
 
 BUCKETS = 1 << 16
 SMOOTH = 0.5
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train: Column |
     """Learn from the rows of ``docs`` where ``train`` holds and neither column is null."""
     rows = docs.where(train) if train is not None else docs
     rows = rows.select(F.col(lang).cast("string"), F.col(text)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    got = (rows.mapInArrow(_count, "lang string, bucket int, n bigint")
+    got = (rows.mapInArrow(lean(_count), "lang string, bucket int, n bigint")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(got["lang"].unique())
     code = codewords(len(langs))
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", gap: floa
                                          "score": pa.array([g[1] for g in got], pa.float64()),
                                          "ambiguous": pa.array([g[2] for g in got], pa.bool_())})
 
-    return docs.mapInArrow(run, appended_schema(docs, "lang_pred string, score double, ambiguous boolean"))
+    return docs.mapInArrow(lean(run), appended_schema(docs, "lang_pred string, score double, ambiguous boolean"))
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, slices, texts
+from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, lean, slices, texts
 
 DEPTH = 5
 NODES = 32767
@@ -275,7 +275,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
     learns from the rows where ``train`` holds."""
     spark = docs.sparkSession
     src = docs.select(F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    counted = (src.select("train", "text").mapInArrow(_count(depth), "kind tinyint, token binary, gram bigint, n bigint, every bigint")
+    counted = (src.select("train", "text").mapInArrow(lean(_count(depth)), "kind tinyint, token binary, gram bigint, n bigint, every bigint")
                .groupBy("kind", "token", "gram").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
     counted = cut_lineage(counted)
     vocabulary = counted.where("kind = 0")
@@ -355,7 +355,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
             yield unknown()
 
     schema = "part int, row int, doc_id bigint, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, token binary, rows array<int>"
-    scored = cut_lineage(src.select("train", "text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, schema))
+    scored = cut_lineage(src.select("train", "text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(lean(run), schema))
     light = vocabulary.where(F.col("every") * hot < every).select("token", F.col("n").alias("c"))
     rest = (scored.where(F.col("token").isNotNull()).select("part", "token", "rows").join(light, "token")
             .select("part", F.explode("rows").alias("row"), F.log10((F.col("c") + 0.5) / low).alias("lp"), (F.col("c") > 0).cast("int").alias("hit"))

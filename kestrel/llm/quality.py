@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, slices, texts
+from kestrel.llm.common import append_columns, appended_schema, broadcast_value, is_fold, lean, slices, texts
 
 STATS = ("log_chars", "log_words", "mean_word", "upper", "digit", "stop_punct", "symbol", "bang", "bar", "non_ascii",
          "space", "word_variety", "top_word", "repeat_pair", "mean_line", "repeat_line", "short_line", "line_end",
@@ -118,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     y = (labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
          .groupBy("id").agg(F.min("y").alias("y")))
     rows = docs.where(train) if train is not None else docs
-    x = rows.select(F.col("doc_id").alias("id"), F.col(text)).mapInArrow(_stats_rows, f"id {dict(docs.dtypes)['doc_id']}, x array<double>")
-    sums = (x.join(y, "id").select("y", "x").mapInArrow(_moments, "label int, sums array<double>")
+    x = rows.select(F.col("doc_id").alias("id"), F.col(text)).mapInArrow(lean(_stats_rows), f"id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    sums = (x.join(y, "id").select("y", "x").mapInArrow(lean(_moments), "label int, sums array<double>")
             .select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("v")).toPandas())
     d = len(STATS)
     n, mean, second = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
             yield append_columns(batch, {"score": pa.array(s, pa.float64()),
                                          "predicted": pa.array((s >= threshold).astype(np.int32), pa.int32())})
 
-    return docs.mapInArrow(run, appended_schema(docs, "score double, predicted int"))
+    return docs.mapInArrow(lean(run), appended_schema(docs, "score double, predicted int"))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

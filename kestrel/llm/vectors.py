@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage, sorted_groups
+from kestrel.llm.common import cut_lineage, lean, sorted_groups
 
 SHARD = 8192
 QUERY_BLOCK = 1024
@@ -73,7 +73,7 @@ def search(df: DataFrame, queries: Column, k: int, worker: Callable, score_type:
         cols = ["shard", "dim", "qb", "id", "v", "floor"]
         rows = base.select(*cols).unionByName(questions.select(*cols))
         return (rows.repartition(parts, "shard").sortWithinPartitions("shard", "dim", "qb")
-                .mapInArrow(run, RESULT.format(score_type)))
+                .mapInArrow(lean(run), RESULT.format(score_type)))
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage, ensure_checkpoint_dir
+from kestrel.llm.common import cut_lineage, ensure_checkpoint_dir, lean
 
 ROLL = 256 << 20
 BUFFER = 1 << 20
@@ -181,7 +181,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([folder.rstrip("/") + p[len(base):] for p, _ in done], pa.string()),
                                           pa.array([c for _, c in done], pa.int64())], names=["path", "n"])
 
-    return rows.mapInArrow(run, "path string, n bigint")
+    return rows.mapInArrow(lean(run), "path string, n bigint")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{stem}.members.warc.gz"]), pa.array([f"{stem}.idx"]), pa.array([n], pa.int64())],
                                                  names=["path", "index", "n"])
 
-    return archives.select("path").mapInArrow(run, "path string, index string, n bigint")
+    return archives.select("path").mapInArrow(lean(run), "path string, index string, n bigint")
 
 
 def parse(whole: bytes) -> dict:
@@ -252,7 +252,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("path", "index").mapInArrow(run, RECORDS)
+    return archives.select("path", "index").mapInArrow(lean(run), RECORDS)
 
 
 def _lines(stream) -> Iterator[bytes]:
