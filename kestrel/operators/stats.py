@@ -2,8 +2,8 @@
 
 Array reductions that SQL cannot express (X^T X) run once per partition in ``mapInArrow``
 and emit one float64 blob; ``sum_partials`` adds the blobs, directly when the number of
-partitions times the blob size is bounded, else through a two-level tree so no single task or
-the driver ever receives one blob per input partition of a large job.
+partitions times the blob size is bounded, else through a tree of bounded fan-in, so no single
+task or the driver ever receives one blob per input partition of a large job.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ BLOB_SCHEMA = "blob binary"
 MAX_CLASSES = 100_000  # bound on the class table that is broadcast in the balance
 # Collect partial blobs directly up to this many bytes; beyond, reduce in a tree first.
 DIRECT_COLLECT_BYTES = 64 << 20
+FAN_IN = 8  # blobs a task of the tree adds
 
 
 def _blob_batch(vec: np.ndarray) -> pa.RecordBatch:
@@ -44,33 +45,28 @@ def partial_map(fn, size: int):
     return run
 
 
-def _sum_blobs_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
-    acc = None
-    for blob in pdf["blob"]:
-        v = np.frombuffer(blob, dtype=np.float64)
-        acc = v.copy() if acc is None else acc + v
-    return pd.DataFrame({"blob": [acc.tobytes()]})
+def _added(a, b):
+    return b if a is None else a if b is None else a + b
 
 
-def sum_partials(partials: DataFrame, size: int, n_parts: int | None = None) -> np.ndarray:
-    """Sum the float64 blobs of ``partials`` (one per input partition) into one vector."""
+def sum_partials(partials: DataFrame, size: int) -> np.ndarray:
+    """Sum the float64 blobs of ``partials`` (one per input partition) into one vector.
+
+    The plan is turned into one RDD, so its shuffles run once. Blobs of ``DIRECT_COLLECT_BYTES``
+    in all are added on the driver; more are added in a tree of tasks of at most ``FAN_IN``
+    blobs each (streamed: a task holds its sum and one blob) until a few are left."""
     from kestrel.session import ship_package
 
     ship_package(partials.sparkSession)
-    if n_parts is None:
-        n_parts = partials.rdd.getNumPartitions()
-    if n_parts * size * 8 > DIRECT_COLLECT_BYTES:
-        groups = max(2, int(math.sqrt(n_parts)))
-        partials = (
-            partials.withColumn("_g", F.spark_partition_id() % F.lit(groups))
-            .groupBy("_g")
-            .applyInPandas(_sum_blobs_pdf, BLOB_SCHEMA)
-        )
-    total = np.zeros(size)
-    for batch in partials.toArrow().to_batches():
-        for blob in batch.column(0).to_pylist():
-            total += np.frombuffer(blob, dtype=np.float64)
-    return total
+    vectors = partials.rdd.map(lambda r: np.frombuffer(r[0], dtype=np.float64))
+    n = vectors.getNumPartitions()
+    if n * size * 8 <= DIRECT_COLLECT_BYTES:
+        total = None
+        for v in vectors.collect():
+            total = _added(total, v)
+    else:
+        total = vectors.treeAggregate(None, _added, _added, depth=max(2, math.ceil(math.log(n, FAN_IN))))
+    return np.zeros(size) if total is None else np.array(total)
 
 
 # ---------------------------------------------------------------- A1 class balance
@@ -126,42 +122,18 @@ GRAM_TILE = 1024  # feature rows per tile once d exceeds it
 def gram(df: DataFrame, d: int, features: str = "features") -> np.ndarray:
     """Uncentred X^T X (d x d), summed from per-partition BLAS products.
 
-    Up to ``GRAM_TILE`` features each task emits one d*d blob. Wider data emits one blob per
-    block of ``GRAM_TILE`` rows of X^T X keyed by tile, summed per tile by a keyed reduction,
-    so no task holds more than GRAM_TILE * d partial sums per key."""
-    if d <= GRAM_TILE:
+    Rows of the result are made ``GRAM_TILE`` at a time, one pass over the data each, so a task
+    holds GRAM_TILE * d sums at most; the blobs are added by :func:`sum_partials`."""
+    g = np.zeros((d, d))
+    for lo in range(0, d, GRAM_TILE):
+        hi = min(lo + GRAM_TILE, d)
 
-        def part(batch: pa.RecordBatch) -> np.ndarray:
+        def part(batch: pa.RecordBatch, lo: int = lo, hi: int = hi) -> np.ndarray:
             x = list_to_matrix(column(batch, features), d)
-            return (x.T @ x).reshape(-1)
-
-        partials = df.select(features).mapInArrow(partial_map(part, d * d), BLOB_SCHEMA)
-        g = sum_partials(partials, d * d).reshape(d, d)
-        return (g + g.T) / 2.0
-    tiles = [(t, min(t + GRAM_TILE, d)) for t in range(0, d, GRAM_TILE)]
-
-    def run(batches):
-        acc = [np.zeros((hi - lo, d)) for lo, hi in tiles]
-        seen = False
-        for b in batches:
-            if b.num_rows:
-                x = list_to_matrix(column(b, features), d)
-                for k, (lo, hi) in enumerate(tiles):
-                    acc[k] += x[:, lo:hi].T @ x
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(range(len(tiles))), pa.int32()), pa.array([a.tobytes() for a in acc], pa.binary())],
-                ["tile", "blob"])
+            return (x[:, lo:hi].T @ x).reshape(-1)
 
-    summed = (
-        df.select(features).mapInArrow(run, "tile int, blob binary")
-        .groupBy("tile").applyInPandas(lambda pdf: _sum_blobs_pdf(pdf).assign(tile=pdf["tile"].iloc[0]), "blob binary, tile int")
-    )
-    g = np.zeros((d, d))
-    for r in summed.collect():
-        lo, hi = tiles[r["tile"]]
-        g[lo:hi] = np.frombuffer(r["blob"], dtype=np.float64).reshape(hi - lo, d)
+        partials = df.select(features).mapInArrow(partial_map(part, (hi - lo) * d), BLOB_SCHEMA)
+        g[lo:hi] = sum_partials(partials, (hi - lo) * d).reshape(hi - lo, d)
     return (g + g.T) / 2.0
 
 
