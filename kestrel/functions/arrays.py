@@ -56,7 +56,10 @@ def standardise(features: Column | str, mean: Sequence[float], std: Sequence[flo
     """(x - mean) / std per feature; a zero std divides by 1."""
     scale = [s if s != 0.0 else 1.0 for s in std]
     mu, sd = lit_array(mean), lit_array(scale)
-    return F.transform(_col(features), lambda x, i: (x - F.get(mu, i)) / F.get(sd, i))
+    size = F.size(_col(features))
+    said = F.concat(F.lit(f"expected {len(mean)} features, found "), size.cast("string"))
+    out = F.transform(_col(features), lambda x, i: (x - F.get(mu, i)) / F.get(sd, i))
+    return F.when(size == len(mean), out).otherwise(F.raise_error(said).cast("array<double>"))
 
 
 def soft_absolute(u: Column) -> Column:
@@ -83,7 +86,15 @@ def row_l2_normalise(a: Column | str, eps: float = EPS) -> Column:
 def dot_literal(features: Column | str, weights: Sequence[float], intercept: float = 0.0) -> Column:
     """features . w + b against literal weights (C5 score, F8 for one output)."""
     w = lit_array(weights)
-    return sum_array(F.zip_with(_col(features), w, lambda x, y: x * y)) + F.lit(float(intercept))
+    score = sum_array(F.zip_with(_col(features), w, lambda x, y: x * y)) + F.lit(float(intercept))
+    return of_width(features, len(weights), score)
+
+
+def of_width(features: Column | str, n: int, value: Column) -> Column:
+    """``value`` for rows of ``n`` features; a row of another width fails the job."""
+    size = F.size(_col(features))
+    said = F.concat(F.lit(f"expected {n} features, found "), size.cast("string"))
+    return F.when(size == n, value).otherwise(F.raise_error(said).cast("double"))
 
 
 def select_indices(features: Column | str, indices: Sequence[int]) -> Column:

@@ -84,9 +84,18 @@ def positional_join(x: DataFrame, y: DataFrame, on: str = "row_id", check: bool
 
 
 def hconcat(a: DataFrame, b: DataFrame, on: str = "row_id", features: str = "features") -> DataFrame:
-    """Concatenate two feature blocks of the same rows (join on row id)."""
+    """Concatenate two feature blocks of the same rows (join on row id); rows that only one side
+    holds raise, as for labels (J1)."""
     bb = b.select(F.col(on), F.col(features).alias("_f2"))
-    return a.join(bb, on, "inner").withColumn(features, F.concat(F.col(features), F.col("_f2"))).drop("_f2")
+    return positional_join(a, bb, on).withColumn(features, F.concat(F.col(features), F.col("_f2"))).drop("_f2")
+
+
+def width(df: DataFrame, features: str = "features") -> int:
+    """The number of features of every row; rows of different widths raise."""
+    w = df.agg(F.min(F.size(features)), F.max(F.size(features))).first()
+    if w[0] != w[1]:
+        raise ValueError(f"rows hold {w[0]} to {w[1]} features")
+    return w[0] or 0
 
 
 def hconcat_columns(df: DataFrame, left: str, right: str, out: str = "features") -> DataFrame:

@@ -29,12 +29,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_positions(lines: DataFrame) -> DataFrame:
-    """Dense 0-based ``row_id`` in (file path, split start, line) order."""
+    """Dense 0-based ``row_id`` in (file path with numbers in natural order, split start, line) order."""
     splits = lines.groupBy("_file", "_blk").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_file", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # digits compare as numbers: part-99999 comes before part-100000
+    natural = F.regexp_replace(F.regexp_replace("_file", r"(\d+)", "000000000000000000$1"), r"0*(\d{18})(?=\D|$)", "$1")
+    w = Window.orderBy(natural, "_file", "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per file split: bounded by input size / split size, safe to broadcast
-    j = lines.join(F.broadcast(offsets.select("_file", "_blk", "_first", "_off")), ["_file", "_blk"])
+    # one row per file split: Spark broadcasts it while it is small, else joins by shuffle
+    j = lines.join(offsets.select("_file", "_blk", "_first", "_off"), ["_file", "_blk"])
     return j.withColumn("row_id", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")).drop(
         "_file", "_blk", "_mid", "_first", "_off"
     )

@@ -103,20 +103,10 @@ def write_grid_reports(grid_long: DataFrame, path: str, C_list, gamma_list=None,
 
 
 def run_id(cfg, acc: float, prec: float, rec: float, seed: int, today: _dt.date | None = None) -> str:
-    """Dataset + enabled stages + date + seed + scores, all dots removed."""
-    today = today or _dt.date.today()
-    parts = [cfg.dataset_name]
-    if cfg.scaling_flag:
-        parts.append("_with_features_scaling")
-    if cfg.pca_flag:
-        parts.append(f"_with_pca_retain_{cfg.pca_variance_retain}".replace(".", ""))
-    parts.append(f"_{cfg.svm_type}")
-    if cfg.rf_features_selection_flag:
-        parts.append("_rf_features_selection")
-    if cfg.rfe_features_selection_flag:
-        parts.append("_rfe_features_selection_flag")
-    if cfg.sparse_filtering_flag:
-        parts.append(f"_with_sf_nfeatures_{cfg.n_features_sf}_nlayers_{cfg.n_layers_sf}")
-    name = "".join(parts)
-    bn = f"{name}_{today.year}_{today.month:02d}_{today.day:02d}_rand{seed}_acc{acc:.4f}_prec{prec:4f}_rec{rec:4f}"
-    return bn.replace(".", "")
+    """Dataset, stages, date, seed and scores (in 1/10000) as dash-separated fields without dots."""
+    stages = {"std": cfg.scaling_flag, f"pca{round(cfg.pca_variance_retain * 10000)}": cfg.pca_flag, cfg.svm_type: True,
+              "forest": cfg.rf_features_selection_flag, "curve": cfg.rfe_features_selection_flag,
+              f"sf{cfg.n_features_sf}x{cfg.n_layers_sf}": cfg.sparse_filtering_flag}
+    scores = (f"{tag}{round(v * 10000):05d}" for tag, v in (("a", acc), ("p", prec), ("r", rec)))
+    day = (today or _dt.date.today()).strftime("%Y%m%d")
+    return "-".join([str(cfg.dataset_name).replace(".", ""), *(k for k, on in stages.items() if on), day, f"s{seed}", *scores])

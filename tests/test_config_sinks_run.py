@@ -32,7 +32,7 @@ def test_predictions_csv(spark, tmp_path):
 def test_run_id_has_no_dots():
     cfg = RunConfig.from_dict({"pca_variance_retain": 0.99, "svm_type": "linear"})
     name = sinks.run_id(cfg, 0.51234, 0.5, 0.25, 7, datetime.date(2026, 1, 2))
-    assert "." not in name and name.startswith("generic_with_features_scaling_with_pca_retain_099_linear_2026_01_02_rand7")
+    assert "." not in name and name == "generic-std-pca9900-linear-20260102-s7-a05123-p05000-r02500"
 
 
 def test_run_end_to_end(spark, tmp_path):
@@ -49,7 +49,7 @@ def test_run_end_to_end(spark, tmp_path):
     doc = sinks.read_json_doc(spark, f"{tmp_path}/models/model_{res.run_name}")
     assert doc["pca_flag"] and len(doc["classifier"]["weights"]) == doc["pca"]["components"][0].__len__() + 1
     rec = spark.read.json(f"{tmp_path}/experiments/runs").first()
-    assert rec["01) number of samples dataset"] == 500
+    assert rec["samples"] == 500
     acc = spark.read.option("header", True).csv(f"{tmp_path}/experiments/experiment_{res.run_name}_results/accuracy")
     assert acc.count() == 2
     opt = {r.metric: float(r.c) for r in res.optimum.collect()}
@@ -78,7 +78,7 @@ def test_run_from_csv_with_test_set(spark, tmp_path):
     pred = spark.read.option("header", True).csv(str(tmp_path / "out" / "predicted_y.csv")).toPandas()
     assert sorted(pred.Id.astype(int)) == list(range(1, 31))
     assert ((pred.sort_values("Id", key=lambda s: s.astype(int)).Solution.astype(int).values == y[90:]).mean()) > 0.7
-    assert res.record["18) random forests features selection"] is True
+    assert res.record["forest_selection"] is True
     assert json.loads(json.dumps(res.model, default=str))["fsrf_flag"] is True
 
 
@@ -118,9 +118,46 @@ def test_run_with_prefix_curve_selection(spark, tmp_path):
     res = run(spark, cfg, table=df)
     mask = res.model["rfe_mask"]
     assert len(mask) == 4 and mask[0] and mask[1]  # the label is a rule of the first two features
-    assert res.record["number of features after rfe"] == sum(mask)
+    assert res.record["features_after_curve"] == sum(mask)
     assert len(res.model["classifier"]["weights"]) == sum(mask) + 1
     curve = res.curve.filter("metric = 'accuracy'").orderBy("n_features").collect()
     assert [r.n_features for r in curve] == [1, 2, 3, 4] and curve[1].value > curve[0].value
     scored = apply_model(df, res.model).toPandas().sort_values("row_id")
     assert (scored.prediction.values == y).mean() > 0.85
+
+
+def test_unknown_and_missing_keys(spark):
+    from kestrel.plans.run import run
+
+    with pytest.raises(ValueError, match="unknown configuration keys: C_lst"):
+        RunConfig.from_dict({"C_lst": [1.0]})
+    with pytest.raises(ValueError, match="training_set_fn"):
+        run(spark, RunConfig.from_dict({"svm_type": "linear"}), write=False)
+
+
+def test_widths_are_checked(spark):
+    from kestrel.functions.arrays import dot_literal, standardise
+
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "row_id bigint, features array<double>")
+    assert df.select(dot_literal("features", [1.0, 1.0, 1.0], 1.0)).first()[0] == 7.0
+    for col in (dot_literal("features", [1.0, 1.0]), standardise("features", [0.0], [1.0])):
+        with pytest.raises(Exception, match="expected . features, found 3"):
+            df.select(col).collect()
+
+
+def test_blocks_of_other_rows_are_refused(spark):
+    from kestrel.operators.table import hconcat
+
+    a = spark.createDataFrame([(i, [1.0]) for i in range(10)], "row_id bigint, features array<double>")
+    with pytest.raises(ValueError, match="10 feature rows, 7 labels"):
+        hconcat(a, a.where("row_id < 7"))
+    assert hconcat(a, a).where("size(features) = 2").count() == 10
+
+
+def test_files_are_in_natural_order(spark, tmp_path):
+    from kestrel.sources.csv_matrix import read_matrix
+
+    for n in (99999, 100000, 7):
+        (tmp_path / f"part-{n}.csv").write_text(f"{n}\n")
+    rows = read_matrix(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["features"][0] for r in rows] == [7.0, 99999.0, 100000.0]
