@@ -52,16 +52,14 @@ class PCA:
             self.branch = "tall"
             g = gram(df, d, features)
             lam, vec = np.linalg.eigh(g)
-            order = np.argsort(lam)[::-1]
-            lam = np.clip(lam[order], 0.0, None)
-            basis = _fix_signs(vec[:, order])
-            spectrum = np.sqrt(lam)
+            spectrum = np.sqrt(np.clip(lam, 0.0, None))
+            order, _ = descending_shares(spectrum)
+            spectrum, basis = spectrum[order], _fix_signs(vec[:, order])
         else:
             self.branch = "wide"
             basis, spectrum = self._wide(df, d, n, features, row_id)
         self.spectrum = spectrum
-        total = spectrum.sum()
-        self.shares = np.cumsum(spectrum) / total if total > 0 else np.ones_like(spectrum)
+        _, self.shares = descending_shares(spectrum)
         if self.variance_retain is not None:
             keep = self.shares <= self.variance_retain + RETAIN_TOL
             if not keep.any():
@@ -149,10 +147,9 @@ class PCA:
         return p
 
 
-def running_share(spectrum: DataFrame, value: str = "value") -> DataFrame:
-    """W4 + W1 as SQL: order a spectrum descending and take the running share."""
-    from pyspark.sql.window import Window
-
-    ordered = spectrum.withColumn("rank", F.row_number().over(Window.orderBy(F.col(value).desc())))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ordered.withColumn("share", F.sum(value).over(w) / F.sum(value).over(Window.partitionBy()))
+def descending_shares(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """W4 + W1: indices in descending order of value (ties: the smaller index first) and the running
+    share of the total along it."""
+    order = np.argsort(-values, kind="stable")
+    total = values.sum()
+    return order, np.cumsum(values[order]) / total if total > 0 else np.ones_like(values)

@@ -188,7 +188,8 @@ def q_hconcat_orders(spark: SparkSession, sf: str) -> DataFrame:
     a = T.orders_features(spark, sf)
     b = T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("row_id"),
                                             F.array(F.col("o_totalprice").cast("double")).alias("features"))
-    return _explode_rounded(table.hconcat(a, b))
+    # the blocks of a concatenation hold the same rows: orders without line items have no first block
+    return _explode_rounded(table.hconcat(a, b.join(a.select("row_id"), "row_id", "left_semi")))
 
 
 SQL_HCONCAT_ORDERS = f"""WITH {SQL_ORDERS_FEAT},
@@ -453,16 +454,14 @@ def q_wide_pca_nations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_running_share_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    """W1 + W4 by the function the PCA fit orders its spectrum with, over the second moments."""
+    from kestrel.operators.pca import descending_shares
 
-    e = stats.exploded(T.embeddings(spark, sf))
-    spec = e.groupBy("feature_idx").agg(F.sum(F.col("value") * F.col("value")).alias("value"))
-    spec = spec.withColumn("value", F.round("value", 9))
-    ranked = spec.withColumn("component", F.row_number().over(Window.orderBy(F.col("value").desc(), "feature_idx")))
-    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-    out = ranked.withColumn("share", F.sum("value").over(w) / F.sum("value").over(Window.partitionBy()))
-    return out.select(F.col("component").cast("int").alias("component"), F.col("feature_idx").cast("int").alias("feature_idx"),
-                      r6(F.col("value")).alias("value"), r6(F.col("share")).alias("share"))
+    values = np.round(np.diag(stats.gram(T.embeddings(spark, sf), 64)), 9)
+    order, shares = descending_shares(values)
+    rows = [(i + 1, int(j), float(values[j]), float(shares[i])) for i, j in enumerate(order)]
+    out = spark.createDataFrame(rows, "component int, feature_idx int, value double, share double")
+    return out.select("component", "feature_idx", r6(F.col("value")).alias("value"), r6(F.col("share")).alias("share"))
 
 
 SQL_RUNNING_SHARE_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
@@ -530,7 +529,7 @@ N_LM = 8
 
 def _kernel_query(spark, df, kind, gamma):
     _, lm = kernels.select_landmarks(df, N_LM, SEED)
-    k = df.select("row_id", kernels.kernel_row("features", lm, kind, gamma).alias("k"))
+    k = kernels.kernel_rows(df, kernels.Nystroem(kind, gamma, lm))
     return k.select("row_id", F.posexplode("k").alias("landmark_idx", "v")).select(
         "row_id", F.col("landmark_idx").cast("int").alias("landmark_idx"), r6(F.col("v")).alias("value"))
 
