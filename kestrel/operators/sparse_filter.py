@@ -248,7 +248,9 @@ class SparseFilter:
     def fit(self, df: DataFrame, d: int, features: str = "features", by: str | None = "part") -> "SparseFilter":
         n_layers = 1 if self.n_layers is None else int(self.n_layers)
         self.layers = []
-        data, dim, prev = df.select(features, *([by] if by and by in df.columns else [])), d, None
+        # every evaluation reads the input twice: keep it
+        data, dim = persist(df.select(features, *([by] if by and by in df.columns else []))), d
+        prev = data
         for i in range(n_layers):
             layer = SparseFilterLayer(self.n_features, self.n_iterations, self.activation, self.seed * 1000 + i)
             layer.fit(data, dim, features)
@@ -256,11 +258,9 @@ class SparseFilter:
             if i + 1 < n_layers:
                 nxt = persist(layer.transform(data, features, "batch", None))
                 nxt.count()
-                if prev is not None:
-                    prev.unpersist()
+                prev.unpersist()
                 data, dim, prev = nxt, self.n_features, nxt
-        if prev is not None:
-            prev.unpersist()
+        prev.unpersist()
         return self
 
     def transform(self, df: DataFrame, features: str = "features", norms: str = "batch", by: str | None = "part",
@@ -293,19 +293,26 @@ class SparseFilter:
 
 def sweep(df: DataFrame, d: int, features_list: Sequence[int], n_layers: int, n_reps: int, n_iterations: int,
           out_path: str, seed: int = 0, features: str = "features") -> DataFrame:
-    """M16 + S5: for each width x repetition fit a stack on train+test, transform both parts
-    (norms per part) and store every depth's features in one partitioned parquet dataset."""
-    written = []
+    """M16 + S5: for each width x repetition fit a stack on train+test, transform both parts (norms
+    per part) and store every depth's features, one write per stack, in one partitioned parquet
+    dataset below ``features``; each depth's fitted network goes to ``filters``. A stack that is
+    run again replaces its own partitions."""
+    from kestrel.sources.sinks import write_json_doc
+
+    spark = df.sparkSession
+    src = persist(df.select("row_id", "part", features))
     for nf in features_list:
         for rep in range(int(n_reps)):
-            sf = SparseFilter(n_layers, n_iterations, int(nf), seed=seed + 7919 * rep + int(nf)).fit(df, d, features)
-            full = sf.transform(df, features, "batch", "part")
-            for depth in range(1, len(sf.layers) + 1):
-                part_df = full.select(
-                    "row_id", "part", F.slice("sf_features", 1, depth * int(nf)).alias("features"),
-                    F.lit(depth).alias("n_layers"), F.lit(int(nf)).alias("n_features"),
-                    F.lit(int(n_iterations)).alias("n_iter"), F.lit(rep).alias("n_rep"),
-                )
-                part_df.write.mode("append").partitionBy("n_layers", "n_features", "n_iter", "n_rep", "part").parquet(out_path)
-            written.append(sf)
-    return df.sparkSession.read.parquet(out_path)
+            sf = SparseFilter(n_layers, n_iterations, int(nf), seed=seed + 7919 * rep + int(nf)).fit(src, d, features)
+            full = sf.transform(src, features, "batch", "part")
+            depths = F.array(*[F.struct(F.lit(k).alias("n_layers"), F.slice("sf_features", 1, k * int(nf)).alias("features"))
+                               for k in range(1, len(sf.layers) + 1)])
+            rows = full.select("row_id", "part", F.explode(depths).alias("_d")).select(
+                "row_id", "part", "_d.features", "_d.n_layers", F.lit(int(nf)).alias("n_features"),
+                F.lit(int(n_iterations)).alias("n_iter"), F.lit(rep).alias("n_rep"))
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("n_layers", "n_features", "n_iter", "n_rep", "part").parquet(f"{out_path}/features"))
+            for sub in sf.sub_networks():
+                write_json_doc(spark, sub.to_dict(), f"{out_path}/filters/{len(sub.layers)}-{int(nf)}-{int(n_iterations)}-{rep}")
+    src.unpersist()
+    return spark.read.parquet(f"{out_path}/features")

@@ -853,7 +853,56 @@ def q_sweep_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.min(F.size("features")).alias("width"))
 
 
+SQL_SWEEP_DOCUMENTS = """WITH p AS (SELECT CASE WHEN l.doc_id IS NULL THEN 'test' ELSE 'train' END AS part
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+n AS (SELECT part, count(*) AS rows FROM p GROUP BY part)
+SELECT CAST(l.k AS INTEGER) AS n_layers, CAST(f.k AS INTEGER) AS n_features, 5 AS n_iter, 0 AS n_rep, part, rows,
+       CAST(l.k * f.k AS INTEGER) AS width FROM n, (VALUES (1), (2)) l(k), (VALUES (4), (6)) f(k)"""
+
+
+def q_pca_moments_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: the fitted spectrum's sums of squares and of fourth powers, which must be the trace and the
+    squared Frobenius norm of the second moments."""
+    from kestrel.operators.pca import PCA
+
+    p = PCA(variance_retain=1.0).fit(T.embeddings(spark, sf), 64)
+    rows = [(len(p.spectrum), round(float((p.spectrum**2).sum()), 4), round(float((p.spectrum**4).sum()), 2))]
+    return spark.createDataFrame(rows, "components int, squares double, fourths double")
+
+
+SQL_PCA_MOMENTS_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
+g AS (SELECT a.feature_idx AS i, b.feature_idx AS j, sum(a.x * b.x) AS v FROM e a JOIN e b ON a.row_id = b.row_id GROUP BY ALL)
+SELECT CAST(max(i) + 1 AS INTEGER) AS components, round(sum(v) FILTER (i = j), 4) AS squares, round(sum(v * v), 2) AS fourths FROM g"""
+
+
+def q_run_sinks_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """E10 with its sinks: a configured run writes model, record and reports below the checkpoint
+    folder; the record and the grid report are read back."""
+    from kestrel.config import RunConfig
+    from kestrel.plans.run import load_model, run
+    from kestrel.session import ensure_checkpoint_dir
+
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/kestrel-run-{uuid.uuid4().hex}"
+    cfg = RunConfig.from_dict({"svm_type": "linear", "pca_flag": False, "scaling_flag": True, "seed": SEED, "dest_path": out})
+    res = run(spark, cfg, table=T.embeddings(spark, sf))
+    model = load_model(spark, f"{out}/models/model_{res.run_name}")
+    report = spark.read.option("header", True).csv(f"{out}/experiments/experiment_{res.run_name}_results/accuracy")
+    record = spark.read.json(f"{out}/experiments/runs")
+    return record.select("samples", "features", r6(F.col("class_balance").getField("0")).alias("balance_0"),
+                         r6(F.col("class_balance").getField("1")).alias("balance_1"), "grid_models",
+                         F.lit(report.count()).cast("bigint").alias("report_rows"),
+                         F.lit(len(model["classifier"]["weights"])).cast("bigint").alias("weights"))
+
+
+SQL_RUN_SINKS_EMB = f"""WITH {SQL_EMB}
+SELECT count(*) AS samples, CAST(max(len(features)) AS BIGINT) AS features, round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS balance_0,
+       round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS balance_1, CAST(54 AS BIGINT) AS grid_models,
+       CAST(9 AS BIGINT) AS report_rows, CAST(max(len(features)) + 1 AS BIGINT) AS weights FROM f"""
+
+
 QUERIES = {
+    "m4_pca_moments_embeddings": (q_pca_moments_embeddings, SQL_PCA_MOMENTS_EMB),
+    "e10_run_sinks_embeddings": (q_run_sinks_embeddings, SQL_RUN_SINKS_EMB),
     "s3_shape_embeddings": (q_shape, SQL_SHAPE),
     "a1_class_balance_embeddings": (q_balance_embeddings, SQL_BALANCE_EMB),
     "a1_class_balance_documents": (q_balance_docs, SQL_BALANCE_DOCS),
@@ -900,6 +949,6 @@ QUERIES = {
     "e7_prefix_curve_orders": (q_prefix_curve_orders, None),
     "e9_performance_documents": (q_performance_docs, None),
     "m13_sparse_filter_embeddings": (q_sparse_filter_embeddings, None),
-    "m16_sweep_documents": (q_sweep_documents, None),
+    "m16_sweep_documents": (q_sweep_documents, SQL_SWEEP_DOCUMENTS),
     "e10_run_embeddings": (q_run_embeddings, None),
 }
