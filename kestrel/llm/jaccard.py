@@ -16,7 +16,7 @@ Buckets over ``LIMIT`` members are split again, recursively, by the next sampled
 members; a set that has ``SPARE`` or more chosen tokens in smaller buckets need not follow (a similar set shares
 each of its chosen tokens with probability >= ``similarity``, so missing it in all of those has
 probability below ``(1 - similarity) ** SPARE``). A bucket that does not shrink by half is dense: it
-is not cut but compared in blocks of ``LIMIT``, all pairs of blocks, each pair of blocks a group of its own.
+is not cut but compared in blocks of half ``LIMIT``, all pairs of blocks, each pair of blocks a group of its own.
 
 *Brute force.* A pair belongs to the smallest of the buckets it shares, so each link counts once. First,
 bucket lists and sizes alone tell which members have any partner in a bucket; only these bring
@@ -287,7 +287,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     need = cut_lineage(need.union(leaf.where(F.col("n") > limit).select("path", "rep")))
     wanted = need.join(about, "rep")
     load = wanted.groupBy("path").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
-    blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("c") / BLOCK_BYTES)).cast("int")
+    # a group of two blocks holds no more members than a bucket compared whole
+    halves = F.when(F.col("m") > limit, F.ceil(F.col("m") / max(1, limit // 2))).otherwise(1)
+    blocks = F.greatest(halves, F.ceil(F.col("c") / BLOCK_BYTES)).cast("int")
     dealt = (wanted.drop("chars").join(load.select("path", blocks.alias("nb")), "path")
              .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("nb")).cast("int")))
     own = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
