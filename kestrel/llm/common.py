@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kestrel.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401  (re-exported)
 
+HOT = 1024
 MapFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -31,6 +32,16 @@ def is_fold(doc_id: Column, k: int) -> Column:
     return F.coalesce(fold(doc_id) == k, F.lit(False))
 
 
+def join_nodes(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row per key and in ``rows`` how many of the ``total``
+    rows of ``left`` hold it. Keys with at least 1 / HOT of them, so at most HOT keys, are broadcast and their rows
+    stay where they are; only the other keys are shuffled, and none of them fills a task."""
+    hot = F.col(rows) * HOT >= total
+    few = right.where(hot).drop(rows)
+    rest = left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.where(~hot).drop(rows), on, how)
+    return left.join(F.broadcast(few), on).unionByName(rest)
+
+
 def append_columns(batch: pa.RecordBatch, cols: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with ``cols`` after its own columns; an own column of the same name gives way."""
     names = [n for n in batch.schema.names if n not in cols]

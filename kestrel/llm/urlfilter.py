@@ -20,8 +20,8 @@ The tree judges every url without a rule. Per host:
    ``reject`` are blocked, all others allowed.
 
 Only the url column is read. Every statistic is a partial aggregate over (host, prefix) keys, so a
-host with a third of all rows costs no more per task than any other; the joins back carry one row
-per node on the small side, and the large side may be split by skew handling.
+host with a third of all rows costs no more per task than any other; in the joins back, nodes that
+hold 1 / HOT of all urls or more are broadcast and only the others are shuffled.
 
 Defined cases: null urls and urls without ``://`` have empty host and path; rows that share an empty
 host share one tree; empty paths are the template ``/``; repeated rows count as often as they
@@ -36,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage
+from kestrel.llm.common import HOT, cut_lineage, join_nodes
 
 DEPTH = 6
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -73,16 +73,18 @@ def segments(path: Column) -> Column:
 def templates(urls: DataFrame, max_children: int = 40, min_children: int = 12, min_use: float = 3.0) -> DataFrame:
     """Step 1: ``urls(host, path, n, labelled, blocked)`` -> with ``template``."""
     cur = cut_lineage(urls.withColumn("segs", segments(F.col("path"))).withColumn("template", F.lit("/")))
-    deepest = cur.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(deepest):  # each level reads the last one twice: written once, it isn't computed twice
+    deepest, total = cur.agg(F.coalesce(F.max(F.size("segs")), F.lit(0)), F.count("*")).first()
+    for level in range(deepest):  # each level reads the last one more than once: written once, it isn't computed again
         seg = F.get(F.col("segs"), F.lit(level))
         cur = cur.withColumn("seg", seg)
         literal = ~F.col("seg").contains("{n}") & (F.col("seg") != "{h}")
-        child = (cur.where(F.col("seg").isNotNull() & literal).groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-                 .groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("used")))
-        wide = (child.where((F.col("kids") > max_children) | ((F.col("kids") >= min_children) & (F.col("used") < min_use * F.col("kids"))))
-                .select("host", "template", F.lit(True).alias("wide")))
-        cur = cur.join(wide, ["host", "template"], "left")
+        node = (cur.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+                .groupBy("host", "template").agg(F.count_if(literal).alias("kids"), F.sum(F.when(literal, F.col("n"))).alias("used"),
+                                                 F.sum("rows").alias("rows")))
+        wide = (F.col("kids") > max_children) | ((F.col("kids") >= min_children) & (F.col("used") < min_use * F.col("kids")))
+        node = node.select("host", "template", F.coalesce(wide, F.lit(False)).alias("wide"), "rows")
+        node = cut_lineage(node.where(F.col("wide") | (F.col("rows") * HOT >= total)))
+        cur = join_nodes(cur, node, ["host", "template"], "rows", total, "left")
         name = F.when(F.col("wide") & literal, F.lit("*")).otherwise(F.col("seg"))
         cur = cur.withColumn("template", F.when(F.col("seg").isNull(), F.col("template"))
                              .otherwise(F.concat("template", name, F.lit("/")))).drop("wide", "seg")
@@ -96,7 +98,7 @@ def judge(urls: DataFrame, base: float, alpha: float = 4.0, z: float = 1.96, rej
     share of all labelled urls."""
     cur = templates(urls)
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    leaf = cur.groupBy("host", "template").agg(*sums)
+    leaf = cur.groupBy("host", "template").agg(*sums, F.count("*").alias("rows"))
     hosts = (leaf.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
              .select("host", ((F.col("hb") + alpha * base) / (F.col("hl") + alpha)).alias("host_purity")))
     leaf = leaf.join(hosts, "host")
@@ -112,9 +114,11 @@ def judge(urls: DataFrame, base: float, alpha: float = 4.0, z: float = 1.96, rej
     pooled = (leaf.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"),
                                                             F.first("host_purity").alias("hp"))
               .withColumn("purity", (F.col("bb") + alpha * F.col("hp")) / (F.col("bl") + alpha)).drop("bl", "bb", "hp"))
-    verdicts = (leaf.select("host", "parent", "branch", "template").join(pooled, ["host", "parent", "branch"])
-                .select("host", "template", "branch", "purity", (F.col("purity") > reject).alias("blocked_by_tree")))
-    return cur.select("host", "path", "template").join(verdicts, ["host", "template"])
+    verdicts = (leaf.select("host", "parent", "branch", "template", "rows").join(pooled, ["host", "parent", "branch"])
+                .select("host", "template", "branch", "purity", (F.col("purity") > reject).alias("blocked_by_tree"), "rows"))
+    verdicts = cut_lineage(verdicts)
+    total = verdicts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return join_nodes(cur.select("host", "path", "template"), verdicts, ["host", "template"], "rows", total)
 
 
 def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES) -> DataFrame:
