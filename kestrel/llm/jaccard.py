@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut_lineage, lean, slices, sorted_groups, texts
+from kestrel.llm.common import cut_lineage, join_nodes, lean, slices, sorted_groups, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -290,7 +290,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     # a group of two blocks holds no more members than a bucket compared whole
     halves = F.when(F.col("m") > limit, F.ceil(F.col("m") / max(1, limit // 2))).otherwise(1)
     blocks = F.greatest(halves, F.ceil(F.col("c") / BLOCK_BYTES)).cast("int")
-    dealt = (wanted.drop("chars").join(load.select("path", blocks.alias("nb")), "path")
+    load = cut_lineage(load.select("path", blocks.alias("nb"), "m"))
+    total = load.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    dealt = (join_nodes(wanted.drop("chars"), load, ["path"], "m", total)
              .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("nb")).cast("int")))
     own = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
     dealt = dealt.withColumn("at", own)
