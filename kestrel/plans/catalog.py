@@ -693,9 +693,7 @@ def q_run_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     from kestrel.plans.run import run
     from kestrel.sources.sinks import run_record_frame
 
-    cfg = RunConfig.from_dict({"svm_type": "linear", "pca_flag": True, "pca_variance_retain": 0.99, "scaling_flag": True,
-                               "C_list": [0.1, 1.0, 10.0], "n_iterations_ms": 3,
-                               "n_iterations_performance_estimation": 3, "seed": SEED, "max_iter": 100})
+    cfg = RunConfig.from_dict({"svm_type": "linear", "pca_flag": True, "pca_variance_retain": 0.99, "scaling_flag": True, "seed": SEED})
     res = run(spark, cfg, table=T.embeddings(spark, sf), write=False)
     return run_record_frame(spark, res.record)
 
