@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from kestrel.llm import urlfilter
+from kestrel.llm import common, jaccard, urlfilter
 
 
 def judged(spark, urls, **more):
@@ -43,3 +43,14 @@ def test_only_the_url_and_key_are_read_and_no_python(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan and "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_hot_and_other_keys_join_alike(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = []
+    for share in (1024, 4, 1):  # all keys broadcast, a few, at most one
+        monkeypatch.setattr(common, "HOT", share)
+        monkeypatch.setattr(urlfilter, "HOT", share)
+        seen.append((sorted(map(tuple, urlfilter.op1(pages).collect()), key=str), sorted(map(tuple, jaccard.op2(docs).collect()), key=str)))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) and len(seen[0][1])
