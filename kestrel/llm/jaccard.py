@@ -13,9 +13,9 @@ meets in one bucket at least on average, and shares ``Poisson(>= 1)`` of them. R
 until the chance of a similar pair that never met is below ``1 - recall``; as runs are independent,
 their choices are drawn together, at ``runs`` times the rate. Buckets of one member vanish.
 Buckets over ``LIMIT`` members are split again, recursively, by the next sampled tokens of their
-members; a set that has ``SPARE`` or more chosen tokens in smaller buckets need not follow (a similar set shares
-each of its chosen tokens with probability >= ``similarity``, so missing it in all of those has
-probability below ``(1 - similarity) ** SPARE``). A bucket that does not shrink by half is dense: it
+members; a set that has ``spare`` or more chosen tokens in smaller buckets need not follow: at most
+``1 - similarity`` of its tokens are missing in a similar set, and the chance that so many of those were
+chosen is below ``1 - recall``, wherever the shared ones lie. A bucket that does not shrink by half is dense: it
 is not cut but compared in blocks of half ``LIMIT``, all pairs of blocks, each pair of blocks a group of its own.
 
 *Brute force.* A pair belongs to the smallest of the buckets it shares, so each link counts once. First,
@@ -25,7 +25,8 @@ twice. A group returns one row per linked member, its number of links (copies co
 a smaller id, never the pairs.
 
 *Groups.* The links returned span the groups; the smallest id of each is found by min-label
-propagation with pointer jumping, checkpointed every round.
+propagation with pointer jumping, checkpointed every round; ids and labels that hold a thousandth of
+the rows of a join are broadcast in it, so a large group does not meet in one task.
 
 Result: one row per document: doc_id, class_id (smallest id of its group of links), rep_id (smallest id of its
 copies), n_copies, n_links (other documents linked to it, copies included).
@@ -55,7 +56,6 @@ RECALL = 1 - 1e-6
 LIMIT = 1024
 BLOCK_BYTES = 8 << 20
 DEPTH = 3
-SPARE = 9
 NEXT = 3
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,6 +103,18 @@ def rate(similarity: float, recall: float) -> float:
     return math.ceil(-math.log(1 - recall)) / similarity
 
 
+def spare(similarity: float, recall: float) -> int:
+    """Least k such that a set has k or more chosen tokens outside a similar set with a chance below
+    1 - recall; their number is at most Poisson distributed, of mean (1 - similarity) * rate."""
+    mean = (1 - similarity) * rate(similarity, recall)
+    k, term, tail = 0, math.exp(-mean), 1.0
+    while tail > 1 - recall:
+        tail -= term
+        k += 1
+        term *= mean / k
+    return k
+
+
 def _signatures(words: int, chosen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -123,8 +135,9 @@ def _signatures(words: int, chosen: float):
     return run
 
 
-def paths(reps: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """(path, rep, n): the buckets of two or more members that are compared, n members each."""
+def paths(reps: DataFrame, enough: int, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """(path, rep, n): the buckets of two or more members that are compared, n members each. Sets with
+    ``enough`` chosen tokens in smaller buckets don't follow into large ones."""
     one = reps.select("rep", F.explode("picks").alias("path"))
     sizes = one.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     met = cut_lineage(one.join(sizes, "path").select("path", "rep", "n"))
@@ -135,7 +148,7 @@ def paths(reps: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     # a set follows into its large buckets only if too few of its chosen tokens lead elsewhere
     heavy = large.groupBy("rep").agg(F.array_sort(F.collect_list("path")).alias("big"))  # at most its picks
     heavy = (heavy.join(reps.select("rep", F.size("picks").alias("total")), "rep")
-             .where(F.col("total") - F.size("big") < SPARE).select("rep", "big"))
+             .where(F.col("total") - F.size("big") < enough).select("rep", "big"))
     cur = heavy.select("rep", "big", F.explode("big").alias("last")).withColumn("path", F.col("last"))
     out = small
     for level in range(depth):
@@ -253,11 +266,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> (id, comp): the smallest id of each connected part."""
     pairs = cut_lineage(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
     label = cut_lineage(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
+    degree = cut_lineage(pairs.groupBy("b").agg(F.count("*").alias("n")))
+    n_pairs, n_ids = degree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     for _ in range(max_rounds):
-        near = (pairs.join(label, pairs["b"] == label["id"]).groupBy("a").agg(F.min("comp").alias("m")))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "m").alias("comp"))
-        jump = new.select(F.col("id").alias("at"), F.col("comp").alias("far"))
-        new = new.join(jump, new["comp"] == jump["at"], "left").select("id", F.least("comp", F.coalesce("far", "comp")).alias("comp"))
+        far = degree.join(label, degree["b"] == label["id"]).select("b", "n", "comp")
+        near = join_nodes(pairs, far, ["b"], "n", n_pairs).groupBy("a").agg(F.min("comp").alias("m"))
+        new = cut_lineage(label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "m").alias("comp")))
+        # every label is itself an id: its own label is one jump further
+        held = new.groupBy("comp").agg(F.count("*").alias("n"))
+        far = new.select(F.col("id").alias("comp"), F.col("comp").alias("far")).join(held, "comp")
+        new = join_nodes(new, far, ["comp"], "n", n_ids).select("id", F.least("comp", "far").alias("comp"))
         new = cut_lineage(new)
         moved = new.join(label.withColumnRenamed("comp", "was"), "id").where("comp <> was").isEmpty()
         label = new
@@ -277,7 +295,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     reps = cut_lineage(one.where("key is not null").groupBy("key")
                        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"),
                             F.max("chars").alias("chars"), F.first("picks").alias("picks")))
-    leaf = cut_lineage(paths(reps, limit))
+    leaf = cut_lineage(paths(reps, spare(similarity, recall), limit))
     lists = leaf.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("leaves"))  # bounded by the picks and NEXT
     about = lists.join(reps.select("rep", "size", "copies", "chars"), "rep")
     member = leaf.join(about, "rep")
