@@ -15,7 +15,7 @@ their choices are drawn together, at ``runs`` times the rate. Buckets of one mem
 Buckets over ``LIMIT`` members are split again, recursively, by the next sampled tokens of their
 members; a set that has ``spare`` or more chosen tokens in smaller buckets need not follow: at most
 ``1 - similarity`` of its tokens are missing in a similar set, and the chance that so many of those were
-chosen is below ``1 - recall``, wherever the shared ones lie. A bucket that does not shrink by half is dense: it
+chosen is below ``MISS``, wherever the shared ones lie. A bucket that does not shrink by half is dense: it
 is not cut but compared in blocks of half ``LIMIT``, all pairs of blocks, each pair of blocks a group of its own.
 
 *Brute force.* A pair belongs to the smallest of the buckets it shares, so each link counts once. First,
@@ -52,7 +52,8 @@ from kestrel.llm.common import cut_lineage, join_nodes, lean, slices, sorted_gro
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 1 - 1e-6
+RECALL = 1 - 1e-12  # that a similar pair meets; more sampled tokens also let more sets leave large buckets
+MISS = 1e-6
 LIMIT = 1024
 BLOCK_BYTES = 8 << 20
 DEPTH = 3
@@ -103,12 +104,12 @@ def rate(similarity: float, recall: float) -> float:
     return math.ceil(-math.log(1 - recall)) / similarity
 
 
-def spare(similarity: float, recall: float) -> int:
+def spare(similarity: float, recall: float, miss: float = MISS) -> int:
     """Least k such that a set has k or more chosen tokens outside a similar set with a chance below
-    1 - recall; their number is at most Poisson distributed, of mean (1 - similarity) * rate."""
+    ``miss``; their number is at most Poisson distributed, of mean (1 - similarity) * rate."""
     mean = (1 - similarity) * rate(similarity, recall)
     k, term, tail = 0, math.exp(-mean), 1.0
-    while tail > 1 - recall:
+    while tail > miss:
         tail -= term
         k += 1
         term *= mean / k
