@@ -106,3 +106,27 @@ def test_signature_hash_depends_on_words_only():
     a = jaccard.shingles("One two  three four five six")
     b = jaccard.shingles("zero one two three four five six")
     assert len(a) == 2 and set(a.tolist()) < set(b.tolist())
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_spare_bounds_the_tokens_a_similar_set_lacks(similarity):
+    import math
+
+    chosen = jaccard.rate(similarity, jaccard.RECALL)
+    k, mean = jaccard.spare(similarity, jaccard.RECALL), (1 - similarity) * chosen
+
+    def tail(least):
+        return sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(least, least + 200))
+
+    assert tail(k) <= jaccard.MISS < tail(k - 1)
+    assert math.exp(-similarity * chosen) <= (1 - jaccard.RECALL) * 1.001
+
+
+def test_components_of_a_hub_a_chain_and_a_pair(spark):
+    hub = [(0, i) for i in range(1, 3001)]  # holds nearly all rows: broadcast, not one task
+    chain = [(i, i + 1) for i in range(5000, 5040)]
+    rows = hub + chain + [(9001, 9000), (7, 7)]
+    got = {r["id"]: r["comp"] for r in jaccard.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = {**dict.fromkeys(range(3001), 0), **dict.fromkeys(range(5000, 5041), 5000), 9000: 9000, 9001: 9000}
+    assert got == want
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
