@@ -8,17 +8,19 @@ probability is half its own estimate and half the product of its children's, so
 predicted by a mixture over all depths along its context, with the weights the training data
 has earned. The code length of a text is the sum over its bits.
 
-*Size.* The tree keeps the contexts seen most, at most ``nodes`` over all depths, whatever the corpus. The
-other contexts below a node together form one further child of it, so the children always
-partition the parent's data and the weighting stays exact on that tree. The counts behind it
-cover all training bytes.
+*Size.* The tree holds every context of the corpus, those seen once included, as a table in the checkpoint
+folder with a row per distinct string of ``depth`` bytes and the symbol after it; strings of held-out texts
+have a training count of 0, which changes no probability. The table is dealt by ranges in tree order (most
+recent byte first), so a task works out all nodes that lie within its range, level by level; only the first
+and last node of each depth can reach beyond it. Their sums are put together on the driver, at most
+``2 * (depth + 1)`` nodes a range, and the tasks end with them the log probability of each of their strings.
 
 *Baseline.* A unigram over white-space tokens plus one end per text, smoothed by half a count.
 
 *Work.* One pass counts tokens and byte strings per partition; Spark sums them. Tokens that make up
 at least ``1 / HOT`` of all tokens are at most ``HOT`` and are broadcast; the others are joined by
-token, where no key can be heavy. A second pass scores: per byte, ``depth`` table look-ups find the
-context's node and one more gives the log probability of the byte, from the table of nodes x 256.
+token, where no key can be heavy. A second pass scores: the log probabilities of the strings seen most, at
+most ``2 * HOT``, are broadcast and looked up per byte; the other strings are joined like the other tokens.
 
 Defined cases: null texts are empty (one end symbol, one end token); rows with a null id are scored but
 neither held out nor learned from; repeated rows each count and each come back; with nothing to learn
@@ -32,6 +34,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,9 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import broadcast_value, cut_lineage, is_fold, lean, slices, texts
 
 DEPTH = 5
-NODES = 32767
 SLICE = 4096
+ROWS = 1 << 17  # strings in a range of the tree
+TABLE = 1 << 16  # counts whose log gamma is looked up
 HOT = 1 << 18
 HELD = 1 << 18  # distinct tokens that a task holds before it passes them on; eight times as many byte strings
 END = 0xFF
@@ -62,13 +66,24 @@ def byte_strings(raw: bytes, depth: int) -> np.ndarray:
     return out
 
 
+def tree_keys(x: np.ndarray, depth: int) -> np.ndarray:
+    """The same strings for padded bytes ``x`` with the most recent predecessor highest and the symbol
+    lowest, so that integer order is tree order and the leading bytes are the shorter contexts."""
+    out = x[depth:].astype(np.int64)
+    for d in range(1, depth + 1):
+        out |= x[depth - d : len(x) - d].astype(np.int64) << 8 * (depth - d + 1)
+    return out
+
+
 def _count(depth: int):
     schema = ["kind", "token", "gram", "n", "every"]
+    trained = 8 * (depth + 1)  # this bit of a held key tells training text from other text
+    pad = bytes([END]) * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, other = Counter(), Counter()
         grams: list[np.ndarray] = []
-        held, keys, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, keys, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def tokens() -> pa.RecordBatch:
             names = list(train.keys() | other.keys())
@@ -84,9 +99,9 @@ def _count(depth: int):
             nonlocal keys, counts
             n = len(keys)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.binary()), pa.array(keys.astype(np.int64)),
-                 pa.array(counts), pa.array(counts)], names=schema)
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.binary()), pa.array(keys & ((1 << trained) - 1)),
+                 pa.array(counts * (keys >> trained)), pa.array(counts)], names=schema)
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return out
 
         def fold_in() -> None:
@@ -105,9 +120,8 @@ def _count(depth: int):
                 into = train if is_train else other
                 into.update(raw.split())
                 into[b""] += 1
-                if is_train:
-                    grams.append(byte_strings(raw, depth))
-                    held += len(raw) + 1
+                grams.append(tree_keys(np.frombuffer(pad + raw + b"\xff", np.uint8), depth) | (int(is_train) << trained))
+                held += len(raw) + 1
                 if held > 8 * HELD:
                     fold_in()
                     if len(keys) > 8 * HELD:
@@ -149,7 +163,7 @@ def bit_counts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class TreeModel:
-    """``step[node, byte]``: the child for one more byte of context (0: none). ``logp[node, byte]``:
+    """The model held in memory whole, for small data; the tests compare :func:`grow` with it. ``step[node, byte]``: the child for one more byte of context (0: none). ``logp[node, byte]``:
     log10 probability of a byte whose deepest node is ``node``. Node 1 is the root."""
 
     depth: int
@@ -245,32 +259,186 @@ def build_tree(level: np.ndarray, context: np.ndarray, node: np.ndarray, symbol:
     return TreeModel(depth, step, logp)
 
 
-def grow(grams: DataFrame, depth: int, nodes: int) -> TreeModel:
-    """``grams(gram, n)`` -> model. At most ``nodes`` contexts of at most 256 counts are collected."""
-    contexts, own = None, grams.select(F.col("gram").alias("g"), "n")
-    for d in range(depth, -1, -1):  # each depth is summed from the one below it
-        if d < depth:
-            own = own.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n"))
-        seen = (own.groupBy(F.shiftright("g", 8).alias("ctx"))
-                .agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n")).alias("s"))
-                .where(F.col("t") > 1)  # one occurrence tells no more than the rest does
-                .select(F.lit(d).alias("d"), "ctx", "t", "s"))
-        contexts = seen if contexts is None else contexts.unionByName(seen)
-    contexts = cut_lineage(contexts)
-    sizes = contexts.groupBy("t").agg(F.count("*").alias("k")).orderBy(F.desc("t")).limit(nodes).toArrow()
-    fits = np.flatnonzero(np.cumsum(sizes["k"].to_numpy()) <= nodes)
-    least = int(sizes["t"][int(fits[-1])].as_py()) if len(fits) else 1 << 62
-    got = contexts.where((F.col("t") >= least) | (F.col("d") == 0)).select("d", "ctx", "s").toArrow().sort_by([("d", "ascending"), ("ctx", "ascending")])
-    if not got.num_rows:
-        none = np.zeros(0, np.int64)
-        return build_tree(np.zeros(1, np.int64), np.zeros(1, np.int64), none, none, none, depth)
-    lists = got.combine_chunks()["s"].combine_chunks()
-    pairs = lists.flatten()
-    return build_tree(got["d"].to_numpy(), got["ctx"].to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())),
-                      pairs.field(0).to_numpy(zero_copy_only=False), pairs.field(1).to_numpy(zero_copy_only=False).astype(np.float64), depth)
-
-
-def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, nodes: int = NODES, hot: int = HOT) -> DataFrame:
+@lru_cache(maxsize=1)
+def _gammas() -> tuple[np.ndarray, np.ndarray]:
+    x = np.arange(TABLE, dtype=np.float64)
+    return log_gamma(x + 0.5), log_gamma(x + 1)
+
+
+def kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`kt_log` of whole counts, most of them from a table."""
+    half, whole = _gammas()
+
+    def at(table: np.ndarray, x: np.ndarray, shift: float) -> np.ndarray:
+        out = table[np.minimum(x, TABLE - 1).astype(np.int64)]
+        big = x >= TABLE
+        out[big] = log_gamma(x[big] + shift)
+        return out
+
+    return at(half, a, 0.5) + at(half, b, 0.5) - np.log(np.pi) - at(whole, a + b, 1.0)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal values, and for each place its run."""
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _mixed(zero: np.ndarray, one: np.ndarray, below: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """log weighted probability, and the share of the node's own estimate in it."""
+    own = kt_counts(zero, one)
+    if last:
+        return own, np.ones(len(own))
+    mixed = np.logaddexp(own, below) - np.log(2.0)
+    return mixed, np.exp(np.minimum(0.0, own - np.log(2.0) - mixed))
+
+
+class Span:
+    """The part of the tree over sorted distinct ``keys`` with training counts ``n``. A cell is one binary
+    decision (a prefix of the symbol) at one node; cells without a count have log probability 0."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.depth = depth
+        self.context: list = [None] * (depth + 1)  # per depth: each node's context
+        self.parent: list = [None] * (depth + 1)  # each node's place in the depth above
+        self.pairs: list = [None] * (depth + 1)  # node * 256 + symbol, sorted, with its count
+        own = keys >> 8
+        starts, node = _runs(own)
+        self.context[depth], self.pairs[depth] = own[starts], ((node << 8) | (keys & 255), n.astype(np.float64))
+        for d in range(depth, 0, -1):
+            up = self.context[d] >> 8
+            starts, self.parent[d] = _runs(up)
+            self.context[d - 1] = up[starts]
+            pair, count = self.pairs[d]
+            pair, at = np.unique((self.parent[d][pair >> 8] << 8) | (pair & 255), return_inverse=True)
+            self.pairs[d - 1] = pair, np.bincount(at, count, len(pair))
+
+    def bits(self, j: int) -> tuple[list, list]:
+        """For the ``j``-th binary decision, per depth: cell (node, leading bits), zeros, ones, sum of the log
+        probabilities of the children that lie within, whether the node may reach beyond, the cell's place in
+        the depth above and the own estimate's share; and for each key its cell."""
+        out, below, row = [], None, None
+        for d in range(self.depth, -1, -1):
+            pair, count = self.pairs[d]
+            lead = pair >> (8 - j)
+            starts, inverse = _runs(lead)
+            row = inverse if d == self.depth else row
+            cell = lead[starts]
+            one = np.add.reduceat(count * ((pair >> (7 - j)) & 1), starts)
+            zero = np.add.reduceat(count, starts) - one
+            under = np.zeros(len(cell))
+            if out:  # the children's cells find theirs here
+                kid = out[-1]
+                kid["up"] = np.searchsorted(cell, (self.parent[d + 1][kid["cell"] >> j] << j) | (kid["cell"] & ((1 << j) - 1)))
+                under = np.bincount(kid["up"], below, len(cell))
+            edge = ((cell >> j) == 0) | ((cell >> j) == len(self.context[d]) - 1)
+            mixed, weight = _mixed(zero, one, under, d == self.depth)
+            below = np.where(edge, 0.0, mixed)
+            out.append({"cell": cell, "zero": zero, "one": one, "below": under, "edge": edge, "weight": weight})
+        return out[::-1], row
+
+    def edges(self) -> Iterator[tuple]:
+        """(depth, context, prefix, zeros, ones, below) of the cells of nodes that may reach beyond."""
+        for j in range(8):
+            for d, level in enumerate(self.bits(j)[0]):
+                e = level["edge"]
+                cell = level["cell"][e]
+                yield (np.full(len(cell), d, np.int32), self.context[d][cell >> j], ((1 << j) | (cell & ((1 << j) - 1))).astype(np.int32),
+                       level["zero"][e], level["one"][e], level["below"][e])
+
+    def scores(self, edges: list) -> np.ndarray:
+        """log10 probability of each key's symbol after its context."""
+        symbol = self.pairs[self.depth][0] & 255
+        out = np.zeros(len(symbol))
+        for j in range(8):
+            levels, row = self.bits(j)
+            for d, level in enumerate(levels):
+                e = level["edge"]
+                sofar, left = np.zeros(len(e)), np.ones(len(e))  # mixture of the estimates so far, weight left for deeper nodes
+                if d:
+                    sofar, left = (v[level["up"]] for v in above)
+                sofar = sofar + left * level["weight"] * (level["one"] + 0.5) / (level["zero"] + level["one"] + 1.0)
+                left = left * (1 - level["weight"])
+                keys, *values = edges[d]
+                cell = level["cell"][e]
+                at = np.searchsorted(keys, (self.context[d][cell >> j] << 8) | (1 << j) | (cell & ((1 << j) - 1)))
+                sofar[e], left[e] = (v[at] for v in values)
+                above = sofar, left
+            p = np.clip(sofar, 1e-12, 1 - 1e-12)[row]  # nothing is left at full depth
+            out += np.log10(np.where((symbol >> (7 - j)) & 1, p, 1 - p))
+        return out
+
+
+def join_edges(cells: pa.Table, depth: int) -> list[tuple]:
+    """Per depth: context * 256 + prefix of the nodes between ranges, sorted, with the mixture of the
+    estimates so far and the weight left."""
+    d, context, prefix, zero, one, below = (cells[c].to_numpy() for c in ("d", "ctx", "prefix", "zero", "one", "below"))
+    levels, kid = [], None
+    for k in range(depth, -1, -1):
+        at = np.flatnonzero(d == k)
+        key = (context[at] << 8) | prefix[at]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        under = below[at]
+        if kid:
+            kid["up"] = np.searchsorted(key, (kid["key"] >> 16 << 8) | (kid["key"] & 255))
+            under = under + np.bincount(kid["up"], kid["mixed"], len(key))
+        mixed, weight = _mixed(zero[at], one[at], under, k == depth)
+        kid = {"key": key, "mixed": mixed, "weight": weight, "p": (one[at] + 0.5) / (zero[at] + one[at] + 1.0)}
+        levels.append(kid)
+    out = []
+    for k, level in enumerate(levels[::-1]):
+        sofar, left = (v[level["up"]] for v in out[-1][1:]) if k else (0.0, 1.0)
+        out.append((level["key"], sofar + left * level["weight"] * level["p"], left * (1 - level["weight"])))
+    return out
+
+
+def grow(grams: DataFrame, depth: int, rows: int = ROWS) -> DataFrame:
+    """``grams(gram, n, every)``, a row for each distinct string -> gram, every, logp. Each task holds one
+    range of about ``rows`` strings; the driver the nodes between ranges."""
+    spark = grams.sparkSession
+    ranges = max(1, -(-grams.count() // rows))
+    laid = cut_lineage(grams.select("gram", "n", "every").repartitionByRange(ranges, "gram"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cols = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if not cols:
+            return (np.zeros(0, np.int64),) * 3
+        gram, n, every = (np.concatenate(c) for c in zip(*cols, strict=True))
+        order = np.argsort(gram)
+        return gram[order], n[order], every[order]
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n, _ = held(batches)
+        if len(gram):
+            cols = [np.concatenate(c) for c in zip(*Span(gram, n, depth).edges(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "ctx", "prefix", "zero", "one", "below"])
+
+    cells = (laid.mapInArrow(lean(between), "d int, ctx bigint, prefix int, zero double, one double, below double")
+             .groupBy("d", "ctx", "prefix").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "below")]))
+    shared = broadcast_value(spark, join_edges(cells.toArrow(), depth))
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n, every = held(batches)
+        if len(gram):
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(every), pa.array(Span(gram, n, depth).scores(shared.value))],
+                                             names=["gram", "every", "logp"])
+
+    return cut_lineage(laid.mapInArrow(lean(final), "gram bigint, every bigint, logp double"))
+
+
+def most_seen(strings: DataFrame, hot: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count at which no more than ``hot`` strings remain, these strings sorted and their logp."""
+    sizes = strings.groupBy("every").agg(F.count("*").alias("k")).orderBy(F.desc("every")).limit(hot).toArrow()
+    fits = np.flatnonzero(np.cumsum(sizes["k"].to_numpy()) <= hot)
+    least = int(sizes["every"][int(fits[-1])].as_py()) if len(fits) else (1 << 62)
+    got = strings.where(F.col("every") >= least).select("gram", "logp").toArrow()
+    gram, logp = got["gram"].to_numpy(), got["logp"].to_numpy()
+    order = np.argsort(gram)
+    return least, gram[order], logp[order]
+
+
+def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, hot: int = HOT, rows: int = ROWS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row;
     learns from the rows where ``train`` holds."""
     spark = docs.sparkSession
@@ -280,48 +448,86 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
     counted = cut_lineage(counted)
     vocabulary = counted.where("kind = 0")
     big_n, big_v, every = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
-    grams = counted.where("kind = 1").select("gram", "n")
-    model = grow(grams, depth, nodes)
+    strings = grow(counted.where("kind = 1"), depth, rows)
+    least, often, logp = most_seen(strings, 2 * hot)
     heavy = vocabulary.where(F.col("every") * hot >= every).select("token", "n").toArrow()
     heavy = dict(zip(heavy["token"].to_pylist(), heavy["n"].to_pylist(), strict=True))
     low = big_n + 0.5 * (big_v + 1)
-    shared = broadcast_value(spark, (model, {t: float(np.log10((c + 0.5) / low)) for t, c in heavy.items()}, float(np.log10(0.75 / low))))
+    shared = broadcast_value(spark, (often, logp, {t: float(np.log10((c + 0.5) / low)) for t, c in heavy.items()}, float(np.log10(0.75 / low))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, once = shared.value
+        often, logp, known, once = shared.value
+        pad = bytes([END]) * depth
         part = TaskContext.get().partitionId()
         at = 0
         rare: dict[bytes, int] = {}  # token -> its number
         which, where = array("i"), array("i")  # for each occurrence: the token's number and the row
+        seldom: list[tuple[np.ndarray, np.ndarray]] = []  # strings to be joined, and their rows
+        waiting = 0
 
-        def rows(first: int, ids: list, lines: list[tuple]) -> pa.RecordBatch:
+        def lines_out(first: int, ids: list, lines: list[tuple]) -> pa.RecordBatch:
             n = len(lines)
             cols = list(zip(*lines, strict=True)) if lines else [()] * 5
             return pa.RecordBatch.from_arrays(
                 [pa.array([part] * n, pa.int32()), pa.array(range(first, first + n), pa.int32()), pa.array(ids, pa.int64()),
                  *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)],
-                 pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+                 pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+
+        def to_join(token: pa.Array, gram: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+            n = len(lists)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                 pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), token, gram, lists], names=names)
 
         def unknown() -> pa.RecordBatch:
             n = len(rare)
             number = np.frombuffer(which, np.int32)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=n))]).astype(np.int32),
                                              np.frombuffer(where, np.int32)[np.argsort(number, kind="stable")])
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.array(list(rare), pa.binary()),
-                 lists], names=names)
+            out = to_join(pa.array(list(rare), pa.binary()), pa.nulls(n, pa.int64()), lists)
             rare.clear()
             return out
 
-        names = ["part", "row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "token", "rows"]
+        def unseen() -> pa.RecordBatch:
+            nonlocal waiting
+            keys, at = (np.concatenate(c) for c in zip(*seldom, strict=True))
+            seldom.clear()
+            waiting = 0
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts, _ = _runs(keys)
+            lists = pa.ListArray.from_arrays(np.append(starts, len(keys)).astype(np.int32), at[order])
+            return to_join(pa.nulls(len(starts), pa.binary()), pa.array(keys[starts]), lists)
+
+        def text_scores(raws: list[bytes], first: int) -> np.ndarray:
+            """Sum over the broadcast strings of each text; the others wait for the join."""
+            nonlocal waiting
+            keys = tree_keys(np.frombuffer(b"".join(pad + r + b"\xff" for r in raws), np.uint8), depth)
+            lens = np.array([len(r) + 1 for r in raws])
+            starts = np.cumsum(lens) - lens
+            number = np.repeat(np.arange(len(raws)), lens)
+            keys = keys[np.arange(len(number)) + depth * number]  # not the padding of the later texts
+            if not len(often):
+                seldom.append((keys, (first + number).astype(np.int32)))
+                waiting += len(keys)
+                return np.zeros(len(raws))
+            at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+            other = often[at] != keys
+            lp = logp[at]
+            lp[other] = 0.0
+            if other.any():
+                seldom.append((keys[other], (first + number[other]).astype(np.int32)))
+                waiting += len(seldom[-1][0])
+            return np.add.reduceat(lp, starts)
+
+        names = ["part", "row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "token", "gram", "rows"]
         for batch in slices(batches):
             ids = batch.column(2).to_pylist()
             first, lines, raws, size = at, [], [], 0
 
             def settle() -> None:
                 nonlocal size
-                for i, s in enumerate(tree.text_scores(raws) if raws else ()):
+                for i, s in enumerate(text_scores(raws, at - len(raws)) if raws else ()):
                     j = len(lines) - len(raws) + i
                     lines[j] = (*lines[j][:3], float(s), lines[j][4])
                 raws.clear()
@@ -350,17 +556,25 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
                     yield unknown()
                     which, where = array("i"), array("i")
             settle()
-            yield rows(first, ids, lines)
+            yield lines_out(first, ids, lines)
+            if waiting > 8 * HELD:
+                yield unseen()
         if rare:
             yield unknown()
+        if seldom:
+            yield unseen()
 
-    schema = "part int, row int, doc_id bigint, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, token binary, rows array<int>"
+    schema = "part int, row int, doc_id bigint, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, token binary, gram bigint, rows array<int>"
     scored = cut_lineage(src.select("train", "text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(lean(run), schema))
     light = vocabulary.where(F.col("every") * hot < every).select("token", F.col("n").alias("c"))
-    rest = (scored.where(F.col("token").isNotNull()).select("part", "token", "rows").join(light, "token")
-            .select("part", F.explode("rows").alias("row"), F.log10((F.col("c") + 0.5) / low).alias("lp"), (F.col("c") > 0).cast("int").alias("hit"))
-            .groupBy("part", "row").agg(F.sum("lp").alias("lp"), F.sum("hit").alias("hit")))
-    out = scored.where(F.col("token").isNull()).drop("token", "rows").join(rest, ["part", "row"], "left")
+    words = (scored.where(F.col("token").isNotNull()).select("part", "token", "rows").join(light, "token")
+             .select("part", F.explode("rows").alias("row"), F.log10((F.col("c") + 0.5) / low).alias("lp"), (F.col("c") > 0).cast("int").alias("hit"),
+                     F.lit(0.0).alias("more")))
+    others = (scored.where(F.col("gram").isNotNull()).select("part", "gram", "rows").join(strings.where(F.col("every") < least), "gram")
+              .select("part", F.explode("rows").alias("row"), F.lit(0.0).alias("lp"), F.lit(0).alias("hit"), F.col("logp").alias("more")))
+    rest = words.unionByName(others).groupBy("part", "row").agg(F.sum("lp").alias("lp"), F.sum("hit").alias("hit"), F.sum("more").alias("more"))
+    out = (scored.where(F.col("row").isNotNull()).drop("token", "gram", "rows").join(rest, ["part", "row"], "left")
+           .withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("hit", F.lit(0))).alias("n_known"), F.lit(big_n).cast("bigint").alias("train_tokens"),
                       (F.col("base") + F.coalesce("lp", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
                       (-F.col("score") / np.log10(2.0) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

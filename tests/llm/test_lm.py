@@ -91,6 +91,32 @@ def test_pruned_tree_is_a_distribution_too():
     assert len(model.step) < len(full.step)
 
 
+@pytest.mark.parametrize("hot,rows", [(1 << 18, 1 << 17), (300, 700), (1, 5)])
+def test_every_context_counts(spark, hot, rows):
+    """Scores equal those of the whole tree, contexts seen once included, wherever ranges are cut."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr("doc_id", "substr(text, 1, 150) text").limit(40)
+    got = docs.collect()
+    train = {r["doc_id"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1}
+    model = build([r["text"] for r in got if r["doc_id"] in train], 5)
+    want = dict(zip([r["doc_id"] for r in got], model.text_scores([lm.lowered(r["text"]) for r in got]), strict=True))
+    have = {r["doc_id"]: r["score"] for r in lm.op5(docs).collect()} if rows == 1 << 17 else {
+        r["doc_id"]: r["score"] for r in lm.score(docs, lm.F.col("doc_id").isin(list(train)), hot=hot, rows=rows).collect()}
+    assert have == pytest.approx(want, abs=2e-3)
+
+
+def test_more_contexts_than_any_cap(spark):
+    """Text that repeats random strings: each later string is known only to a tree that keeps all contexts."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 40 : i * 40 + 40])) for i in range(100)] * 2, "doc_id long, text string")
+    bits = lm.score(docs, lm.F.lit(True)).selectExpr("avg(bits_per_byte)").first()[0]
+    model = build([r["text"] for r in docs.collect()], 5)
+    assert len(model.step) - 1 > 32767
+    raws = [lm.lowered(r["text"]) for r in docs.collect()]
+    want = np.mean([-s / math.log10(2) / (len(r) + 1) for s, r in zip(model.text_scores(raws), raws, strict=True)])
+    assert bits == pytest.approx(want, abs=1e-4)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.25, 1e3, 1e9])
     assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
