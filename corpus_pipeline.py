@@ -19,11 +19,11 @@ ENTROPY, MAX_REPEATS = 0.95, 1.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (``und``), or with no language clearly ahead, go; the others
-    take the predicted language. Learned from the stage's own documents outside fold 0."""
+    """Documents without a language (``und``), or with no language clearly ahead (the method's flag
+    ``ambiguous``), go; the others take the predicted language. Learned from the stage's own documents outside fold 0."""
     model = langid.fit(docs, train=~is_fold(F.col("doc_id"), 0) & F.col("doc_id").isNotNull())
     said = langid.predict(docs.withColumn("__lang", F.col("lang")), model)
-    kept = said.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = said.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous") & (F.col("score") >= MIN_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

@@ -27,6 +27,18 @@ def test_stages_follow_the_contract(spark):
     assert corpus_pipeline.run(spark, SF001).count() == rows["byte_bpe"].count()
 
 
+def test_ambiguous_languages_go(spark):
+    """A near tie of two languages and unlearned ones go; clean short texts stay."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    said = {lang: docs.where(docs.lang == lang).orderBy("doc_id").first() for lang in ("de", "en", "es", "fr")}
+    bad = [said["de"]["text"][:400] + " " + said["en"]["text"][:400], "Καλημέρα σας τι κάνετε σήμερα", "Привет как дела сегодня"]
+    extra = [(-1 - i, t, None) for i, t in enumerate(bad)] + [(-10 - i, r["text"][:30], lang) for i, (lang, r) in enumerate(said.items())]
+    more = spark.createDataFrame(extra, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs.unionByName(more, allowMissingColumns=True), SF001).checkpoint()
+    assert {r["doc_id"]: r["lang"] for r in kept.where("doc_id < 0").collect()} == {i: lang for i, _, lang in extra if lang}
+    assert kept.where("doc_id >= 0").count() == docs.count()
+
+
 def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, "short text", None, "a", 10), (2, "short text", None, "a", 10)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
