@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import ann, bpe, jaccard, langid, lm, mixing, periodic, quality, topk, urlfilter, variants, warc
+from kestrel.llm import ann, bpe, jaccard, langid, lm, mixing, packing, periodic, quality, topk, urlfilter, variants, warc
 from kestrel.llm.common import table
 
 
@@ -48,6 +48,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.op11(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.op12(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op8_nearest_neighbours": (op8_nearest_neighbours, ann.ORACLE),
     "op9_language_id": (op9_language_id, None),
     "op10_warc": (op10_warc, warc.ORACLE),
+    "op11_lexical_packing": (op11_lexical_packing, None),
     "op12_spelling_variants": (op12_spelling_variants, variants.ORACLE),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }
