@@ -1,12 +1,12 @@
 """Lexical retrieval packing: sequences of ids whose documents are BM25 neighbours of one another.
 
 1. Every text is encoded by the given tokenizer (in pieces between ASCII white space, over which no token reaches) and
-   an end id is added; ids go once, two bytes each, to a table in the shared folder.
+   an end id is added; ids go once, two bytes each, to a table in the shared folder, with the document's key: the
+   signs of ``BITS`` random projections of its distinct tokens, weighted by their place in the vocabulary.
 2. How many documents hold each token, how many documents there are and their mean length are counted over all of them
    (one row per token of the vocabulary: the bound of what reaches the driver and is broadcast).
-3. Documents are dealt to shards by content: the signs of ``BITS`` random projections of a document's idf-weighted
-   tokens, against the corpus mean, are its key, and the table is range-partitioned and sorted by (key, id). Alike
-   documents meet; a key that a third of all documents share is cut by id into as many ranges as its rows need.
+3. Documents are dealt to shards by content: the table is range-partitioned and sorted by (key, id). Alike documents
+   meet; a key that a third of all documents share is cut by id into as many ranges as its rows need.
 4. A shard is ``SHARD_TOKENS`` ids or ``SHARD_DOCS`` documents in that order, whichever comes first (or one longer
    document). It holds a BM25 inverted index: postings per token, dense rows for tokens of an eighth of its documents.
    The seed fills its window first; then its unused neighbours follow, best score first (ties and strangers in table
@@ -23,6 +23,7 @@ tokens in a text are ordinary text. A vocabulary of more than 65,536 ids is refu
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import broadcast_value, ensure_checkpoint_dir, lean, slices, texts
 
 WINDOW, END_ID = 2048, 1
-SHARD_TOKENS, SHARD_DOCS = 1 << 20, 8192
+SHARD_TOKENS, SHARD_DOCS = 1 << 19, 8192
 K1, B, BITS, SEED = 1.2, 0.75, 24, 11
 SEGMENT, CACHED_BYTES, CACHE = 1 << 20, 64, 1 << 19
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -46,6 +47,7 @@ SPACE = re.compile(rb"[\x20\x09-\x0d]")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")  # the same, for what SIMPLE takes
+TOKENS = "doc_id bigint, n bigint, key int, ids binary, held binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -66,6 +68,7 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_names = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.plain = self._same_rules(tokenizer_json)
@@ -87,13 +90,16 @@ class Encoder(dict):
         return ids
 
     def __missing__(self, part: bytes) -> bytes:
-        text = part.decode()
-        if self.plain and len(part) <= CACHED_BYTES and SIMPLE.fullmatch(text):
-            ids = b"".join([self._word(w) for w in WORDS.findall(text.lower())])
-        else:
-            ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = self.older.get(part)
+        if ids is None:
+            text = part.decode()
+            if self.plain and len(part) <= CACHED_BYTES and SIMPLE.fullmatch(text):
+                ids = b"".join([self._word(w) for w in WORDS.findall(text.lower())])
+            else:
+                ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(part) <= CACHED_BYTES:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # what was met since the table was last full stays within reach
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -108,8 +114,46 @@ class Encoder(dict):
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(tokenizer_json: str) -> Encoder:
+    """One encoder per Python worker, kept from task to task."""
+    return Encoder(tokenizer_json)
+
+
+def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of every term that each document holds besides its end id, by document, then term."""
+    sizes = [len(d) - 1 for d in docs]
+    if not sum(sizes):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    wide = np.uint32 if len(docs) <= 1 << 16 else np.uint64
+    pairs = np.repeat(np.arange(len(docs), dtype=wide) << wide(16), sizes)
+    pairs |= np.concatenate([d[:-1] for d in docs])
+    pairs.sort()
+    first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    pairs, times = pairs[first], np.diff(np.r_[first, len(pairs)])
+    return (pairs >> wide(16)).astype(np.int64), (pairs & wide(0xFFFF)).astype(np.int64), times
+
+
+def projections() -> np.ndarray:
+    """A random sign per token and bit, weighted by the token's place in the vocabulary: later merges are rarer."""
+    signs = np.random.default_rng(SEED).integers(0, 2, (1 << 16, BITS)) * 2 - 1
+    return (signs * np.log1p(np.arange(1 << 16) / 512)[:, None]).astype(np.float32)
+
+
+def content_keys(size: int, doc: np.ndarray, term: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """The signs of the projections of ``size`` documents' distinct terms, as integers."""
+    sums = np.zeros((size, BITS), np.float32)
+    if len(doc):
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        sums[doc[starts]] = np.add.reduceat(plane[term], starts, axis=0)
+    return (sums > 0) @ (1 << np.arange(BITS)[::-1])
+
+
 def token_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, ids): the ids of every text and the end id, written to the shared folder and read back."""
+    """(doc_id, n, key, ids) of every text, with the end id, and one row per task that has only ``held``: how many of
+    the task's documents hold each token. Written to the shared folder and read back."""
+    names = [c.split()[0] for c in TOKENS.split(", ")]
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     from tokenizers import Tokenizer
@@ -120,14 +164,22 @@ def token_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     end = _packed([end_id])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, plane = worker_encoder(shared.value), projections()
+        held = np.zeros(1 << 16, np.int64)
         for batch in slices(batches):
             ids = [(encoder.encode(t.encode()) if t else b"") + end for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            doc, term, _ = distinct_terms([token_ids(i) for i in ids])
+            held += np.bincount(term, minlength=1 << 16)
+            keys = content_keys(len(ids), doc, term, plane)
+            sizes = pa.array([len(i) // 2 for i in ids], pa.int64())
+            columns = [batch.column(0), sizes, pa.array(keys, pa.int32()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([held.astype("<i8").tobytes()])]
+        yield pa.RecordBatch.from_arrays(last, names=names)
 
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/ids-{uuid.uuid4()}"
-    rows.mapInArrow(lean(encode), "doc_id bigint, n bigint, ids binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lean(encode), TOKENS).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -135,30 +187,14 @@ def token_ids(buffer: bytes) -> np.ndarray:
     return np.frombuffer(buffer, "<u2")
 
 
-def distinct(ids: np.ndarray) -> np.ndarray:
-    """The different ids in order: marks in a table of all ids are quicker than sorting."""
-    marks = np.zeros(1 << 16, bool)
-    marks[ids] = True
-    return np.flatnonzero(marks)
-
-
 class Statistics:
-    """Corpus counts that BM25 and the keys need: idf per token, mean length, projections and their corpus mean."""
+    """What BM25 needs of the corpus: idf per token and the mean length."""
 
     def __init__(self, held: dict[int, int], docs: int, tokens: int):
         df = np.zeros(1 << 16)
         df[list(held)] = list(held.values())
         self.idf = np.where(df > 0, np.log1p((docs - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
         self.mean_length = tokens / max(docs, 1)
-        self.signs = np.where(np.random.default_rng(SEED).integers(0, 2, (1 << 16, BITS)) > 0, 1, -1).astype(np.float32)
-        weight = self.idf * df
-        self.centre = (weight @ self.signs / max(weight.sum(), 1e-12)).astype(np.float32)
-
-    def key(self, ids: np.ndarray) -> int:
-        terms = distinct(ids)
-        idf = self.idf[terms]
-        above = idf @ self.signs[terms] > idf.sum() * self.centre
-        return int(above @ (1 << np.arange(BITS)[::-1]))
 
 
 def statistics(tokens: DataFrame) -> Statistics:
@@ -167,13 +203,14 @@ def statistics(tokens: DataFrame) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in texts(batch.column(0)):
-                held[distinct(token_ids(ids)[:-1])] += 1
+            for part in texts(batch.column(0)):
+                held += np.frombuffer(part, "<i8")
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(held[seen])], names=["term", "n"])
 
-    held = tokens.select("ids").mapInArrow(lean(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    size = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    parts = tokens.where(F.col("held").isNotNull()).select("held")
+    held = parts.mapInArrow(lean(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    size = tokens.agg(F.count("n").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     return Statistics({r["term"]: r["n"] for r in held.collect()}, size["docs"], size["tokens"])  # at most 65,536 rows
 
 
@@ -182,14 +219,9 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics):
         self.docs, size = docs, len(docs)
-        self.terms = [distinct(d[:-1]) for d in docs]
-        term = np.concatenate(self.terms)
-        number, tf = np.zeros(1 << 16, np.int64), []
-        for d, t in zip(docs, self.terms, strict=True):
-            number[t] = np.arange(len(t))
-            tf.append(np.bincount(number[d[:-1]], minlength=len(t)))
-        tf = np.concatenate(tf).astype(np.float32)
-        doc = np.repeat(np.arange(size, dtype=np.int32), [len(t) for t in self.terms])
+        doc, term, times = distinct_terms(docs)
+        self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=size))[:-1])
+        tf = times.astype(np.float32)
         long = np.array([len(d) for d in docs], np.float32) / np.float32(stats.mean_length)
         weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc]))
         order = np.argsort(term, kind="stable")
@@ -207,7 +239,7 @@ class Shard:
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 score of every document for the distinct ``terms``."""
         row = self.row[terms]
-        out = self.dense[row[row >= 0]].sum(axis=0)
+        out = self.dense[row[row >= 0]].sum(axis=0)  # row by row: equal documents get equal sums
         rare = terms[row < 0]
         count = self.first[rare + 1] - self.first[rare]
         rare, count = rare[count > 0], count[count > 0]
@@ -298,11 +330,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     tokens = token_table(df, tokenizer_path, id_col, text_col, end_id)
     stats = broadcast_value(df.sparkSession, statistics(tokens))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [stats.value.key(token_ids(v)[:-1]) for v in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *batch.columns], names=["key", "doc_id", "ids"])
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId())
         doc_ids: list = []
@@ -337,8 +364,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if out:
             yield _batch(out)
 
-    keys = tokens.select("doc_id", "ids").mapInArrow(lean(keyed), "key int, doc_id bigint, ids binary")
-    dealt = keys.repartitionByRange("key", "doc_id", F.crc32("ids")).sortWithinPartitions("key", "doc_id", F.crc32("ids"))
+    order = ["key", "doc_id", F.crc32("ids")]
+    dealt = tokens.where(F.col("ids").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(lean(packed), PIECES)
 
 
