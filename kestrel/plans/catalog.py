@@ -641,8 +641,9 @@ def _svm_grid(spark, df, d, kernel, C_list, gamma_list=None, n_iter=6):
     from kestrel.plans.model_selection import SvmSettings, grid_search
 
     res = grid_search(df, d, C_list, gamma_list, SvmSettings(kernel, 256, SEED, 200, 1e-4), n_iter)
+    # residual: relative duality gap of the hinge (kernels), relative gradient (linear), the largest of the splits
     return res.grid_long.select(F.col("idx_c").cast("int").alias("idx_c"), "c", "idx_gamma", "gamma", "metric",
-                                r6(F.col("value")).alias("value"))
+                                r6(F.col("value")).alias("value"), "converged", "residual")
 
 
 def q_linear_grid_embeddings(spark: SparkSession, sf: str) -> DataFrame:
