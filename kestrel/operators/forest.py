@@ -1,38 +1,214 @@
-"""Tree-ensemble feature selection (M9, M10) on MLlib's RandomForestClassifier.
+"""Tree-ensemble feature selection (M9, M10): extremely randomised trees, grown level by level.
 
-No bootstrap, sqrt feature subsets, seeded. MLlib searches binned thresholds rather than
-random ones, so importances are close to, not equal to, extremely randomised trees."""
+Every node draws sqrt(d) features and for each one a threshold, uniform between the node's smallest and largest
+value of it; the split of largest Gini decrease is taken (ties: the feature drawn first). No bootstrap: every tree
+sees all rows. A node ends when it is pure, holds fewer than two rows, reaches ``max_depth``, or all its features
+are constant; one whose drawn features are all constant draws the next ones in the following round.
+
+All trees grow at once. A round is two passes over the cached rows: the range of each (node, drawn feature), then
+the class counts left of each threshold. A task walks its rows down the trees so far (they are broadcast; nothing
+is kept per row, so a lost executor costs its own passes only) and sends one vector per pass, at most
+``BLOB_DOUBLES`` long: trees go through a round in batches. The driver holds the trees, at most ``MAX_NODES``
+nodes. All draws are hashes of (seed, tree, node, feature), so the forest doesn't depend on partitions.
+
+Importance: each tree's Gini decreases per feature, weighted by rows and scaled to sum 1, averaged over the trees."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.arrow import column, list_to_matrix
+from kestrel.operators.stats import BLOB_SCHEMA, _blob_batch, sum_partials
+from kestrel.session import persist
+
+BLOB_DOUBLES = 1_500_000
+MAX_NODES = 8_000_000
+MAX_LEVELS = 62  # node names are paths in 64 bits
+
+
+def mixed(*parts) -> np.ndarray:
+    """A 64-bit hash of integers (arrays broadcast against one another), by multiply-xorshift rounds."""
+    h = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ np.asarray(p).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def drawn_features(seed: int, tree: np.ndarray, name: np.ndarray, attempt: np.ndarray, d: int, k: int) -> np.ndarray:
+    """(nodes, k) features of each node's ``attempt``-th draw without replacement; -1 past the last feature."""
+    order = np.argsort(mixed(seed, 1, tree[:, None], name[:, None], np.arange(d)[None, :]), axis=1, kind="stable")
+    at = attempt[:, None] * k + np.arange(k)[None, :]
+    return np.where(at < d, np.take_along_axis(order, np.minimum(at, d - 1), axis=1), -1)
+
+
+def drawn_thresholds(seed: int, tree: np.ndarray, name: np.ndarray, feature: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Uniform in [lo, hi) per node and feature (values up to the threshold go left, so neither side is empty)."""
+    u = (mixed(seed, 2, tree[:, None], name[:, None], feature) >> np.uint64(11)) / float(1 << 53)
+    with np.errstate(invalid="ignore"):
+        t = lo + u * (hi - lo)
+    return np.where(t < hi, t, lo)
+
+
+def gini(n0, n1):
+    """Gini impurity times the number of rows."""
+    n = n0 + n1
+    return n - (n0 * n0 + n1 * n1) / np.maximum(n, 1)
+
+
+@dataclass
+class Trees:
+    """All nodes of all trees: split feature (-1: none), threshold, left child (the right one follows)."""
+
+    root: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+
+    def walk(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """The node that each row reaches."""
+        at = np.full(len(x), self.root[tree])
+        rows = np.arange(len(x))
+        while len(rows):
+            f = self.feature[at[rows]]
+            rows, f = rows[f >= 0], f[f >= 0]
+            node = at[rows]
+            at[rows] = self.left[node] + (x[rows, f] > self.threshold[node])
+        return at
+
+
+def _blocks(batches, d, features, label):
+    for b in batches:
+        if b.num_rows:
+            yield list_to_matrix(column(b, features), d), (column(b, label).to_numpy(zero_copy_only=False) == 1).astype(np.int64)
+
 
 @dataclass
 class ForestSelector:
     n_estimators: int = 100
     threshold: float = 0.005
-    max_depth: int = 12
+    max_depth: int | None = 12  # None: until pure
     seed: int = 0
     importances: list = field(default=None)
     indices: list = field(default=None)
+    trees: Trees = field(default=None, repr=False)
 
     def fit(self, df: DataFrame, features: str = "features", label: str = "label") -> "ForestSelector":
-        data = df.filter(F.col(label).isNotNull()).select(array_to_vector(features).alias("_v"), F.col(label).alias("_y"))
-        rf = RandomForestClassifier(
-            featuresCol="_v", labelCol="_y", numTrees=int(self.n_estimators), bootstrap=False,
-            featureSubsetStrategy="sqrt", maxDepth=int(self.max_depth), seed=int(self.seed), subsamplingRate=1.0,
-        )
-        model = rf.fit(data)
-        self.importances = [float(v) for v in model.featureImportances.toArray()]
+        from kestrel.plans.model_selection import spread
+
+        base = persist(df.filter(F.col(label).isNotNull()).select(features, label))
+        data = persist(spread(base))
+        head = data.agg(
+            F.max(F.size(features)).alias("d"), F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("ones"),
+            F.sum((~F.col(label).isin(0.0, 1.0)).cast("long")).alias("other"),
+        ).first()
+        if not head["n"] or head["other"]:
+            raise ValueError("a forest needs labelled rows, all of class 0 or 1")
+        gains = self._grow(data, int(head["d"]), head["n"] - head["ones"], head["ones"], features, label)
+        data.unpersist()
+        base.unpersist()
+        total = gains.sum(axis=1, keepdims=True)
+        self.importances = np.where(total > 0, gains / np.where(total > 0, total, 1.0), 0.0).mean(axis=0).tolist()
         self.indices = [i for i, v in enumerate(self.importances) if v > self.threshold]
         return self
 
+    def _grow(self, data: DataFrame, d: int, n0: int, n1: int, features: str, label: str) -> np.ndarray:
+        t, k = int(self.n_estimators), max(1, int(math.sqrt(d)))
+        deepest = MAX_LEVELS if self.max_depth is None else min(int(self.max_depth), MAX_LEVELS)
+        trees = Trees(np.arange(t), np.full(t, -1), np.zeros(t), np.full(t, -1))
+        gains = np.zeros((t, d))
+        # open nodes: tree, place in the table, name (path from the root), draws so far, class counts
+        node = {"tree": np.arange(t), "at": np.arange(t), "name": np.ones(t, np.int64), "attempt": np.zeros(t, np.int64), "n0": np.full(t, float(n0)), "n1": np.full(t, float(n1))}
+        node = self._unfinished(node, deepest, d, k)
+        while len(node["at"]):
+            later = []
+            step = max(1, BLOB_DOUBLES // (2 * k))
+            for a in range(0, len(node["at"]), step):
+                part = {c: v[a : a + step] for c, v in node.items()}
+                drawn = drawn_features(self.seed, part["tree"], part["name"], part["attempt"], d, k)
+                ranges = self._pass(data, trees, part, drawn, None, d, features, label)
+                lo, hi = ranges[:, :, 0], -ranges[:, :, 1]
+                usable = (drawn >= 0) & (lo < hi)
+                cut = drawn_thresholds(self.seed, part["tree"], part["name"], drawn, lo, hi)
+                counts = self._pass(data, trees, part, np.where(usable, drawn, -1), cut, d, features, label)
+                l0, l1 = counts[:, :, 0], counts[:, :, 1]
+                r0, r1 = part["n0"][:, None] - l0, part["n1"][:, None] - l1
+                gain = np.where(usable, gini(part["n0"], part["n1"])[:, None] - gini(l0, l1) - gini(r0, r1), -np.inf)
+                best = gain.argmax(axis=1)
+                one = np.arange(len(best))
+                split = usable.any(axis=1)
+                later.append({c: (v[~split] + 1 if c == "attempt" else v[~split]) for c, v in part.items()})
+                s, b = one[split], best[split]
+                first = len(trees.feature) + 2 * np.arange(len(s))
+                if len(trees.feature) + 2 * len(s) > MAX_NODES:
+                    raise ValueError(f"the trees would hold more than {MAX_NODES} nodes; set max_depth")
+                trees.feature[part["at"][s]], trees.threshold[part["at"][s]], trees.left[part["at"][s]] = drawn[s, b], cut[s, b], first
+                np.add.at(gains, (part["tree"][s], drawn[s, b]), np.maximum(gain[s, b], 0.0))
+                both = lambda left, right: np.stack([left, right], 1).reshape(-1)
+                later.append({
+                    "tree": np.repeat(part["tree"][s], 2), "at": both(first, first + 1), "name": both(2 * part["name"][s], 2 * part["name"][s] + 1),
+                    "attempt": np.zeros(2 * len(s), np.int64), "n0": both(l0[s, b], r0[s, b]), "n1": both(l1[s, b], r1[s, b])})
+                more = 2 * len(s)
+                trees = Trees(trees.root, np.r_[trees.feature, np.full(more, -1)], np.r_[trees.threshold, np.zeros(more)], np.r_[trees.left, np.full(more, -1)])
+            node = self._unfinished({c: np.concatenate([p[c] for p in later]) for c in node}, deepest, d, k)
+        self.trees = trees
+        return gains
+
+    @staticmethod
+    def _unfinished(node: dict, deepest: int, d: int, k: int) -> dict:
+        depth = np.floor(np.log2(node["name"].astype(float))) if len(node["name"]) else np.zeros(0)
+        keep = (node["n0"] > 0) & (node["n1"] > 0) & (depth < deepest) & (node["attempt"] * k < d)
+        return {c: v[keep] for c, v in node.items()}
+
+    def _pass(self, data: DataFrame, trees: Trees, part: dict, drawn: np.ndarray, cut: np.ndarray | None, d: int, features: str, label: str) -> np.ndarray:
+        """Per open node and drawn feature: (smallest, -largest) value, or the class counts up to ``cut``."""
+        nodes, k = drawn.shape
+        slot_of = np.full(len(trees.feature), -1)
+        slot_of[part["at"]] = np.arange(nodes)
+        wanted = sorted(set(part["tree"].tolist()))
+        shared = data.sparkSession.sparkContext.broadcast((trees, slot_of, drawn, cut, wanted))
+
+        def run(batches):
+            trees_, slots, features_, cuts, ids = shared.value
+            out = np.full((nodes, k, 2), np.inf) if cuts is None else np.zeros((nodes, k, 2))
+            for x, y in _blocks(batches, d, features, label):
+                for tree in ids:
+                    slot = slots[trees_.walk(x, tree)]
+                    rows = np.flatnonzero(slot >= 0)
+                    if not len(rows):
+                        continue
+                    order = np.argsort(slot[rows], kind="stable")
+                    rows = rows[order]
+                    slot = slot[rows]
+                    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+                    here = slot[first]
+                    for j in range(k):
+                        f = features_[slot, j]
+                        v = x[rows, np.maximum(f, 0)]
+                        if cuts is None:
+                            out[here, j, 0] = np.minimum(out[here, j, 0], np.minimum.reduceat(v, first))
+                            out[here, j, 1] = np.minimum(out[here, j, 1], -np.maximum.reduceat(v, first))
+                        else:
+                            goes = (v <= cuts[slot, j]) & (f >= 0)
+                            out[here, j, 1] += np.add.reduceat((goes & (y[rows] == 1)).astype(float), first)
+                            out[here, j, 0] += np.add.reduceat((goes & (y[rows] == 0)).astype(float), first)
+            yield _blob_batch(out.reshape(-1))
+
+        size = nodes * k * 2
+        combine = np.minimum if cut is None else np.add
+        out = sum_partials(data.mapInArrow(run, BLOB_SCHEMA), size, combine).reshape(nodes, k, 2)
+        shared.unpersist()
+        return out
+
     def importance_frame(self, spark) -> DataFrame:
         """(feature_idx, importance, kept)."""
         rows = [(i, v, v > self.threshold) for i, v in enumerate(self.importances)]

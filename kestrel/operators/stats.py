@@ -45,12 +45,9 @@ def partial_map(fn, size: int):
     return run
 
 
-def _added(a, b):
-    return b if a is None else a if b is None else a + b
-
-
-def sum_partials(partials: DataFrame, size: int) -> np.ndarray:
-    """Sum the float64 blobs of ``partials`` (one per input partition) into one vector.
+def sum_partials(partials: DataFrame, size: int, combine=np.add) -> np.ndarray:
+    """Sum the float64 blobs of ``partials`` (one per input partition) into one vector, or join them by another
+    commutative ``combine`` of two vectors.
 
     The plan is turned into one RDD, so its shuffles run once. Blobs of ``DIRECT_COLLECT_BYTES``
     in all are added on the driver; more are added in a tree of tasks of at most ``FAN_IN``
@@ -60,12 +57,16 @@ def sum_partials(partials: DataFrame, size: int) -> np.ndarray:
     ship_package(partials.sparkSession)
     vectors = partials.rdd.map(lambda r: np.frombuffer(r[0], dtype=np.float64))
     n = vectors.getNumPartitions()
+
+    def added(a, b):
+        return b if a is None else a if b is None else combine(a, b)
+
     if n * size * 8 <= DIRECT_COLLECT_BYTES:
         total = None
         for v in vectors.collect():
-            total = _added(total, v)
+            total = added(total, v)
     else:
-        total = vectors.treeAggregate(None, _added, _added, depth=max(2, math.ceil(math.log(n, FAN_IN))))
+        total = vectors.treeAggregate(None, added, added, depth=max(2, math.ceil(math.log(n, FAN_IN))))
     return np.zeros(size) if total is None else np.array(total)
 
 
