@@ -3,8 +3,9 @@
 Tall data (d <= n): the Gram X^T X is summed from per-partition BLAS products (A11), its
 eigenpairs are taken on the driver (d x d), singular values s = sqrt(lambda) in descending
 order, share = running sum of s / total (singular values, not variances). Wide data (d > n):
-eigenpairs of X X^T (A12, bounded n), rank-1 of them, share over eigenvalues, basis
-X^T u / sqrt(lambda) from a second aggregation. Components are kept while share <= retain
+eigenpairs of X X^T (A12, summed from tiles), rank-1 of them, share over eigenvalues, basis
+X^T u / sqrt(lambda) from a second aggregation; beyond ``DIRECT_ROWS`` rows the leading pairs come from a block
+Krylov space with thick restarts, one pass over the rows per block, each with its residual norm. Components are kept while share <= retain
 (+1e-9); ``retain`` outranks ``num_components``. Signs: largest-magnitude entry positive.
 """
 
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.arrow import column, list_to_matrix, matrix_to_list
-from kestrel.operators.stats import BLOB_SCHEMA, gram, partial_map, sample_gram, sum_partials
+from kestrel.operators.stats import BLOB_SCHEMA, TILE, gram, partial_map, sample_gram_tiles, sum_partials
 
 RETAIN_TOL = 1e-9
-WIDE_MAX_ROWS = 5_000  # the n x n sample Gram is decomposed on the driver
+DIRECT_ROWS = 4096  # up to here the n x n sample Gram (128 MB) is decomposed on the driver, beyond by Krylov
+MODEL_DOUBLES = 1 << 27  # components that the driver holds
+KRYLOV_BLOCK, KRYLOV_EXTRA, KRYLOV_TOL, KRYLOV_PASSES = 32, 256, 1e-6, 500
 
 
 def _fix_signs(v: np.ndarray) -> np.ndarray:
@@ -39,6 +42,8 @@ class PCA:
     spectrum: np.ndarray = field(default=None, repr=False)  # descending singular values / eigenvalues
     shares: np.ndarray = field(default=None, repr=False)
     branch: str = ""
+    residuals: np.ndarray = field(default=None, repr=False)  # wide: |A v - lambda v| / lambda per component
+    total: float | None = None  # wide and beyond DIRECT_ROWS: what the shares are of
 
     def __post_init__(self):
         if self.variance_retain is None and self.num_components is None:
@@ -60,6 +65,8 @@ class PCA:
             basis, spectrum = self._wide(df, d, n, features, row_id)
         self.spectrum = spectrum
         _, self.shares = descending_shares(spectrum)
+        if self.total is not None:
+            self.shares = np.cumsum(spectrum) / self.total
         if self.variance_retain is not None:
             keep = self.shares <= self.variance_retain + RETAIN_TOL
             if not keep.any():
@@ -72,33 +79,76 @@ class PCA:
         return self
 
     def _wide(self, df, d, n, features, row_id):
-        if n > WIDE_MAX_ROWS:
-            raise ValueError(f"wide PCA over {n} rows exceeds the stated cap {WIDE_MAX_ROWS}")
-        pairs = sample_gram(df, WIDE_MAX_ROWS, features, row_id).collect()
-        ids = sorted({r["r1"] for r in pairs})
-        pos = {r: i for i, r in enumerate(ids)}
-        k = np.zeros((len(ids), len(ids)))
-        for r in pairs:
-            k[pos[r["r1"]], pos[r["r2"]]] = r["value"]
+        if n <= DIRECT_ROWS:
+            return self._wide_whole(df, d, n, features, row_id)
+        return self._wide_leading(df, d, n, features)
+
+    def _wide_whole(self, df, d, n, features, row_id):
+        """Every eigenpair of X X^T, summed from tiles; then the basis in one more pass."""
+        at, rows, k = {}, [], np.zeros((n, n))
+        tiles = sample_gram_tiles(df, features, row_id).toArrow()  # (n / 64)^2 / 2 rows: at most 128 MB
+        for ti, tj, ids_i, ids_j, tile in zip(*(tiles.column(c) for c in tiles.schema.names)):
+            i, j = ti.as_py() * TILE, tj.as_py() * TILE
+            ids_i, ids_j = np.frombuffer(ids_i.as_buffer(), np.int64), np.frombuffer(ids_j.as_buffer(), np.int64)
+            v = np.frombuffer(tile.as_buffer()).reshape(len(ids_i), len(ids_j))
+            k[i : i + len(ids_i), j : j + len(ids_j)] = v
+            k[j : j + len(ids_j), i : i + len(ids_i)] = v.T
+            at[i] = ids_i
+        ids = np.concatenate([at[i] for i in sorted(at)])
         lam, vec = np.linalg.eigh((k + k.T) / 2.0)
-        rank = np.linalg.matrix_rank(k)
+        top = max(float(np.abs(lam).max()), 1e-300)
+        rank = int((np.abs(lam) > top * n * np.finfo(float).eps).sum())
         order = np.argsort(lam)[::-1][: max(rank - 1, 0)]
         lam, vec = lam[order], vec[:, order]
         coef = vec / np.sqrt(lam)[None, :]
-        # basis = X^T (u / sqrt(lambda)) summed over rows: one more pass, coefficients by row id
-        id_arr = np.array(ids, dtype=np.int64)
         kdim = coef.shape[1]
+        if not kdim:
+            raise ValueError("wide PCA keeps rank - 1 components: these rows leave none")
+        by_id = np.argsort(ids, kind="stable")
+        shared = df.sparkSession.sparkContext.broadcast((ids[by_id], coef[by_id]))  # n <= DIRECT_ROWS rows
 
         def part(batch: pa.RecordBatch) -> np.ndarray:
+            sorted_ids, rows_ = shared.value
             x = list_to_matrix(column(batch, features), d)
             r = column(batch, row_id).to_numpy(zero_copy_only=False)
-            c = coef[np.searchsorted(id_arr, r)]
-            return (x.T @ c).reshape(-1)
+            return (x.T @ rows_[np.searchsorted(sorted_ids, r)]).reshape(-1)
 
         partials = df.select(features, row_id).mapInArrow(partial_map(part, d * kdim), BLOB_SCHEMA)
         basis = sum_partials(partials, d * kdim).reshape(d, kdim)
+        shared.unpersist()
+        self.residuals = np.zeros(kdim)
         return _fix_signs(basis), lam / (n - 1)
 
+    def _wide_leading(self, df, d, n, features):
+        """Leading eigenpairs only: X^T X has the same ones as X X^T, and its vectors are the basis already. The
+        share is over the trace (all eigenvalues; the direct way leaves out the smallest one)."""
+        trace = float(df.agg(F.sum(F.aggregate(features, F.lit(0.0), lambda a, x: a + x * x)).alias("t")).first()["t"] or 0.0)
+
+        def product(v: np.ndarray) -> np.ndarray:
+            shared = df.sparkSession.sparkContext.broadcast(v)
+
+            def part(batch: pa.RecordBatch) -> np.ndarray:
+                x = list_to_matrix(column(batch, features), d)
+                return (x.T @ (x @ shared.value)).reshape(-1)
+
+            out = sum_partials(df.select(features).mapInArrow(partial_map(part, v.size), BLOB_SCHEMA), v.size)
+            shared.unpersist()
+            return out.reshape(v.shape)
+
+        most = min(n - 1, MODEL_DOUBLES // d)
+        k = int(self.num_components) if self.variance_retain is None else KRYLOV_BLOCK
+        state = None
+        while True:
+            k = min(k, most)
+            lam, vec, residuals, state = leading_pairs(product, d, k, state)
+            if self.variance_retain is None or lam.sum() / trace > self.variance_retain + RETAIN_TOL or k == n - 1:
+                break
+            if k == most:
+                raise ValueError(f"the components kept would not fit {MODEL_DOUBLES} doubles; set num_components or a smaller share")
+            k *= 2
+        self.residuals, self.total = residuals / lam, trace / (n - 1)
+        return _fix_signs(vec), lam / (n - 1)
+
     def spectrum_frame(self, spark) -> DataFrame:
         rows = [(i + 1, float(s), float(sh), bool(i < self.components.shape[1])) for i, (s, sh) in enumerate(zip(self.spectrum, self.shares))]
         return spark.createDataFrame(rows, "component int, value double, share double, kept boolean")
@@ -153,3 +203,49 @@ def descending_shares(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-values, kind="stable")
     total = values.sum()
     return order, np.cumsum(values[order]) / total if total > 0 else np.ones_like(values)
+
+
+def leading_pairs(product, d: int, k: int, state=None):
+    """The ``k`` largest eigenpairs of a symmetric positive operator given by ``product`` (d x b -> d x b), with their
+    residual norms: Rayleigh-Ritz in a block Krylov space, kept orthonormal, cut back to its best vectors when it
+    has grown by ``KRYLOV_EXTRA``. ``state`` of an earlier call goes on where that ended."""
+    rng = np.random.default_rng(d)
+
+    def fresh(w, q):
+        """Orthonormal columns of w outside q; directions that vanish there are replaced by random ones."""
+        for _ in range(2):
+            w = w - q @ (q.T @ w)
+        norms = np.linalg.norm(w, axis=0)
+        weak = norms <= 1e-10 * max(norms.max(initial=0.0), 1e-300)
+        w[:, weak] = rng.standard_normal((d, int(weak.sum())))
+        w /= np.linalg.norm(w, axis=0)
+        for _ in range(2):
+            w, _ = np.linalg.qr(w - q @ (q.T @ w))
+        return w
+
+    if state is None:
+        q, _ = np.linalg.qr(rng.standard_normal((d, min(d, max(KRYLOV_BLOCK, 8)))))
+        aq = product(q)
+    else:
+        q, aq = state
+    for _ in range(KRYLOV_PASSES):
+        t = q.T @ aq
+        theta, y = np.linalg.eigh((t + t.T) / 2.0)
+        theta, y = theta[::-1], y[:, ::-1]
+        m = min(k, len(theta))
+        ritz = q @ y[:, :m]
+        off = aq @ y[:, :m] - ritz * theta[:m]
+        residuals = np.linalg.norm(off, axis=0)
+        open_ = np.flatnonzero(residuals > KRYLOV_TOL * max(theta[0], 1e-300))
+        if (m == k and not len(open_)) or q.shape[1] >= d:
+            return theta[:m], ritz, residuals, (q, aq)
+        if q.shape[1] > k + KRYLOV_EXTRA:
+            keep = k + KRYLOV_BLOCK
+            q, aq = q @ y[:, :keep], aq @ y[:, :keep]
+        b = min(KRYLOV_BLOCK, d - q.shape[1])
+        w = off[:, open_[:b]] if len(open_) else np.zeros((d, 0))
+        if w.shape[1] < b:
+            w = np.hstack([w, rng.standard_normal((d, b - w.shape[1]))])
+        w = fresh(w, q)
+        q, aq = np.hstack([q, w]), np.hstack([aq, product(w)])
+    raise ValueError(f"{len(open_)} of {k} eigenpairs not found in {KRYLOV_PASSES} passes")

@@ -144,18 +144,86 @@ def gram_frame(df: DataFrame, d: int, features: str = "features") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "i int, j int, value double")
 
 
-def sample_gram(df: DataFrame, max_rows: int, features: str = "features", row_id: str = "row_id") -> DataFrame:
-    """X X^T as (r1, r2, value); n^2 output, so n is checked against ``max_rows``."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"sample Gram of {n} rows exceeds the stated cap of {max_rows}")
-    long = df.select(F.col(row_id).alias("r"), F.posexplode(features).alias("i", "x"))
-    a, b = long.alias("a"), long.alias("b")
-    return (
-        a.join(b, F.col("a.i") == F.col("b.i"))
-        .groupBy(F.col("a.r").alias("r1"), F.col("b.r").alias("r2"))
-        .agg(F.sum(F.col("a.x") * F.col("b.x")).alias("value"))
-    )
+TILE = 64  # rows and columns of a tile of X X^T: small, as ten thousand may share an Arrow batch
+BLOCK_DOUBLES = 4_000_000  # one block of features over all rows, as a task holds it
+TILE_SCHEMA = "ti int, tj int, rows_i binary, rows_j binary, tile binary"
+
+
+def _sorted_runs(batches, keys: tuple[str, ...]):
+    """(key values, rows as one table) of each run of equal ``keys`` in batches sorted by them."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [column(b, k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)] if b.num_rows > 1 else np.array([True])
+        cuts = [*np.flatnonzero(change).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            key = tuple(int(c[lo]) for c in cols)
+            if held and key != last:
+                yield last, held
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield last, held
+
+
+def sample_gram_tiles(df: DataFrame, features: str = "features", row_id: str = "row_id") -> DataFrame:
+    """A12 as tiles of X X^T on and above the diagonal: (ti, tj), the row ids of both sides, the values.
+
+    Rows are cut into blocks of as many features as ``BLOCK_DOUBLES`` holds for all rows; each block is one BLAS
+    product per pair of tiles, and the blocks' tiles are added in a second shuffle."""
+    from kestrel.operators.table import dense_positions, width
+    from kestrel.session import ship_package
+
+    ship_package(df.sparkSession)
+    n, d = df.count(), width(df, features)
+    w = max(1, min(d, BLOCK_DOUBLES // max(n, 1)))
+    count = max(1, -(-d // w))
+    placed = dense_positions(df.select(F.col(row_id).cast("bigint").alias("r"), F.col(features).alias("x")), ["r"])
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.slice("x", i * w + 1, w))
+    blocks = placed.select("r", "pos", F.posexplode(parts).alias("block", "part")).repartition("block").sortWithinPartitions("block", "pos")
+    names = [c.split()[0] for c in TILE_SCHEMA.split(", ")]
+
+    def one(ti, tj, ids_i, ids_j, tile):
+        return pa.RecordBatch.from_arrays([pa.array([ti], pa.int32()), pa.array([tj], pa.int32()), *(pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (ids_i, ids_j, tile))], names=names)
+
+    def products(batches):
+        for _, held in _sorted_runs(batches, ("block",)):
+            ids = np.concatenate([column(b, "r").to_numpy(zero_copy_only=False) for b in held])
+            x = np.vstack([list_to_matrix(column(b, "part")) for b in held])
+            for i in range(0, len(x), TILE):
+                for j in range(i, len(x), TILE):
+                    yield one(i // TILE, j // TILE, ids[i : i + TILE], ids[j : j + TILE], x[i : i + TILE] @ x[j : j + TILE].T)
+
+    def added(batches):
+        for (ti, tj), held in _sorted_runs(batches, ("ti", "tj")):
+            total = 0.0
+            for b in held:
+                for v in column(b, "tile"):
+                    total = total + np.frombuffer(v.as_buffer())
+            yield one(ti, tj, np.frombuffer(column(held[0], "rows_i")[0].as_buffer(), np.int64), np.frombuffer(column(held[0], "rows_j")[0].as_buffer(), np.int64), total)
+
+    tiles = blocks.mapInArrow(products, TILE_SCHEMA)
+    if count == 1:
+        return tiles
+    return tiles.repartition("ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(added, TILE_SCHEMA)
+
+
+def sample_gram(df: DataFrame, features: str = "features", row_id: str = "row_id") -> DataFrame:
+    """X X^T as (r1, r2, value), all n^2 of them."""
+
+    def rows(batches):
+        for b in batches:
+            for ti, tj, ids_i, ids_j, tile in zip(*(column(b, c) for c in ("ti", "tj", "rows_i", "rows_j", "tile"))):
+                i, j = np.frombuffer(ids_i.as_buffer(), np.int64), np.frombuffer(ids_j.as_buffer(), np.int64)
+                v = np.frombuffer(tile.as_buffer()).reshape(len(i), len(j))
+                sides = [(i, j, v)] if ti.as_py() == tj.as_py() else [(i, j, v), (j, i, v.T)]
+                for r1, r2, value in sides:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r1, len(r2))), pa.array(np.tile(r2, len(r1))), pa.array(np.ascontiguousarray(value).reshape(-1))], ["r1", "r2", "value"])
+
+    return sample_gram_tiles(df, features, row_id).mapInArrow(rows, "r1 bigint, r2 bigint, value double")
 
 
 # ---------------------------------------------------------------- A13 / A14

@@ -430,8 +430,8 @@ def nation_histograms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sample_gram_nations(spark: SparkSession, sf: str) -> DataFrame:
-    """X X^T of the per-nation histograms (n = nations, within the stated cap)."""
-    g = stats.sample_gram(nation_histograms(spark, sf), 5_000)
+    """X X^T of the per-nation histograms (n = nations)."""
+    g = stats.sample_gram(nation_histograms(spark, sf))
     return g.select("r1", "r2", r6(F.col("value")).alias("value"))
 
 

@@ -41,6 +41,32 @@ def test_pca_transform_inverse(spark):
     assert np.allclose(np.array([r.features for r in back]), np.array(M, float), atol=1e-9)
 
 
+def test_pca_wide_beyond_the_driver(spark, monkeypatch):
+    """Leading pairs from the Krylov space against NumPy's singular values; shares are of the trace."""
+    from kestrel.operators import pca
+
+    monkeypatch.setattr(pca, "DIRECT_ROWS", 50)
+    monkeypatch.setattr(pca, "KRYLOV_BLOCK", 8)
+    monkeypatch.setattr(pca, "KRYLOV_EXTRA", 40)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((90, 12)) @ np.diag(2.0 ** -np.arange(12)) @ rng.standard_normal((12, 140)) + 0.01 * rng.standard_normal((90, 140))
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(90)]).repartition(4)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    p = PCA(num_components=6).fit(df, 140)
+    assert p.branch == "wide" and np.allclose(p.spectrum, s[:6] ** 2 / 89, rtol=1e-8)
+    assert np.allclose(np.abs(np.sum(p.components * vt[:6].T, axis=0)), 1.0, atol=1e-6)
+    assert (p.residuals <= 1e-3).all() and np.allclose(p.shares, np.cumsum(s[:6] ** 2) / (s**2).sum(), rtol=1e-8)
+    q = PCA(variance_retain=0.95).fit(df, 140)
+    want = int((np.cumsum(s**2) / (s**2).sum() <= 0.95 + 1e-9).sum())
+    assert q.components.shape == (140, want)
+
+
+def test_pca_wide_equal_rows_and_one_component(spark):
+    x = np.vstack([np.arange(9.0), np.arange(9.0), np.ones(9)])
+    p = PCA(variance_retain=1.0).fit(frame(spark, [(i, 0.0, x[i].tolist()) for i in range(3)]), 9)
+    assert p.components.shape == (9, 1)  # rank 2, one less kept
+
+
 def test_pca_wide(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((6, 15))

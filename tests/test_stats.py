@@ -35,14 +35,18 @@ def test_sum_partials_tree_path(spark, monkeypatch):
     assert np.allclose(g, x.T @ x, atol=1e-10)
 
 
-def test_sample_gram_and_cap(spark):
-    x = np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
-    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(3)])
-    got = {(r.r1, r.r2): r.value for r in stats.sample_gram(df, 10).collect()}
+@pytest.mark.parametrize("tile, block", [(256, 4_000_000), (4, 30)])
+def test_sample_gram(spark, monkeypatch, tile, block):
+    monkeypatch.setattr(stats, "TILE", tile)
+    monkeypatch.setattr(stats, "BLOCK_DOUBLES", block)  # 30 doubles: blocks of 3 features over 10 rows
+    x = np.random.default_rng(3).standard_normal((10, 7))
+    ids = [(i * 7) % 23 for i in range(10)]
+    df = frame(spark, [(ids[i], 0.0, x[i].tolist()) for i in range(10)]).repartition(3)
+    rows = stats.sample_gram(df).collect()
+    got = {(r.r1, r.r2): r.value for r in rows}
     k = x @ x.T
-    assert all(got[(i, j)] == pytest.approx(k[i, j]) for i in range(3) for j in range(3))
-    with pytest.raises(ValueError):
-        stats.sample_gram(df, 2)
+    assert len(rows) == len(got) == 100
+    assert all(got[(ids[i], ids[j])] == pytest.approx(k[i, j]) for i in range(10) for j in range(10))
 
 
 def test_shape_and_ragged(spark):
