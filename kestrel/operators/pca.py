@@ -68,7 +68,7 @@ class PCA:
         if self.total is not None:
             self.shares = np.cumsum(spectrum) / self.total
         if self.variance_retain is not None:
-            keep = self.shares <= self.variance_retain + RETAIN_TOL
+            keep = kept_by_share(self.shares, self.variance_retain)
             if not keep.any():
                 raise ValueError(
                     f"variance_retain={self.variance_retain} is below the first component's share {self.shares[0]:.6f}"
@@ -205,6 +205,11 @@ def descending_shares(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(values[order]) / total if total > 0 else np.ones_like(values)
 
 
+def kept_by_share(shares: np.ndarray, retain: float) -> np.ndarray:
+    """M6: the components whose running share is at most ``retain``; the one that crosses it goes."""
+    return shares <= retain + RETAIN_TOL
+
+
 def leading_pairs(product, d: int, k: int, state=None):
     """The ``k`` largest eigenpairs of a symmetric positive operator given by ``product`` (d x b -> d x b), with their
     residual norms: Rayleigh-Ritz in a block Krylov space, kept orthonormal, cut back to its best vectors when it

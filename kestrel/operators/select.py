@@ -14,21 +14,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def best_cells(grid_long: DataFrame, keys: Sequence[str], value_cols: Sequence[str], metrics: Sequence[str] | None = None) -> DataFrame:
-    """Per metric, the winning cell (T4/T5). ``grid_long``: (keys..., value_cols..., metric, value)."""
+def best_cells(grid_long: DataFrame, keys: Sequence[str], value_cols: Sequence[str], metrics: Sequence[str] | None = None,
+               by: Sequence[str] = ()) -> DataFrame:
+    """Per metric, the winning cell (T4/T5). ``grid_long``: (keys..., value_cols..., metric, value). ``by``: columns
+    that tell several grids of one table apart, each with a winner of its own."""
     g = grid_long.filter(~F.isnan("value") & F.col("value").isNotNull())
     if metrics is not None:
         g = g.filter(F.col("metric").isin(list(metrics)))
     order = F.struct(F.col("value"), *[F.col(k) for k in keys])
     payload = F.struct(*[F.col(c) for c in list(keys) + list(value_cols)])
-    return g.groupBy("metric").agg(F.max_by(payload, order).alias("best"), F.max("value").alias("value")).select(
-        "metric", *[F.col(f"best.{c}").alias(c) for c in list(keys) + list(value_cols)], "value"
+    return g.groupBy(*by, "metric").agg(F.max_by(payload, order).alias("best"), F.max("value").alias("value")).select(
+        *by, "metric", *[F.col(f"best.{c}").alias(c) for c in list(keys) + list(value_cols)], "value"
     )
 
 
-def best_c(grid_long: DataFrame, metric: str = "accuracy") -> DataFrame:
+def report(grid_long: DataFrame, keys: Sequence[str], metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """T4/T5: every cell of the chosen metrics, and whether it is the optimum of its metric."""
+    g = grid_long.filter(F.col("metric").isin(list(metrics)))
+    best = best_cells(grid_long, keys, [], metrics, by).drop("value").withColumn("_best", F.lit(True))
+    same = [g[c].eqNullSafe(best[c]) for c in [*by, "metric", *keys]]  # a cell's gamma index may be null
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return g.join(F.broadcast(best), on, "left").select(g["*"], F.coalesce("_best", F.lit(False)).alias("best"))
+
+
+def best_c(grid_long: DataFrame, metric: str = "accuracy", by: Sequence[str] = ()) -> DataFrame:
     """Best C (ties -> last in list order)."""
-    return best_cells(grid_long, ["idx_c"], ["c"], [metric])
+    return best_cells(grid_long, ["idx_c"], ["c"], [metric], by)
 
 
 def best_c_gamma(grid_long: DataFrame, metric: str = "accuracy") -> DataFrame:
@@ -36,9 +49,9 @@ def best_c_gamma(grid_long: DataFrame, metric: str = "accuracy") -> DataFrame:
     return best_cells(grid_long, ["idx_c", "idx_gamma"], ["c", "gamma"], [metric])
 
 
-def best_gamma(grid_long: DataFrame, metric: str = "accuracy") -> DataFrame:
+def best_gamma(grid_long: DataFrame, metric: str = "accuracy", by: Sequence[str] = ()) -> DataFrame:
     """Best gamma on a gamma-indexed 1-D grid."""
-    return best_cells(grid_long, ["idx_gamma"], ["gamma"], [metric])
+    return best_cells(grid_long, ["idx_gamma"], ["gamma"], [metric], by)
 
 
 def collect_best(best: DataFrame, metric: str = "accuracy") -> dict:

@@ -175,6 +175,32 @@ SELECT row_id, CAST(unnest(generate_series(0, len(features) - 1)) AS INTEGER) AS
        round(unnest(features), 6) + 0.0 AS value FROM k"""
 
 
+MASK = [k % 3 != 1 for k in range(64)]
+
+
+def q_mask_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Features by boolean mask."""
+    return _explode_rounded(table.keep_mask(T.embeddings(spark, sf), MASK))
+
+
+SQL_MASK_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE}
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY feature_idx) - 1 AS INTEGER) AS feature_idx, round(x, 6) + 0.0 AS value
+FROM e WHERE feature_idx % 3 <> 1"""
+
+
+def q_masked_scaling_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The scaler takes only the masked features (sum of prices, line count), in that order, log2 and standardised."""
+    sc = Scaler(log2=True, mask=[2, 0])
+    return _explode_rounded(sc.fit_transform(T.orders_features(spark, sf)))
+
+
+SQL_MASKED_SCALING_ORDERS = f"""WITH {SQL_ORDERS_FEAT},
+k AS (SELECT row_id, 0 AS feature_idx, log2(features[3]) AS x FROM f UNION ALL SELECT row_id, 1, log2(features[1]) FROM f),
+m AS (SELECT feature_idx, avg(x) AS mu, stddev_pop(x) AS sd FROM k GROUP BY feature_idx)
+SELECT row_id, CAST(feature_idx AS INTEGER) AS feature_idx, round((x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS value
+FROM k JOIN m USING (feature_idx)"""
+
+
 def q_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return _explode_rounded(table.keep_prefix(T.embeddings(spark, sf), 3))
 
@@ -283,13 +309,14 @@ met AS (SELECT *, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy,
 
 
 def q_split_metrics_events(spark: SparkSession, sf: str) -> DataFrame:
-    m = _metrics_per_split_events(spark, sf).filter((F.col("idx_c") == 1) & (F.col("idx_gamma") == 1))
-    return m.select(F.col("iter").cast("int").alias("iter"), *[r6(F.col(k)).alias(k) for k in METRICS])
+    """A3-A7 of every split and every cell."""
+    cells = [F.col(k).cast("int").alias(k) for k in ("iter", "idx_c", "idx_gamma")]
+    return _metrics_per_split_events(spark, sf).select(*cells, *[r6(F.col(k)).alias(k) for k in METRICS])
 
 
 SQL_SPLIT_METRICS_EVENTS = SQL_EVENTS_COUNTS + """
-SELECT CAST(iter AS INTEGER) AS iter, """ + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in METRICS) + """
-FROM met WHERE idx_c = 1 AND idx_gamma = 1"""
+SELECT CAST(iter AS INTEGER) AS iter, CAST(idx_c AS INTEGER) AS idx_c, CAST(idx_gamma AS INTEGER) AS idx_gamma,
+""" + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in METRICS) + """ FROM met"""
 
 
 def _grid_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,30 +359,65 @@ QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, idx_c DESC,
 
 
 def q_best_c_events(spark: SparkSession, sf: str) -> DataFrame:
-    g = _grid_events(spark, sf).filter(F.col("idx_gamma") == 1)
-    b = select.best_c(g, "accuracy").unionByName(select.best_c(g, "f1"))
-    return b.select("metric", F.col("idx_c").cast("int").alias("idx_c"), "c", r6(F.col("value")).alias("value"))
+    """T1 for every metric: the best C of the 1-D grid of each gamma."""
+    b = select.best_cells(_grid_events(spark, sf), ["idx_c"], ["c"], by=["idx_gamma", "gamma"])
+    return b.select(F.col("idx_gamma").cast("int").alias("idx_gamma"), "gamma", "metric",
+                    F.col("idx_c").cast("int").alias("idx_c"), "c", r6(F.col("value")).alias("value"))
 
 
 SQL_BEST_C_EVENTS = SQL_GRID_LONG + """
-SELECT metric, CAST(idx_c AS INTEGER) AS idx_c, c, round(value, 6) + 0.0 AS value
-FROM gl WHERE idx_gamma = 1 AND metric IN ('accuracy', 'f1') AND NOT isnan(value)
-QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, idx_c DESC) = 1"""
+SELECT CAST(idx_gamma AS INTEGER) AS idx_gamma, gamma, metric, CAST(idx_c AS INTEGER) AS idx_c, c, round(value, 6) + 0.0 AS value
+FROM gl WHERE NOT isnan(value)
+QUALIFY row_number() OVER (PARTITION BY metric, idx_gamma ORDER BY value DESC, idx_c DESC) = 1"""
+
+
+def q_best_gamma_events(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 for every metric: the best gamma of the 1-D grid of each C."""
+    b = select.best_cells(_grid_events(spark, sf), ["idx_gamma"], ["gamma"], by=["idx_c", "c"])
+    return b.select(F.col("idx_c").cast("int").alias("idx_c"), "c", "metric",
+                    F.col("idx_gamma").cast("int").alias("idx_gamma"), "gamma", r6(F.col("value")).alias("value"))
+
+
+SQL_BEST_GAMMA_EVENTS = SQL_GRID_LONG + """
+SELECT CAST(idx_c AS INTEGER) AS idx_c, c, metric, CAST(idx_gamma AS INTEGER) AS idx_gamma, gamma, round(value, 6) + 0.0 AS value
+FROM gl WHERE NOT isnan(value)
+QUALIFY row_number() OVER (PARTITION BY metric, idx_c ORDER BY value DESC, idx_gamma DESC) = 1"""
+
+REPORTED = ("accuracy", "precision", "recall", "f1")
+
+
+def q_report_events(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: per metric and 1-D grid (one per gamma), every cell and which one is the optimum."""
+    r = select.report(_grid_events(spark, sf), ["idx_c"], REPORTED, ["idx_gamma"])
+    return r.select(F.col("idx_gamma").cast("int").alias("idx_gamma"), "gamma", "metric", F.col("idx_c").cast("int").alias("idx_c"),
+                    "c", r6(F.col("value")).alias("value"), "best")
+
+
+SQL_REPORT_EVENTS = SQL_GRID_LONG + f"""
+SELECT CAST(idx_gamma AS INTEGER) AS idx_gamma, gamma, metric, CAST(idx_c AS INTEGER) AS idx_c, c, round(value, 6) + 0.0 AS value,
+  row_number() OVER (PARTITION BY metric, idx_gamma ORDER BY value DESC, idx_c DESC) = 1 AS best
+FROM gl WHERE metric IN ('{"', '".join(REPORTED)}')"""
 
 
 def q_grid_report_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The four report tables, one under the other."""
     from kestrel.sources.sinks import grid_report
 
-    rep = grid_report(_grid_events(spark, sf), "accuracy", GRID_C, GRID_GAMMA).drop("idx_c")
-    return rep.select("C", *[r6(F.col(f"`{c}`")).alias(c) for c in rep.columns if c != "C"])
+    grid = _grid_events(spark, sf)
+    out = None
+    for m in REPORTED:
+        rep = grid_report(grid, m, GRID_C, GRID_GAMMA).drop("idx_c")
+        one = rep.select(F.lit(m).alias("metric"), "C", *[r6(F.col(f"`{c}`")).alias(c) for c in rep.columns if c != "C"])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-SQL_GRID_REPORT_EVENTS = SQL_GRID_LONG + """
-SELECT 'C = ' || CAST(CAST(c AS BIGINT) AS VARCHAR) AS "C",
+SQL_GRID_REPORT_EVENTS = SQL_GRID_LONG + f"""
+SELECT metric, 'C = ' || CAST(CAST(c AS BIGINT) AS VARCHAR) AS "C",
   round(max(CASE WHEN idx_gamma = 0 THEN value END), 6) + 0.0 AS "gamma = 0.5",
   round(max(CASE WHEN idx_gamma = 1 THEN value END), 6) + 0.0 AS "gamma = 1",
   round(max(CASE WHEN idx_gamma = 2 THEN value END), 6) + 0.0 AS "gamma = 2"
-FROM gl WHERE metric = 'accuracy' GROUP BY c"""
+FROM gl WHERE metric IN ('{"', '".join(REPORTED)}') GROUP BY metric, c"""
 
 
 def q_confusion_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -524,7 +586,7 @@ SELECT CAST(n.j AS INTEGER) AS feature_idx, round(n.norm, 6) + 0.0 AS norm,
 
 
 # ---------------------------------------------------------------- kernels against landmarks
-N_LM = 8
+N_LM = 256  # as the solver's map uses
 
 
 def _kernel_query(spark, df, kind, gamma):
@@ -556,12 +618,18 @@ def _log1p_orders(spark, sf):
 
 
 def q_chi2_kernel_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _kernel_query(spark, _log1p_orders(spark, sf), "chi2", 1.0)
+    """J5 against all 256 landmarks; per row the sum of its kernel values, their sum weighted by the landmark's
+    number, and the extremes (the values themselves would be 256 rows per order)."""
+    return _kernel_query(spark, _log1p_orders(spark, sf), "chi2", 1.0).groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("landmarks"), F.round(F.sum("value"), 3).alias("k_sum"),
+        F.round(F.sum(F.col("value") * (F.col("landmark_idx") + 1)), 1).alias("k_weighted"),
+        F.min("value").alias("k_min"), F.max("value").alias("k_max"))
 
 
-SQL_CHI2_KERNEL_ORDERS = _sql_kernel(
+SQL_CHI2_KERNEL_ORDERS = "SELECT row_id, count(*) AS landmarks, round(sum(value), 3) AS k_sum, round(sum(value * (landmark_idx + 1)), 1) AS k_weighted, " \
+    "min(value) AS k_min, max(value) AS k_max FROM (" + _sql_kernel(
     SQL_ORDERS_FEAT + ", f2 AS (SELECT row_id, label, list_transform(features, lambda v: ln(1 + v)) AS features FROM f)",
-    "CASE WHEN e.x + le.x = 0 THEN 0.0 ELSE (e.x - le.x) * (e.x - le.x) / (e.x + le.x) END", 1.0, src="f2")
+    "CASE WHEN e.x + le.x = 0 THEN 0.0 ELSE (e.x - le.x) * (e.x - le.x) / (e.x + le.x) END", 1.0, src="f2") + ") GROUP BY row_id"
 
 
 # ---------------------------------------------------------------- V1, S4, S1
@@ -833,6 +901,33 @@ UNION ALL
 SELECT row_id, CAST(j + {STACK_K[0]} AS INTEGER) AS feature_idx, round(y, 6) + 0.0 AS value FROM l2y"""
 
 
+RETAINED = (0.1, 0.5, 0.9, 1.0)
+
+
+def q_component_choice_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: how many components each share keeps of the spectrum of the features' second moments."""
+    from kestrel.operators.pca import descending_shares, kept_by_share
+
+    moments = np.diag(stats.gram(T.embeddings(spark, sf), 64))
+    _, shares = descending_shares(moments)
+    return spark.createDataFrame([(r, int(kept_by_share(shares, r).sum())) for r in RETAINED], "retain double, kept int")
+
+
+SQL_COMPONENT_CHOICE_EMB = f"""WITH {SQL_EMB}, {SQL_EXPLODE},
+s AS (SELECT feature_idx, sum(x * x) AS v FROM e GROUP BY feature_idx),
+r AS (SELECT sum(v) OVER (ORDER BY v DESC, feature_idx) / sum(v) OVER () AS share FROM s)
+SELECT CAST(t.retain AS DOUBLE) AS retain, CAST(count(*) FILTER (share <= t.retain + 1e-9) AS INTEGER) AS kept
+FROM r, (VALUES {", ".join(f"({r})" for r in RETAINED)}) t(retain) GROUP BY t.retain"""
+
+
+def q_forest_importance_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """M9/M10 over one row per order."""
+    from kestrel.operators.forest import ForestSelector
+
+    fs = ForestSelector(n_estimators=100, threshold=0.005, seed=SEED).fit(T.orders_features(spark, sf))
+    return fs.importance_frame(spark).select("feature_idx", r6(F.col("importance")).alias("importance"), "kept")
+
+
 def q_sweep_documents(spark: SparkSession, sf: str) -> DataFrame:
     """M16 + S5 + S6: sparse-filter sweep over all documents (labelled = train, the rest = test;
     features [n_chars, toxic-or-0] log-scaled), widths 4 and 6, 2 layers, stored as one dataset
@@ -918,6 +1013,11 @@ QUERIES = {
     "a3_a7_split_metrics_events": (q_split_metrics_events, SQL_SPLIT_METRICS_EVENTS),
     "a9_grid_events": (q_grid_events, SQL_GRID_EVENTS),
     "t5_best_cells_events": (q_best_cells_events, SQL_BEST_CELLS_EVENTS),
+    "p2_mask_embeddings": (q_mask_embeddings, SQL_MASK_EMB),
+    "p6_masked_scaling_orders": (q_masked_scaling_orders, SQL_MASKED_SCALING_ORDERS),
+    "m6_component_choice_embeddings": (q_component_choice_embeddings, SQL_COMPONENT_CHOICE_EMB),
+    "t3_best_gamma_events": (q_best_gamma_events, SQL_BEST_GAMMA_EVENTS),
+    "t4_report_events": (q_report_events, SQL_REPORT_EVENTS),
     "t1_best_c_events": (q_best_c_events, SQL_BEST_C_EVENTS),
     "s9_grid_report_events": (q_grid_report_events, SQL_GRID_REPORT_EVENTS),
     "a15_confusion_events": (q_confusion_events, SQL_CONFUSION_EVENTS),
@@ -942,6 +1042,7 @@ QUERIES = {
     "m5_wide_pca_nations": (q_wide_pca_nations, None),
     "m7_m8_projection_embeddings": (q_projection_embeddings, SQL_PROJECTION_EMB),
     "m9_forest_importance_embeddings": (q_forest_importance_embeddings, None),
+    "m9_forest_importance_orders": (q_forest_importance_orders, None),
     "e3_linear_grid_embeddings": (q_linear_grid_embeddings, None),
     "e4_rbf_grid_embeddings": (q_rbf_grid_embeddings, None),
     "e3_chi2_grid_orders": (q_chi2_grid_orders, None),
