@@ -583,4 +583,5 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", de
 def op5(docs: DataFrame) -> DataFrame:
     """Contract form: learn outside fold 1, score every row."""
     out = score(docs, train=~is_fold(F.col("doc_id"), 1) & F.col("doc_id").isNotNull())
-    return out.withColumn("held_out", is_fold(F.col("doc_id"), 1))
+    held_out = is_fold(F.col("doc_id"), 1).alias("held_out")
+    return out.select("doc_id", held_out, *[c for c in out.columns if c != "doc_id"])
