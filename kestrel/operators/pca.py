@@ -1,8 +1,9 @@
 """Uncentred PCA (M4-M8).
 
-Tall data (d <= n): the Gram X^T X is summed from per-partition BLAS products (A11), its
-eigenpairs are taken on the driver (d x d), singular values s = sqrt(lambda) in descending
-order, share = running sum of s / total (singular values, not variances). Wide data (d > n):
+Tall data (d <= n): the triangular factor R of X comes from a tree of QR factors, its singular
+values and right vectors are taken on the driver (d x d); beyond ``TSQR_DIM`` features, where a task's factor
+would be too large, the Gram X^T X is summed in tiles (A11) and s = sqrt(lambda), which loses singular values below
+1e-8 of the largest. Descending order, share = running sum of s / total (singular values, not variances). Wide data (d > n):
 eigenpairs of X X^T (A12, summed from tiles), rank-1 of them, share over eigenvalues, basis
 X^T u / sqrt(lambda) from a second aggregation; beyond ``DIRECT_ROWS`` rows the leading pairs come from a block
 Krylov space with thick restarts, one pass over the rows per block, each with its residual norm. Components are kept while share <= retain
@@ -19,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.arrow import column, list_to_matrix, matrix_to_list
-from kestrel.operators.stats import BLOB_SCHEMA, TILE, gram, partial_map, sample_gram_tiles, sum_partials
+from kestrel.operators.stats import BLOB_SCHEMA, TILE, gram, partial_map, sample_gram_tiles, sum_partials, triangular_factor
 
 RETAIN_TOL = 1e-9
 DIRECT_ROWS = 4096  # up to here the n x n sample Gram (128 MB) is decomposed on the driver, beyond by Krylov
+TSQR_DIM = 2048  # 32 MB per factor
 MODEL_DOUBLES = 1 << 27  # components that the driver holds
 KRYLOV_BLOCK, KRYLOV_EXTRA, KRYLOV_TOL, KRYLOV_PASSES = 32, 256, 1e-6, 500
 
@@ -55,9 +57,12 @@ class PCA:
         n = n if n is not None else df.count()
         if d <= n:
             self.branch = "tall"
-            g = gram(df, d, features)
-            lam, vec = np.linalg.eigh(g)
-            spectrum = np.sqrt(np.clip(lam, 0.0, None))
+            if d <= TSQR_DIM:
+                _, spectrum, vt = np.linalg.svd(triangular_factor(df, d, features))
+                vec = vt.T
+            else:
+                lam, vec = np.linalg.eigh(gram(df, d, features))
+                spectrum = np.sqrt(np.clip(lam, 0.0, None))
             order, _ = descending_shares(spectrum)
             spectrum, basis = spectrum[order], _fix_signs(vec[:, order])
         else:

@@ -254,39 +254,123 @@ def confusion_table(df: DataFrame, label: str = "label", prediction: str = "pred
 
 
 # ---------------------------------------------------------------- V1 exact quantiles
-def exact_quantiles(long: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation per group, from a distributed sort.
-
-    Global positions come from a range-partitioned sort (no group is gathered in one task);
-    only the two rows around each wanted rank are kept and interpolated."""
-    from kestrel.operators.table import dense_positions
-
-    tie = [c for c in long.columns if c not in (group, value)][:1]  # e.g. row_id: spreads runs of equal values
-    ranked = dense_positions(long.select(group, value, *tie), [group, value, *tie])
-    # one row per group (bounded by the number of features): where each group starts, its size
-    bounds = ranked.groupBy(group).agg(F.min("pos").alias("_start"), F.count(F.lit(1)).alias("_n")).collect()
-    wanted, plan = set(), []
-    for b in bounds:
+KEY_BITS = 11  # bits of a key that one pass tells apart
+
+
+def ordered_keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit keys in the order of the doubles (-0.0 equals 0.0, NaN comes last)."""
+    x = np.where(np.isnan(x), np.nan, x + 0.0)
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
+
+
+def key_values(keys: np.ndarray) -> np.ndarray:
+    """The doubles of :func:`ordered_keys`."""
+    keys = np.asarray(keys, np.uint64)
+    positive = keys >> np.uint64(63) == 1
+    return np.where(positive, keys & np.uint64((1 << 63) - 1), ~keys).view(np.float64)
+
+
+def exact_quantiles(df: DataFrame, probs: list[float], features: str = "features") -> DataFrame:
+    """(feature_idx, prob, value): exact quantiles with linear interpolation, by radix descent and without a sort.
+
+    Every pass counts, per feature and wanted leading bits, the values by their next ``KEY_BITS`` bits; the counts
+    (at most 2^KEY_BITS per wanted rank and feature) say which of them hold the wanted ranks, and the next pass
+    looks only there. After 64 bits the values themselves are known. Only counts are shuffled, after tasks have
+    added their own; a value that a third of all rows share is one count."""
+    head = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
+    n, d = head["n"], head["d"] or 0
+    spark = df.sparkSession
+    schema = "feature_idx int, prob double, value double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    places = sorted({int(f((n - 1) * p)) for p in probs for f in (math.floor, math.ceil)})
+    # (feature, place) -> leading bits of the value there, and its place among the values that share them
+    found = {(j, r): (0, r) for j in range(d) for r in places}
+    done = 0
+    while done < 64:
+        step = min(KEY_BITS, 64 - done)
+        wanted: dict[int, list[int]] = {}
+        for (j, _), (lead, _) in found.items():
+            wanted.setdefault(j, []).append(lead)
+        leads = {j: np.unique(np.array(v, np.uint64)) for j, v in wanted.items()}
+
+        def count(batches, leads=leads, done=done, step=step):
+            seen: dict = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                keys = ordered_keys(list_to_matrix(column(b, features), d))
+                for j, own in leads.items():
+                    k = keys[:, j]
+                    lead = np.zeros(len(k), np.uint64) if not done else k >> np.uint64(64 - done)
+                    at = np.minimum(np.searchsorted(own, lead), len(own) - 1)
+                    here = own[at] == lead
+                    digit = (k[here] >> np.uint64(64 - done - step)) & np.uint64((1 << step) - 1)
+                    code, times = np.unique((at[here].astype(np.int64) << step) | digit.astype(np.int64), return_counts=True)
+                    for c, t in zip(code.tolist(), times.tolist()):
+                        seen[j, c] = seen.get((j, c), 0) + t
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature_idx", "code", "n"])
+
+        counts: dict = {}
+        for r in df.select(features).mapInArrow(count, "feature_idx int, code bigint, n bigint").groupBy("feature_idx", "code").agg(F.sum("n").alias("n")).collect():
+            counts.setdefault((r["feature_idx"], r["code"] >> step), []).append((r["code"] & ((1 << step) - 1), r["n"]))
+        for at in counts.values():
+            at.sort()
+        for (j, r), (lead, place) in found.items():
+            for digit, times in counts[j, int(np.searchsorted(leads[j], np.uint64(lead)))]:
+                if place < times:
+                    found[j, r] = ((lead << step) | digit, place)
+                    break
+                place -= times
+        done += step
+    value = {at: float(key_values(np.array([lead], np.uint64))[0]) for at, (lead, _) in found.items()}
+    rows = []
+    for j in range(d):
         for p in probs:
-            h = (b["_n"] - 1) * float(p)
-            lo, hi = b["_start"] + math.floor(h), b["_start"] + math.ceil(h)
-            wanted.update((lo, hi))
-            plan.append((b[group], float(p), lo, hi, h - math.floor(h)))
-    spark = long.sparkSession
-    pos_df = spark.createDataFrame([(int(w),) for w in sorted(wanted)], "pos bigint")
-    vals = {r["pos"]: r[value] for r in ranked.join(F.broadcast(pos_df), "pos").select("pos", value).collect()}
-    rows = [(g, p, float(vals[lo] + (vals[hi] - vals[lo]) * frac)) for g, p, lo, hi, frac in plan]
-    gtype = long.schema[group].dataType.simpleString()
-    return spark.createDataFrame(rows, f"{group} {gtype}, prob double, value double")
+            h = (n - 1) * p
+            lo, hi = value[j, math.floor(h)], value[j, math.ceil(h)]
+            rows.append((j, float(p), lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))))
+    return spark.createDataFrame(rows, schema)
 
 
 def feature_profile(df: DataFrame, features: str = "features") -> DataFrame:
     """V1: per feature min, quartiles and max (instead of plotting every point)."""
-    keep = ["row_id"] if "row_id" in df.columns else []
-    long = df.select(*keep, F.posexplode(features).alias("feature_idx", "value"))
-    q = exact_quantiles(long, "feature_idx", "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = exact_quantiles(df, [0.0, 0.25, 0.5, 0.75, 1.0], features)
     return q.groupBy("feature_idx").pivot("prob", [0.0, 0.25, 0.5, 0.75, 1.0]).agg(F.first("value")).select(
         "feature_idx",
         F.col("`0.0`").alias("min"), F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
         F.col("`0.75`").alias("q3"), F.col("`1.0`").alias("max"),
     )
+
+
+# ---------------------------------------------------------------- M4 triangular factor
+def triangular_factor(df: DataFrame, d: int, features: str = "features") -> np.ndarray:
+    """R of X = QR (d x d; rows free in sign), by a tree of QR factors: a task adds its rows to its factor a few at a
+    time, factors are joined by another QR of both. X is never squared, so small singular values keep the
+    digits that the data has."""
+
+    def part(batches):
+        r, held, size = np.zeros((0, d)), [], 0
+
+        def joined():
+            return np.linalg.qr(np.vstack([r, *held]), mode="r")
+
+        for b in batches:
+            x = list_to_matrix(column(b, features), d) if b.num_rows else np.zeros((0, d))
+            for lo in range(0, len(x), max(1024, 2 * d)):
+                held.append(x[lo : lo + max(1024, 2 * d)])
+                size += len(held[-1])
+                if size >= 4 * d:
+                    r, held, size = joined(), [], 0
+        if held or len(r):
+            r = joined()
+            yield _blob_batch(np.vstack([r, np.zeros((d - len(r), d))]).reshape(-1))
+
+    def both(a, b):
+        r = np.linalg.qr(np.vstack([a.reshape(d, d), b.reshape(d, d)]), mode="r")
+        return r.reshape(-1)
+
+    return sum_partials(df.select(features).mapInArrow(part, BLOB_SCHEMA), d * d, both).reshape(d, d)

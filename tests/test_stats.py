@@ -86,3 +86,46 @@ def test_quantiles_with_a_hot_value(spark):
     df = frame(spark, [(i, 0.0, [float(v[i])]) for i in range(1000)]).repartition(4)
     r = stats.feature_profile(df).first()
     assert [r["min"], r.q1, r.median, r.q3, r["max"]] == list(np.quantile(v, [0, 0.25, 0.5, 0.75, 1]))
+
+
+def test_ordered_keys_keep_the_order_of_doubles():
+    x = np.array([-np.inf, -1e300, -2.5, -2.5, -5e-324, -0.0, 0.0, 5e-324, 1.0, np.nextafter(1.0, 2), 1e300, np.inf])
+    keys = stats.ordered_keys(x)
+    assert np.all(keys[1:] >= keys[:-1]) and keys[5] == keys[6] and keys[8] < keys[9]
+    assert np.array_equal(stats.key_values(keys), x + 0.0)
+    assert np.isnan(stats.key_values(stats.ordered_keys(np.array([np.nan])))[0]) and stats.ordered_keys(np.array([np.nan]))[0] > keys[-1]
+
+
+@pytest.mark.parametrize("probs", [[0.0, 0.1, 0.333, 0.5, 0.9, 1.0], [0.5]])
+def test_quantiles_of_wild_values(spark, probs):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.standard_normal(301) * 10.0 ** rng.integers(-200, 200, 301), np.round(rng.standard_normal(301)), np.full(301, -0.0)], axis=1)
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(301)]).repartition(5)
+    got = {(r.feature_idx, r.prob): r.value for r in stats.exact_quantiles(df, probs).collect()}
+    for j in range(3):
+        s = np.sort(x[:, j])
+        for p in probs:
+            h = 300 * p
+            lo, hi = s[int(np.floor(h))], s[int(np.ceil(h))]
+            assert got[j, p] == (lo if lo == hi else lo + (hi - lo) * (h - np.floor(h)))
+    assert stats.exact_quantiles(df.limit(0), probs).count() == 0
+
+
+def test_triangular_factor_keeps_small_singular_values(spark, monkeypatch):
+    from kestrel.operators.pca import PCA
+
+    rng = np.random.default_rng(10)
+    u, _ = np.linalg.qr(rng.standard_normal((400, 12)))
+    v, _ = np.linalg.qr(rng.standard_normal((12, 12)))
+    s = 10.0 ** -np.linspace(0, 10, 12)
+    x = (u * s) @ v.T
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(400)]).repartition(7)
+    want = np.linalg.svd(x, compute_uv=False)
+    for bound in (64 << 20, 8):  # summed on the driver, and in a tree of tasks
+        monkeypatch.setattr(stats, "DIRECT_COLLECT_BYTES", bound)
+        p = PCA(num_components=12).fit(df, 12)
+        assert np.allclose(p.spectrum, want, rtol=1e-5, atol=1e-16)  # the Gram's eigenvalues stop at 1e-8
+        assert np.allclose(p.spectrum, want, rtol=0, atol=1e-12)
+        assert np.allclose(p.components.T @ p.components, np.eye(12), atol=1e-12)
+    few = stats.triangular_factor(df.where("row_id < 3"), 12)  # fewer rows than features
+    assert np.allclose(np.linalg.svd(few, compute_uv=False)[:3], np.linalg.svd(x[:3], compute_uv=False), atol=1e-12)
