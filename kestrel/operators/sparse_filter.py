@@ -16,6 +16,7 @@ same two passes, so no lineage grows and nothing but the parameters leaves the e
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ from kestrel.operators.stats import BLOB_SCHEMA, partial_map, sum_partials
 from kestrel.session import persist
 
 EPS = 1e-8
+LOCAL_BYTES = 64 << 20
 STEPS = (1.0, 0.5, 0.1, 0.01)
 FIRST_STEPS = (1.0, 0.1, 0.01, 1e-3)
 
@@ -53,6 +55,37 @@ def _unpack(theta: np.ndarray, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return theta[: d * k].reshape(d, k), theta[d * k :]
 
 
+def n_terms(d: int, k: int) -> int:
+    return 1 + 2 * d * k + 3 * k
+
+
+def square_sums(x: np.ndarray, params, act) -> np.ndarray:
+    """Pass 1 over some rows: per parameter point the column sums of squares."""
+    return np.array([(activate(act, x @ w + b)[0] ** 2).sum(0) for w, b in params])
+
+
+def gradient_terms(x: np.ndarray, params, norms: np.ndarray, act) -> np.ndarray:
+    """Pass 2 over some rows: per parameter point the objective and the sums its gradient is made of."""
+    out = []
+    for i, (w, b) in enumerate(params):
+        s, ds = activate(act, x @ w + b)
+        u = s / norms[i]
+        r = np.sqrt((u * u).sum(1) + EPS)
+        su = u.sum(1)
+        g = 1.0 / r[:, None] - u * (su / r**3)[:, None]
+        ga, gb = g * ds, s * ds
+        out.append(np.concatenate([[(u / r[:, None]).sum()], (x.T @ ga).reshape(-1), (x.T @ gb).reshape(-1), ga.sum(0), gb.sum(0), (g * s).sum(0)]))
+    return np.array(out)
+
+
+def joined_terms(v: np.ndarray, nj: np.ndarray, d: int, k: int) -> tuple[float, np.ndarray]:
+    """Objective and gradient from the sums of both passes."""
+    a, bb = v[1 : 1 + d * k].reshape(d, k), v[1 + d * k : 1 + 2 * d * k].reshape(d, k)
+    ab, bbias, q = v[1 + 2 * d * k :].reshape(3, k)
+    gw = a / nj - bb * (q / nj**3)
+    return float(v[0]), np.concatenate([gw.reshape(-1), ab / nj - bbias * (q / nj**3)])
+
+
 @dataclass
 class SparseFilterLayer:
     n_features: int = 200
@@ -64,62 +97,47 @@ class SparseFilterLayer:
     fit_norms: np.ndarray = field(default=None, repr=False)
     objective_trace: list = field(default_factory=list, repr=False)
 
-    # -------------------------------------------------------------- distributed objective
+    # -------------------------------------------------------------- objective
     def evaluate(self, df: DataFrame, d: int, thetas: Sequence[np.ndarray], features: str = "features"):
         """Objective and gradient at several parameter points, in two passes."""
         k, act, n_p = self.n_features, self.activation, len(thetas)
         params = [_unpack(t, d, k) for t in thetas]
 
         def norms_part(batch: pa.RecordBatch) -> np.ndarray:
-            x = list_to_matrix(column(batch, features), d)
-            out = np.empty((n_p, k))
-            for i, (w, b) in enumerate(params):
-                s, _ = activate(act, x @ w + b)
-                out[i] = (s * s).sum(0)
-            return out.reshape(-1)
+            return square_sums(list_to_matrix(column(batch, features), d), params, act).reshape(-1)
 
         src = df.select(features)
         sq = sum_partials(src.mapInArrow(partial_map(norms_part, n_p * k), BLOB_SCHEMA), n_p * k).reshape(n_p, k)
         norms = np.sqrt(sq + EPS)
-        size = 1 + 2 * d * k + 3 * k
+        size = n_terms(d, k)
 
         def grad_part(batch: pa.RecordBatch) -> np.ndarray:
-            x = list_to_matrix(column(batch, features), d)
-            out = np.empty((n_p, size))
-            for i, (w, b) in enumerate(params):
-                z = x @ w + b
-                s, ds = activate(act, z)
-                u = s / norms[i]
-                r = np.sqrt((u * u).sum(1) + EPS)
-                su = u.sum(1)
-                g = 1.0 / r[:, None] - u * (su / r**3)[:, None]
-                ga, gb = g * ds, s * ds
-                out[i, 0] = (u / r[:, None]).sum()
-                out[i, 1 : 1 + d * k] = (x.T @ ga).reshape(-1)
-                out[i, 1 + d * k : 1 + 2 * d * k] = (x.T @ gb).reshape(-1)
-                out[i, 1 + 2 * d * k : 1 + 2 * d * k + k] = ga.sum(0)
-                out[i, 1 + 2 * d * k + k : 1 + 2 * d * k + 2 * k] = gb.sum(0)
-                out[i, 1 + 2 * d * k + 2 * k :] = (g * s).sum(0)
-            return out.reshape(-1)
+            return gradient_terms(list_to_matrix(column(batch, features), d), params, norms, act).reshape(-1)
 
         tot = sum_partials(src.mapInArrow(partial_map(grad_part, n_p * size), BLOB_SCHEMA), n_p * size).reshape(n_p, size)
-        results = []
-        for i in range(n_p):
-            v, nj = tot[i], norms[i]
-            a = v[1 : 1 + d * k].reshape(d, k)
-            bb = v[1 + d * k : 1 + 2 * d * k].reshape(d, k)
-            ab, bbias = v[1 + 2 * d * k : 1 + 2 * d * k + k], v[1 + 2 * d * k + k : 1 + 2 * d * k + 2 * k]
-            q = v[1 + 2 * d * k + 2 * k :]
-            gw = a / nj - bb * (q / nj**3)
-            gbias = ab / nj - bbias * (q / nj**3)
-            results.append((float(v[0]), np.concatenate([gw.reshape(-1), gbias])))
-        return results, norms
+        return [joined_terms(tot[i], norms[i], d, k) for i in range(n_p)], norms
+
+    def evaluate_block(self, x: np.ndarray, thetas: Sequence[np.ndarray]):
+        """The same over rows that one task holds."""
+        d, k = x.shape[1], self.n_features
+        params = [_unpack(t, d, k) for t in thetas]
+        norms = np.sqrt(square_sums(x, params, self.activation) + EPS)
+        terms = gradient_terms(x, params, norms, self.activation)
+        return [joined_terms(terms[i], norms[i], d, k) for i in range(len(thetas))], norms
 
     # -------------------------------------------------------------- fit
     def fit(self, df: DataFrame, d: int, features: str = "features") -> "SparseFilterLayer":
+        return self._descend(lambda thetas: self.evaluate(df, d, thetas, features), d, together=True)
+
+    def fit_block(self, x: np.ndarray) -> "SparseFilterLayer":
+        return self._descend(lambda thetas: self.evaluate_block(x, thetas), x.shape[1], together=False)
+
+    def _descend(self, evaluate, d: int, together: bool) -> "SparseFilterLayer":
+        """L-BFGS. ``together``: all trial steps of an iteration in one evaluation (a pass over the data each), or
+        one after the other until one suffices."""
         rng = np.random.default_rng(self.seed)
         theta = np.concatenate([rng.standard_normal(d * self.n_features), rng.standard_normal(self.n_features)])
-        (f, g), = self.evaluate(df, d, [theta], features)[0]
+        (f, g), = evaluate([theta])[0]
         hs, hy = [], []
         self.objective_trace = [f]
         for it in range(max(0, int(self.n_iterations) - 1)):
@@ -144,9 +162,12 @@ class SparseFilterLayer:
                 slope = float(g @ direction)
             steps = FIRST_STEPS if not hs else STEPS
             cands = [theta + t * direction for t in steps]
-            res, _ = self.evaluate(df, d, cands, features)
+            res = evaluate(cands)[0] if together else []
             chosen = None
-            for t, c, (fc, gc) in zip(steps, cands, res):
+            for j, (t, c) in enumerate(zip(steps, cands)):
+                if not together:
+                    res += evaluate([c])[0]
+                fc, gc = res[j]
                 if fc <= f + 1e-4 * t * slope:
                     chosen = (c, fc, gc)
                     break
@@ -172,10 +193,16 @@ class SparseFilterLayer:
             if converged or np.abs(g).max() < 1e-7:
                 break
         self.W, self.b = _unpack(theta, d, self.n_features)
-        _, norms = self.evaluate(df, d, [theta], features)
+        _, norms = evaluate([theta])
         self.fit_norms = norms[0]
         return self
 
+    def transform_block(self, x: np.ndarray) -> np.ndarray:
+        """M12 over rows that one task holds, with their own norms."""
+        s, _ = activate(self.activation, x @ self.W + self.b)
+        u = s / np.sqrt((s * s).sum(0) + EPS)
+        return u / np.sqrt((u * u).sum(1, keepdims=True) + EPS)
+
     # -------------------------------------------------------------- transform
     def activations(self, df: DataFrame, features: str = "features", out: str = "_act") -> DataFrame:
         from kestrel.session import ship_package
@@ -225,12 +252,14 @@ class SparseFilterLayer:
 
     def to_dict(self) -> dict:
         return {"n_features": self.n_features, "n_iterations": self.n_iterations, "activation": self.activation,
-                "seed": self.seed, "W": self.W.tolist(), "b": self.b.tolist(), "fit_norms": self.fit_norms.tolist()}
+                "seed": self.seed, "W": self.W.tolist(), "b": self.b.tolist(), "fit_norms": self.fit_norms.tolist(),
+                "objective": self.objective_trace[-1] if self.objective_trace else None, "iterations": len(self.objective_trace)}
 
     @classmethod
     def from_dict(cls, d: dict) -> "SparseFilterLayer":
         layer = cls(d["n_features"], d["n_iterations"], d["activation"], d["seed"])
         layer.W, layer.b, layer.fit_norms = np.array(d["W"]), np.array(d["b"]), np.array(d["fit_norms"])
+        layer.objective_trace = [] if d.get("objective") is None else [d["objective"]]
         return layer
 
 
@@ -246,6 +275,20 @@ class SparseFilter:
     layers: list = field(default_factory=list)
 
     def fit(self, df: DataFrame, d: int, features: str = "features", by: str | None = "part") -> "SparseFilter":
+        self.layers = fit_stacks(df, d, [self], features, by)[0].layers
+        return self
+
+    def fit_block(self, x: np.ndarray) -> "SparseFilter":
+        """The stack over rows that one task holds."""
+        self.layers = []
+        for i in range(1 if self.n_layers is None else int(self.n_layers)):
+            layer = SparseFilterLayer(self.n_features, self.n_iterations, self.activation, self.seed * 1000 + i).fit_block(x)
+            self.layers.append(layer)
+            x = layer.transform_block(x)
+        return self
+
+    def fit_passes(self, df: DataFrame, d: int, features: str = "features", by: str | None = "part") -> "SparseFilter":
+        """The stack by passes over the rows where they lie."""
         n_layers = 1 if self.n_layers is None else int(self.n_layers)
         self.layers = []
         # every evaluation reads the input twice: keep it
@@ -291,6 +334,35 @@ class SparseFilter:
         return sf
 
 
+def fit_stacks(df: DataFrame, d: int, stacks: Sequence[SparseFilter], features: str = "features", by: str | None = "part",
+               local_bytes: int | None = None) -> list[SparseFilter]:
+    """Several stacks over the same rows. A table that stays within ``LOCAL_BYTES`` at the widest layer (its rows are
+    counted first) is broadcast and the stacks are dealt to the tasks, which then need no passes; a larger one stays
+    where it is and every evaluation is two passes. The same objective, start and steps either way."""
+    widest = max(d, *(int(s.n_features) for s in stacks))
+    if df.count() * widest * 8 > (LOCAL_BYTES if local_bytes is None else local_bytes) or any(not isinstance(s.activation, str) for s in stacks):
+        return [s.fit_passes(df, d, features, by) for s in stacks]
+    spark = df.sparkSession
+    order = ["row_id"] if "row_id" in df.columns else []
+    rows = df.select(features, *order).orderBy(*order) if order else df.select(features)
+    x = list_to_matrix(rows.toArrow().column(features), d)
+    shared = spark.sparkContext.broadcast(x)
+    described = [(k, s.n_layers, int(s.n_iterations), int(s.n_features), s.activation, int(s.seed)) for k, s in enumerate(stacks)]
+    # the widest take longest: dealt first, one task each
+    described.sort(key=lambda t: -t[3])
+    jobs = spark.createDataFrame(described, "stack int, n_layers int, n_iterations int, n_features int, activation string, seed bigint")
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                sf = SparseFilter(r["n_layers"], r["n_iterations"], r["n_features"], r["activation"], r["seed"]).fit_block(shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([r["stack"]], pa.int32()), pa.array([json.dumps(sf.to_dict())])], names=["stack", "fitted"])
+
+    fitted = {r["stack"]: SparseFilter.from_dict(json.loads(r["fitted"])) for r in jobs.repartition(len(stacks), "stack").mapInArrow(run, "stack int, fitted string").collect()}
+    shared.unpersist()
+    return [fitted[k] for k in range(len(stacks))]
+
+
 def sweep(df: DataFrame, d: int, features_list: Sequence[int], n_layers: int, n_reps: int, n_iterations: int,
           out_path: str, seed: int = 0, features: str = "features") -> DataFrame:
     """M16 + S5: for each width x repetition fit a stack on train+test, transform both parts (norms
@@ -301,18 +373,18 @@ def sweep(df: DataFrame, d: int, features_list: Sequence[int], n_layers: int, n_
 
     spark = df.sparkSession
     src = persist(df.select("row_id", "part", features))
-    for nf in features_list:
-        for rep in range(int(n_reps)):
-            sf = SparseFilter(n_layers, n_iterations, int(nf), seed=seed + 7919 * rep + int(nf)).fit(src, d, features)
-            full = sf.transform(src, features, "batch", "part")
-            depths = F.array(*[F.struct(F.lit(k).alias("n_layers"), F.slice("sf_features", 1, k * int(nf)).alias("features"))
-                               for k in range(1, len(sf.layers) + 1)])
-            rows = full.select("row_id", "part", F.explode(depths).alias("_d")).select(
-                "row_id", "part", "_d.features", "_d.n_layers", F.lit(int(nf)).alias("n_features"),
-                F.lit(int(n_iterations)).alias("n_iter"), F.lit(rep).alias("n_rep"))
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("n_layers", "n_features", "n_iter", "n_rep", "part").parquet(f"{out_path}/features"))
-            for sub in sf.sub_networks():
-                write_json_doc(spark, sub.to_dict(), f"{out_path}/filters/{len(sub.layers)}-{int(nf)}-{int(n_iterations)}-{rep}")
+    runs = [(int(nf), rep) for nf in features_list for rep in range(int(n_reps))]
+    stacks = fit_stacks(src, d, [SparseFilter(n_layers, n_iterations, nf, seed=seed + 7919 * rep + nf) for nf, rep in runs], features)
+    for (nf, rep), sf in zip(runs, stacks):
+        full = sf.transform(src, features, "batch", "part")
+        depths = F.array(*[F.struct(F.lit(k).alias("n_layers"), F.slice("sf_features", 1, k * int(nf)).alias("features"))
+                           for k in range(1, len(sf.layers) + 1)])
+        rows = full.select("row_id", "part", F.explode(depths).alias("_d")).select(
+            "row_id", "part", "_d.features", "_d.n_layers", F.lit(int(nf)).alias("n_features"),
+            F.lit(int(n_iterations)).alias("n_iter"), F.lit(rep).alias("n_rep"))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("n_layers", "n_features", "n_iter", "n_rep", "part").parquet(f"{out_path}/features"))
+        for sub in sf.sub_networks():
+            write_json_doc(spark, sub.to_dict(), f"{out_path}/filters/{len(sub.layers)}-{int(nf)}-{int(n_iterations)}-{rep}")
     src.unpersist()
     return spark.read.parquet(f"{out_path}/features")

@@ -752,7 +752,7 @@ def q_sparse_filter_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     from kestrel.operators.sparse_filter import SparseFilter
 
     emb = T.embeddings(spark, sf)
-    sfm = SparseFilter(n_layers=2, n_iterations=15, n_features=8, seed=SEED).fit(emb, 64, by=None)
+    sfm = SparseFilter(n_layers=2, n_iterations=1000, n_features=50, seed=SEED).fit(emb, 64, by=None)
     out = sfm.transform(emb, norms="batch", by=None)
     return _explode_rounded(out.select("row_id", F.col("sf_features").alias("features")))
 
@@ -954,6 +954,44 @@ SELECT CAST(l.k AS INTEGER) AS n_layers, CAST(f.k AS INTEGER) AS n_features, 5 A
        CAST(l.k * f.k AS INTEGER) AS width FROM n, (VALUES (1), (2)) l(k), (VALUES (4), (6)) f(k)"""
 
 
+SWEEP_WIDTHS = list(range(50, 121, 10))
+SWEEP_ITERATIONS = 300  # a layer's default; over 500 rows on 8 cores 1,000 took 87 s, the sweep's default 10,000 took 347 s
+
+
+def q_sweep_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M16 + S5 + S6: the sweep over its default 8 widths, 2 layers, at most 300 iterations, over all embeddings
+    (every fifth is the test part), stored as one dataset under the checkpoint folder and read back. Each stored
+    layer's objective is computed again from its filter and must be the one that its fit ended with."""
+    import json
+
+    from kestrel.operators.sparse_filter import SparseFilter, sweep
+    from kestrel.session import ensure_checkpoint_dir, persist
+
+    part = F.when(F.col("row_id") % 5 == 0, "test").otherwise("train")
+    emb = persist(T.embeddings(spark, sf).select("row_id", part.alias("part"), "features"))
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/kestrel-sweep-{uuid.uuid4().hex}"
+    back = sweep(emb, 64, SWEEP_WIDTHS, n_layers=2, n_reps=1, n_iterations=SWEEP_ITERATIONS, out_path=out, seed=SEED)
+    checked = []
+    for width in SWEEP_WIDTHS:
+        doc = spark.read.text(f"{out}/filters/2-{width}-{SWEEP_ITERATIONS}-0", wholetext=True).first()["value"]
+        net, rows, d = SparseFilter.from_dict(json.loads(doc)), emb, 64
+        for k, layer in enumerate(net.layers):
+            (again, _), = layer.evaluate(rows, d, [np.concatenate([layer.W.reshape(-1), layer.b])])[0]
+            checked.append((k + 1, width, bool(abs(again - layer.objective_trace[-1]) <= 1e-8 * abs(again))))
+            rows, d = layer.transform(rows, "features", "batch", None), width
+    kept = spark.createDataFrame(checked, "n_layers int, n_features int, objective_kept boolean")
+    counts = back.groupBy("n_layers", "n_features", "n_iter", "n_rep", "part").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.size("features")).alias("width"),
+        F.round(F.min(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)), 3).alias("square"))
+    return counts.join(F.broadcast(kept), ["n_layers", "n_features"])
+
+
+SQL_SWEEP_EMB = f"""WITH n AS (SELECT CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS rows FROM embeddings GROUP BY 1)
+SELECT CAST(l.k AS INTEGER) AS n_layers, CAST(f.k AS INTEGER) AS n_features, {SWEEP_ITERATIONS} AS n_iter, 0 AS n_rep, part, rows,
+       CAST(l.k * f.k AS INTEGER) AS width, CAST(l.k AS DOUBLE) AS square, true AS objective_kept
+FROM n, (VALUES (1), (2)) l(k), (VALUES {", ".join(f"({w})" for w in SWEEP_WIDTHS)}) f(k)"""
+
+
 def q_pca_moments_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """M4: the fitted spectrum's sums of squares and of fourth powers, which must be the trace and the
     squared Frobenius norm of the second moments."""
@@ -1050,5 +1088,6 @@ QUERIES = {
     "e9_performance_documents": (q_performance_docs, None),
     "m13_sparse_filter_embeddings": (q_sparse_filter_embeddings, None),
     "m16_sweep_documents": (q_sweep_documents, SQL_SWEEP_DOCUMENTS),
+    "m16_sweep_embeddings": (q_sweep_embeddings, SQL_SWEEP_EMB),
     "e10_run_embeddings": (q_run_embeddings, None),
 }

@@ -82,3 +82,21 @@ def test_custom_activation_gradient(xdf):
     assert f == pytest.approx(obj(theta))
     num = np.array([(obj(theta + e) - obj(theta - e)) / 2e-6 for e in np.eye(len(theta)) * 1e-6])
     assert np.allclose(g, num, atol=1e-5)
+
+
+def test_stacks_in_tasks_equal_stacks_in_passes(spark):
+    from kestrel.operators.sparse_filter import SparseFilter, fit_stacks
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 5))
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(60)]).repartition(3)
+    make = lambda: [SparseFilter(2, 5, k, seed=4 + k) for k in (3, 6)]  # noqa: E731 (few steps: rounding grows)
+    here, there = fit_stacks(df, 5, make(), by=None), fit_stacks(df, 5, make(), by=None, local_bytes=0)
+    for a, b in zip(here, there):
+        assert len(a.layers) == len(b.layers) == 2
+        for u, v in zip(a.layers, b.layers):
+            assert np.allclose(u.W, v.W, atol=1e-5) and np.allclose(u.fit_norms, v.fit_norms, rtol=1e-5)
+            assert u.objective_trace[-1] == pytest.approx(v.objective_trace[-1], rel=1e-7)
+    first = here[0].layers[0]
+    (again, _), = first.evaluate(df, 5, [np.concatenate([first.W.reshape(-1), first.b])])[0]
+    assert again == pytest.approx(first.objective_trace[-1], rel=1e-10)
