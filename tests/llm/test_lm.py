@@ -165,3 +165,13 @@ def test_cases(spark):
 def test_beats_the_baseline_on_held_out_text(spark):
     got = queries.op5_lm_scores(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got["s"] > got["b"]
+
+
+def test_slots_find_what_a_search_finds():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(-(2**62), 2**62, n))
+        rng.shuffle(keys)
+        asked = np.concatenate([keys, rng.integers(-50, 50, 300), keys + 1])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert lm.Slots(keys).find(asked).tolist() == [place.get(int(k), -1) for k in asked]
