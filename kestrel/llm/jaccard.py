@@ -19,8 +19,11 @@ chosen is below ``MISS``, wherever the shared ones lie. A bucket that does not s
 is not cut but compared in blocks of half ``LIMIT``, all pairs of blocks, each pair of blocks a group of its own.
 
 *Brute force.* A pair belongs to the smallest of the buckets it shares, so each link counts once. First,
-bucket lists and sizes alone tell which members have any partner in a bucket; only these bring
-their texts. Intersections are exact, as products of 0/1 matrices over the tokens that occur
+bucket lists, sizes and chosen tokens alone tell which members have any partner in a bucket; only these bring
+their texts. Of the tokens of a pair's union that fall under the smaller of the two rates, a similar pair shares
+each with a chance of at least ``similarity``; a pair that shares so few of them that a similar one would with a
+chance below ``MISS`` is no partner. So texts that share passages, but not most of themselves, move no further
+than their chosen tokens, in large buckets too. Intersections are exact, as products of 0/1 matrices over the tokens that occur
 twice. A group returns one row per linked member, its number of links (copies counted) and one link to
 a smaller id, never the pairs.
 
@@ -39,6 +42,7 @@ rows come back as often, with equal results; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -58,6 +62,7 @@ LIMIT = 1024
 BLOCK_BYTES = 8 << 20
 DEPTH = 3
 NEXT = 3
+MARK = 31
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -116,6 +121,22 @@ def spare(similarity: float, recall: float, miss: float = MISS) -> int:
     return k
 
 
+@functools.lru_cache(maxsize=4096)
+def least_common(union: int, similarity: float, miss: float = MISS) -> int:
+    """Least c such that c or fewer of ``union`` sampled tokens are shared by a similar pair with a chance
+    of ``miss`` or more. Drawn without replacement, the shared ones vary less than the binomial used."""
+    tail, c = 0.0, -1
+    while c < union and tail < miss:
+        c += 1
+        tail += math.comb(union, c) * similarity**c * (1 - similarity) ** (union - c)
+    return max(c, 0)
+
+
+def _top(size: int, chosen: float) -> int:
+    """Largest hash a set of ``size`` tokens chooses."""
+    return min(2**64 - 1, int(min(1.0, chosen / max(1, size)) * 2**64))
+
+
 def _signatures(words: int, chosen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -124,8 +145,7 @@ def _signatures(words: int, chosen: float):
                 s = shingles(text, words)
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 h = scramble(s ^ np.uint64(0xA5A5A5A55A5A5A5A))
-                top = min(1.0, chosen / max(1, len(s)))
-                own = np.sort(h[h <= np.uint64(min(2**64 - 1, int(top * 2**64)))])
+                own = np.sort(h[h <= np.uint64(_top(len(s), chosen))])
                 picks.append(own.view(np.int64).tolist())
                 sizes.append(len(s))
                 lengths.append(len(text or ""))
@@ -174,18 +194,23 @@ def paths(reps: DataFrame, enough: int, limit: int = LIMIT, depth: int = DEPTH)
     return out.unionByName(cur.select("path", "rep", "n"))
 
 
-def _prepass(similarity: float):
-    """Which members of a bucket have a partner that belongs to it?"""
+def _prepass(similarity: float, chosen: float):
+    """Which members of a group (a bucket, or two blocks of one) have a partner that belongs to it?"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in sorted_groups(batches, ["path"]):
-            m = g.num_rows
-            if m < 2:
+        for g in sorted_groups(batches, ["path", "bi", "bj"]):
+            if g.num_rows < 2:
                 continue
             path, rep, size = g["path"][0].as_py(), g["rep"].to_numpy(), g["size"].to_numpy()
             pair = (size[:, None] >= similarity * size[None, :]) & (size[None, :] >= similarity * size[:, None])
-            pair &= ~_earlier(g["leaves"].combine_chunks(), path)
             np.fill_diagonal(pair, False)
+            if g["bi"][0].as_py() != g["bj"][0].as_py():
+                block = g["block"].to_numpy()
+                pair &= block[:, None] != block[None, :]
+            if pair.any():
+                pair &= ~_earlier(g["leaves"].combine_chunks(), path)
+            if pair.any():
+                pair &= _plausible(g["marks"].combine_chunks(), size, similarity, chosen)
             need = pair.any(1)
             if need.any():
                 yield pa.RecordBatch.from_arrays([pa.array([path] * int(need.sum()), pa.int64()), pa.array(rep[need])], names=["path", "rep"])
@@ -193,6 +218,28 @@ def _prepass(similarity: float):
     return run
 
 
+def _plausible(marks: pa.ListArray, size: np.ndarray, similarity: float, chosen: float) -> np.ndarray:
+    """Pairs that share no fewer chosen tokens than :func:`least_common` says. ``marks`` are the upper
+    ``MARK`` bits of the chosen hashes, ascending; equal marks of unequal hashes only let more pairs through."""
+    m, offsets = len(marks), marks.offsets.to_numpy()
+    flat = marks.flatten().to_numpy()
+    row = np.repeat(np.arange(m), np.diff(offsets))
+    _, col, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = _overlap(m, row, col, n).astype(np.int64)
+    tops = np.array([_top(int(x), chosen) >> 64 - MARK for x in size], np.int64)
+    cuts = offsets - offsets[0]
+    under = np.stack([np.searchsorted(flat[cuts[i] : cuts[i + 1]], tops) for i in range(m)])  # marks of i below j's rate
+    union = np.maximum(under + under.T - common, 0)
+    least = np.array([least_common(u, similarity) for u in range(int(union.max()) + 1)])
+    return common >= least[union]
+
+
+def pairs_of_blocks(n_blocks: str, block: str):
+    """The pairs of blocks that a member of ``block`` takes part in."""
+    return F.transform(F.sequence(F.lit(0), F.col(n_blocks) - 1),
+                       lambda o: F.struct(F.least(o, F.col(block)).alias("bi"), F.greatest(o, F.col(block)).alias("bj")))
+
+
 def _earlier(lists: pa.ListArray, path: int) -> np.ndarray:
     """Do two members share a bucket before ``path``?"""
     offsets = lists.offsets.to_numpy()
@@ -299,11 +346,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     leaf = cut_lineage(paths(reps, spare(similarity, recall), limit))
     lists = leaf.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("leaves"))  # bounded by the picks and NEXT
     about = lists.join(reps.select("rep", "size", "copies", "chars"), "rep")
-    member = leaf.join(about, "rep")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    need = (member.where(F.col("n") <= limit).select("path", "rep", "size", "leaves").repartition(parts, "path").sortWithinPartitions("path")
-            .mapInArrow(lean(_prepass(similarity)), "path bigint, rep bigint"))
-    need = cut_lineage(need.union(leaf.where(F.col("n") > limit).select("path", "rep")))
+    # large buckets are told apart in pairs of blocks, which hold no more members than one bucket compared whole
+    n_blocks = F.when(F.col("n") > limit, F.ceil(F.col("n") / max(1, limit // 2))).otherwise(1).cast("int")
+    marks = F.transform("picks", lambda h: F.shiftrightunsigned(h, 64 - MARK).cast("int"))
+    light = (leaf.join(lists.join(reps.select("rep", "size", marks.alias("marks")), "rep"), "rep").withColumn("nb", n_blocks)
+             .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("nb")).cast("int"))
+             .withColumn("at", F.explode(pairs_of_blocks("nb", "block")))
+             .select("path", "at.bi", "at.bj", "block", "rep", "size", "leaves", "marks"))
+    need = cut_lineage(light.repartition(parts, "path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
+                       .mapInArrow(lean(_prepass(similarity, rate(similarity, recall))), "path bigint, rep bigint").distinct())
     wanted = need.join(about, "rep")
     load = wanted.groupBy("path").agg(F.count("*").alias("m"), F.sum("chars").alias("c"))
     # a group of two blocks holds no more members than a bucket compared whole
@@ -313,8 +365,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     total = load.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     dealt = (join_nodes(wanted.drop("chars"), load, ["path"], "m", total)
              .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("nb")).cast("int")))
-    own = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
-    dealt = dealt.withColumn("at", own)
+    dealt = dealt.withColumn("at", pairs_of_blocks("nb", "block"))
     asked = dealt.groupBy("rep").agg(F.collect_list(F.struct("path", "at", "block")).alias("to"), F.first("copies").alias("copies"), F.first("leaves").alias("leaves"))
     body = src.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = (asked.join(body, asked["rep"] == body["doc_id"]).select("rep", "copies", "leaves", "text", F.explode("to").alias("t"))
@@ -333,13 +384,35 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row per group of linked documents, the one with the smallest id; rows with a
-    null id stay."""
-    gone = join(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one row per group of linked documents, the one with the smallest id. Rows that share an id
+    but hold different texts are documents of their own: all but one of them take part under ids above the
+    largest, so they go only if linked to one that stays. Of repeated (id, text) rows one stays, the least by
+    its other columns; rows with a null id stay."""
     cols = docs.columns
-    ranked = left.where("doc_id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in cols if c != "doc_id"])))
-    return ranked.where("__n = 1").select(*cols).unionByName(left.where("doc_id is null"))
+    content = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    named = docs.where("doc_id is not null")
+    held = cut_lineage(named.select("doc_id", content.alias("content")).groupBy("doc_id", "content").agg(F.count("*").alias("n")))
+    first = held.groupBy("doc_id").agg(F.min("content").alias("content"), F.count("*").alias("texts"))
+    shared = cut_lineage(first.where("texts > 1").select("doc_id", "content"))
+    others = held.join(shared, "doc_id", "left_semi").join(shared, ["doc_id", "content"], "left_anti")
+    top = held.agg(F.max("doc_id").cast("bigint")).first()[0]
+    alias = cut_lineage(others.select("doc_id", "content", (F.lit(top).cast("bigint") + 1 + F.monotonically_increasing_id()).alias("alias")))
+    if alias.isEmpty():  # as a rule: no id has two texts
+        gone = join(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+        left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    else:
+        keyed = (docs.withColumn("__content", content).alias("d")
+                 .join(alias.alias("a"), (F.col("d.doc_id") == F.col("a.doc_id")) & (F.col("__content") == F.col("a.content")), "left")
+                 .select("d.*", F.coalesce("a.alias", F.col("d.doc_id").cast("bigint")).alias("__doc")))
+        gone = (join(keyed.select(F.col("__doc").alias("doc_id"), "text"), **options).where("class_id <> doc_id")
+                .select(F.col("doc_id").alias("__gone")).distinct())
+        left = keyed.join(gone, keyed["__doc"] == gone["__gone"], "left_anti").select(*cols)
+    again = held.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("content").alias("__same"))
+    if again.isEmpty():
+        return left
+    same = (left["doc_id"] == again["__id"]) & (content == again["__same"])
+    once = left.join(again, same).groupBy("__id", "__same").agg(F.min(F.struct(*cols)).alias("__row")).select("__row.*")
+    return left.join(again, same, "left_anti").unionByName(once)
 
 
 def op2(docs: DataFrame) -> DataFrame:

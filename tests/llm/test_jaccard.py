@@ -102,6 +102,66 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 5]
 
 
+def test_keep_one_keeps_differing_texts_of_one_id(spark):
+    rows = [(2, "x y z u v w", "de"), (2, "x y z u v w", "de"), (2, "p q r s t", "de"), (2, None, "de"), (2, "p q r s t", "en"),
+            (1, "x y z u v w", "fr"), (7, "a b c d e f", None), (7, "g h i j k l", None), (9, "g h i j k l", None), (None, "q", None), (None, "q", None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    left = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept)
+    assert left[:2] == [(0, "q"), (0, "q")]
+    assert sorted(t for _, t in left[2:]) == ["", "a b c d e f", "g h i j k l", "p q r s t", "x y z u v w"]
+    assert (1, "x y z u v w") in left and (2, "p q r s t") in left and (2, "") in left
+    assert [r["lang"] for r in kept if r["text"] == "p q r s t"] == ["de"]
+
+
+def passages(n, seed=5):
+    """Documents of 12 of 24 shared passages of 60 words; every tenth is another with one passage swapped."""
+    rng = random.Random(seed)
+    stock = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=60)) for _ in range(24)]
+    rows = []
+    for i in range(n):
+        own = list(rows[rng.randrange(len(rows))][1]) if rows and i % 10 == 0 else rng.sample(stock, 12)
+        if i % 10 == 0:
+            own[rng.randrange(12)] = " ".join(rng.choices([f"w{k}" for k in range(3000)], k=60))
+        rows.append((i, own))
+    return [(i, " ".join(t)) for i, t in rows]
+
+
+@pytest.mark.parametrize("limit", [1024, 100])
+def test_shared_passages_lose_no_link(spark, limit):
+    rows = passages(600)
+    want = brute(rows)
+    assert sum(n for _, n in want.values()) > 50
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in joined(spark, rows, limit=limit)}
+    assert got == want
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_least_common_bounds_what_a_similar_pair_shares(similarity):
+    import math
+
+    for union in (1, 5, 40, 90, 160):
+        c = jaccard.least_common(union, similarity)
+        below = sum(math.comb(union, i) * similarity**i * (1 - similarity) ** (union - i) for i in range(c))
+        assert below < jaccard.MISS and c <= similarity * union + 1
+
+
+def test_plausible_counts_equal_the_sets():
+    """Kept: a pair with 85 % of its tokens in common; told apart: one with a third."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    sets = [base[:3000], base[:3400], base[1800:], base[:0]]
+    chosen = jaccard.rate(0.8, jaccard.RECALL)
+    marks = [np.sort(s[s <= np.uint64(jaccard._top(len(s), chosen))] >> np.uint64(64 - jaccard.MARK)).astype(np.int32) for s in sets]
+    size = np.array([len(s) for s in sets])
+    for cut in (0, 1):  # a slice of a longer list array too
+        full = pa.array([np.arange(3, dtype=np.int32)] * cut + marks, pa.list_(pa.int32()))
+        ok = jaccard._plausible(full[cut:], size, 0.8, chosen)
+        assert ok[0, 1] and ok[1, 0] and not ok[0, 2] and not ok[2, 0]
+
+
 def test_signature_hash_depends_on_words_only():
     a = jaccard.shingles("One two  three four five six")
     b = jaccard.shingles("zero one two three four five six")
