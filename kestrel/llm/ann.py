@@ -11,9 +11,10 @@ original vectors, and heaps of size k merge them. Since the bounds are never vio
 result is exact: the quantisation decides the work, not the answer.
 
 Defined cases: vectors that are null, zero or hold null, NaN or infinite components take no part,
-as rows with a null id; rows sharing an id count once (the smallest vector); only vectors of a
-query's length are its candidates; ties go to the smaller id; with fewer than k candidates all
-are returned.
+as rows with a null id; rows that share an id, repeated ones too, are each a candidate, and each a query of its own,
+whose own row alone is excluded; only vectors of a query's length are its candidates; ties go to the smaller id;
+with fewer than k candidates all are returned; other columns of the table are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -54,25 +55,25 @@ def norms(mat: np.ndarray) -> np.ndarray:
 
 
 class Tiles:
-    def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.mat, self.k = ids[order], mat[order], k
+        self.rows, self.ids, self.mat, self.k = rows[order], ids[order], mat[order], k
         self.norm = norms(self.mat)
         self.codes = quantise(self.mat) if len(ids) else None
 
-    def __call__(self, qids: np.ndarray, qmat: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+    def __call__(self, qrows: np.ndarray, qmat: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
         k = self.k
         qnorm = norms(qmat)
         qc, qs, ql, qe = quantise(qmat)
         kth = np.where(np.isnan(floor), -np.inf, floor - 1e-12)
-        heaps: list[list[tuple[float, int]]] = [[] for _ in qids]
+        heaps: list[list[tuple[float, int]]] = [[] for _ in qrows]
         for a in range(0, len(self.ids), TILE):
             ids = self.ids[a : a + TILE]
             c, s, length, left = (z[a : a + TILE] for z in self.codes)
             near = tile_product(qc, c) * qs[:, None] * s
             slack = ql[:, None] * left + qe[:, None] * length + qe[:, None] * left
             low, high = near - slack, near + slack
-            own = ids[None, :] == qids[:, None]
+            own = self.rows[a : a + TILE][None, :] == qrows[:, None]
             low[own], high[own] = -np.inf, -np.inf
             if low.shape[1] >= k:
                 kth = np.maximum(kth, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
@@ -110,11 +111,11 @@ def op8(embeddings: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -10,10 +10,10 @@ the one shared between the shards (see ``vectors.search``) and rises as candidat
 Arithmetic is exact: products run through BLAS in float64 where the largest possible sum of
 products stays under 2^53, else in int64. Bounds carry a slack for their own rounding.
 
-Defined cases: vectors that are null or hold null, NaN or infinite components take no part, as
-rows with a null id; rows sharing an id count once (the smallest vector); only vectors of a
-query's length are its candidates; ties go to the smaller id; with fewer than k candidates all
-are returned; a score beyond 64 bits raises.
+Defined cases: vectors that are null or hold null, NaN or infinite components take no part, as rows with a null id; rows that share an id, repeated ones too, are each a candidate, and each a query of its own,
+whose own row alone is excluded; only vectors of a query's length are its candidates; ties go to the smaller id;
+with fewer than k candidates all are returned; other columns of the table are not read; an empty table gives an
+empty result; a score beyond 64 bits raises.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ NONE = np.iinfo(np.int64).min
 class BallTree:
     """Rows of ``data`` permuted so that every node is a slice."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, data: np.ndarray):
         self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []  # centre, radius, start, stop, left, right
         order = np.arange(len(ids))
         self.root = self._build(data, order, 0, len(ids))
-        self.ids, self.data = ids[order], data[order]
+        self.rows, self.ids, self.data = rows[order], ids[order], data[order]
 
     def _build(self, data: np.ndarray, order: np.ndarray, a: int, b: int) -> int:
         x = data[order[a:b]]
@@ -67,11 +67,11 @@ def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int, scale: float):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, scale: float):
         self.scale, self.k = scale, k
-        self.tree = BallTree(ids, np.floor(mat * scale))
+        self.tree = BallTree(rows, ids, np.floor(mat * scale))
 
-    def __call__(self, qids: np.ndarray, qmat: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+    def __call__(self, qrows: np.ndarray, qmat: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
         k, t = self.k, self.tree
         q = np.floor(qmat * self.scale)
         norm = np.sqrt((q**2).sum(1))
@@ -89,7 +89,7 @@ class Searcher:
             for i in range(a, b, 4 * LEAF):  # a ball of equal vectors may be long
                 ids = t.ids[i : min(b, i + 4 * LEAF)]
                 s = _dot(q[idx], t.data[i : min(b, i + 4 * LEAF)])
-                s[(ids[None, :] == qids[idx][:, None]) | (s < kth[idx][:, None])] = NONE
+                s[(t.rows[i : min(b, i + 4 * LEAF)][None, :] == qrows[idx][:, None]) | (s < kth[idx][:, None])] = NONE
                 hit = (s != NONE).any(1)
                 sel = idx[hit]
                 if not len(sel):
@@ -126,7 +126,7 @@ def top_k(df: DataFrame, queries, k: int = 5, scale: float = 256.0, vec: str = "
     """query_id, rank, vec_id, score of the ``k`` largest integer inner products of every row for which
     ``queries`` (over the column ``id``) holds."""
     return vectors.search(vectors.vectors(df, vec, key), queries, k,
-                          lambda ids, mat, kk: Searcher(ids, mat, kk, scale), "bigint", "double")
+                          lambda rows, ids, mat, kk: Searcher(rows, ids, mat, kk, scale), "bigint", "double")
 
 
 def op7(embeddings: DataFrame) -> DataFrame:
@@ -134,10 +134,10 @@ def op7(embeddings: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -12,21 +12,18 @@ def frame(spark, rows):
 
 
 def usable(rows):
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            v = [float(x) for x in v]
-            best[i] = min(best.get(i, v), v)
-    return best
+    return [(i, [float(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
 
 
 def brute(rows, measure, step, k=5, keep=lambda v: True):
-    ok = {i: v for i, v in usable(rows).items() if keep(v)}
+    """Per query row, all other rows; rows that share an id stay apart."""
+    ok = [(i, v) for i, v in usable(rows) if keep(v)]
     out = {}
-    for q in (i for i in ok if i % step == 0):
-        s = [(-measure(ok[q], v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])]
-        out[q] = [(i, -x) for x, i in sorted(s)[:k]]
-    return out
+    for n, (q, x) in enumerate(ok):
+        if q % step == 0:
+            s = sorted((-measure(x, v), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(x))
+            out.setdefault(q, []).append([(i, -y) for y, i in s[:k]])
+    return {q: sorted((r, *hit) for hits in lists for r, hit in enumerate(hits, 1)) for q, lists in out.items()}
 
 
 def inner(a, b):
@@ -51,10 +48,9 @@ def table(seed, n=400, d=12):
 
 def got(df):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
-        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-        assert r["rank"] == len(out[r["query_id"]])
-    return out
+    for r in df.collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(v) for q, v in out.items()}
 
 
 @pytest.mark.parametrize("shard,block", [(8192, 1024), (64, 7)])
@@ -73,9 +69,16 @@ def test_nearest(spark, monkeypatch, shard, block):
     rows = table(2)
     want = {q: v for q, v in brute(rows, cosine, 10, keep=lambda v: any(v)).items() if v}
     have = got(ann.nearest(frame(spark, rows), F.col("id") % 10 == 0))
-    assert {q: [i for i, _ in v] for q, v in have.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert {q: [t[:2] for t in v] for q, v in have.items()} == {q: [t[:2] for t in v] for q, v in want.items()}
     for q, v in want.items():
-        assert np.allclose([s for _, s in v], [s for _, s in have[q]], rtol=0, atol=1e-14)
+        assert np.allclose([t[2] for t in v], [t[2] for t in have[q]], rtol=0, atol=1e-14)
+
+
+def test_rows_that_share_an_id_are_candidates_of_one_another(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.5, 0.5]), (7, [0.0, 1.0])]
+    have = got(topk.op7(frame(spark, rows)))
+    twin, third = [(1, 50, 65536), (2, 50, 32768), (3, 7, 0)], [(1, 7, 32768), (2, 50, 32768), (3, 50, 32768)]
+    assert have == brute(rows, inner, 50) == {50: sorted(twin + twin + third)}
 
 
 def test_empty_and_few(spark):
@@ -108,7 +111,7 @@ def test_quantisation_bounds_hold():
 def test_ball_tree_bounds_hold():
     rng = np.random.default_rng(7)
     data = np.floor(rng.normal(size=(1000, 6)) * 100)
-    t = topk.BallTree(np.arange(1000), data)
+    t = topk.BallTree(np.arange(1000), np.arange(1000), data)
     for centre, radius, a, b, _, _ in t.nodes:
         assert np.sqrt(((t.data[a:b] - centre) ** 2).sum(1)).max() <= radius + 1e-6
     assert sorted(t.ids.tolist()) == list(range(1000))
