@@ -34,7 +34,8 @@ the rows of a join are broadcast in it, so a large group does not meet in one ta
 Result: one row per document: doc_id, class_id (smallest id of its group of links), rep_id (smallest id of its
 copies), n_copies, n_links (other documents linked to it, copies included).
 
-Defined cases: null, empty and blank texts have an empty set, are linked to nothing and form classes of
+Defined cases: very long texts are cut into word runs whole, a slice of the table at a time; other columns of
+``docs``, whatever their names, are not read; null, empty and blank texts have an empty set, are linked to nothing and form classes of
 their own; null ids take no part and come back with null class_id and rep_id, n_copies 0 and
 n_links 0; rows that share an id count as one document, with the text of smallest hash; repeated
 rows come back as often, with equal results; an empty table gives an empty result.
@@ -207,10 +208,10 @@ def _prepass(similarity: float, chosen: float):
             if g["bi"][0].as_py() != g["bj"][0].as_py():
                 block = g["block"].to_numpy()
                 pair &= block[:, None] != block[None, :]
-            if pair.any():
-                pair &= ~_earlier(g["leaves"].combine_chunks(), path)
             if pair.any():
                 pair &= _plausible(g["marks"].combine_chunks(), size, similarity, chosen)
+            if pair.any():
+                pair &= ~_earlier(g["leaves"].combine_chunks(), path)
             need = pair.any(1)
             if need.any():
                 yield pa.RecordBatch.from_arrays([pa.array([path] * int(need.sum()), pa.int64()), pa.array(rep[need])], names=["path", "rep"])
