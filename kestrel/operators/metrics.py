@@ -8,10 +8,14 @@ predictions or from the batched fit's partial sums.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.session import cut_lineage
+
 METRICS = ("accuracy", "precision", "recall", "f1", "tr_err", "cv_err")
 
 
@@ -83,10 +87,56 @@ def mse(df: DataFrame, group_cols: Sequence[str], label: str = "label", prob: st
     return df.groupBy(*group_cols, part).agg(F.avg(F.pow(F.col(label) - F.col(prob), 2)).alias("mse"))
 
 
+def score_measures(scored: DataFrame, group_cols: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
+    """H2, measures over scores: n, auc and log_loss per group.
+
+    auc is the chance that a row of class 1 scores above another row, ties counting half (0 where a class
+    is missing); log_loss the mean of -ln P(class), P(class 1) being the logistic of the score. Rows whose
+    score or label is null or NaN take no part.
+
+    Rows are first counted per distinct score, so a common score is one row. These are dealt by ranges of (group,
+    score) and ranked within a range; a table of one row per group and range carries the counts of the ranges
+    below. No task holds more than one range, however many rows a group has. Ranks are summed as exact integers."""
+    keys = list(group_cols)
+    s, y = F.col(score).cast("double"), F.col(label).cast("double")
+    rows = scored.where(s.isNotNull() & y.isNotNull() & ~F.isnan(s) & ~F.isnan(y))
+    # -0.0 and 0.0 are one score
+    seen = rows.select(*keys, (s + F.lit(0.0)).alias("__s"), (y == 1.0).cast("bigint").alias("__y"))
+    counts = seen.groupBy(*keys, "__s").agg(F.sum("__y").alias("__pos"), F.sum(1 - F.col("__y")).alias("__neg"))
+    parts = max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(counts.repartitionByRange(parts, *keys, "__s").withColumn("__at", F.spark_partition_id()))
+
+    def before(group: list[str], order: str):
+        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    none = F.lit(0).cast("bigint")
+    sums = ranged.groupBy(*keys, "__at").agg(F.sum("__neg").alias("__in"))
+    below = sums.select(*keys, "__at", F.coalesce(F.sum("__in").over(before(keys, "__at")), none).alias("__below"))
+    own = F.coalesce(F.sum("__neg").over(before([*keys, "__at"], "__s")), none)
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in [*keys, "__at"]]
+    ranked = (ranged.withColumn("__own", own).alias("r").join(below.alias("b"), reduce(and_, same))
+              .select("r.*", (F.col("__own") + F.col("__below")).alias("__less")))
+    wide = "decimal(38,0)"
+    wins = F.col("__pos").cast(wide) * (2 * F.col("__less") + F.col("__neg")).cast("decimal(19,0)")
+    # softplus without overflow: ln(1 + e^x) = max(x, 0) + ln(1 + e^-|x|)
+    tail = F.log1p(F.exp(-F.abs("__s")))
+    loss = F.when(F.col("__pos") > 0, F.col("__pos") * (F.greatest(-F.col("__s"), F.lit(0.0)) + tail)).otherwise(0.0) + F.when(
+        F.col("__neg") > 0, F.col("__neg") * (F.greatest(F.col("__s"), F.lit(0.0)) + tail)).otherwise(0.0)
+    total = ranked.groupBy(*keys).agg(F.sum(wins.cast(wide)).cast("double").alias("__wins"), F.sum("__pos").alias("__p"),
+                                      F.sum("__neg").alias("__n"), F.sum(loss).alias("__loss"))
+    p, n = F.col("__p").cast("double"), F.col("__n").cast("double")
+    return total.select(*keys, (F.col("__p") + F.col("__n")).alias("n"), _ratio(F.col("__wins"), 2.0 * p * n).alias("auc"),
+                        _ratio(F.col("__loss"), p + n).alias("log_loss"))
+
+
+def log_odds(prob: Column, least: float = 1e-15) -> Column:
+    """Score whose logistic is ``prob``, kept ``least`` away from 0 and 1."""
+    p = F.greatest(F.least(prob, F.lit(1.0 - least)), F.lit(least))
+    return F.log(p / (1.0 - p))
+
+
 def class_weights(counts: DataFrame, group_cols: Sequence[str], label: str = "label", n: str = "n") -> DataFrame:
     """A10 'auto' weights: w_k = (1/n_k) / mean_j(1/n_j) over the classes present in the group."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*group_cols)
     inv = F.lit(1.0) / F.col(n).cast("double")
     return counts.select(*group_cols, label, n, (inv / F.avg(inv).over(w)).alias("weight"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.arrays import dot_literal, log_policy
 from kestrel.operators import kernels, select, split, stats, table
-from kestrel.operators.metrics import METRICS, confusion_counts, mean_over_splits, metrics_from_counts, to_long
+from kestrel.operators.metrics import METRICS, confusion_counts, mean_over_splits, metrics_from_counts, score_measures, to_long
 from kestrel.operators.scale import Scaler
 from kestrel.sources import tables as T
 
@@ -319,6 +319,28 @@ SELECT CAST(iter AS INTEGER) AS iter, CAST(idx_c AS INTEGER) AS idx_c, CAST(idx_
 """ + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in METRICS) + """ FROM met"""
 
 
+def q_score_measures_events(spark: SparkSession, sf: str) -> DataFrame:
+    """H2: AUC and log loss of every split, cell and part of the given scorer."""
+    lg = _split_long(T.events_features(spark, sf), N_SPLITS).withColumn("part", F.when(F.col("is_val"), "cv").otherwise("tr"))
+    scored = _given_scores(lg).withColumn("score", (F.get("features", 0) * F.col("gamma") - F.col("c")) / 100.0)
+    keys = [F.col(k).cast("int").alias(k) for k in ("iter", "idx_c", "idx_gamma")]
+    return score_measures(scored, ["iter", "idx_c", "idx_gamma", "part"]).select(
+        *keys, "part", "n", r6(F.col("auc")).alias("auc"), r6(F.col("log_loss")).alias("log_loss"))
+
+
+SQL_SCORE_MEASURES_EVENTS = f"""WITH {SQL_EVENTS}, {sql_split(N_SPLITS)}, {SQL_EVENTS_CELLS},
+sc AS (SELECT sp.iter, cells.idx_c, cells.idx_gamma, CASE WHEN sp.is_val THEN 'cv' ELSE 'tr' END AS part, sp.label,
+              (f.features[1] * cells.gamma - cells.c) / 100.0::DOUBLE AS score
+       FROM sp JOIN f ON sp.row_id = f.row_id CROSS JOIN cells),
+rk AS (SELECT *, rank() OVER (PARTITION BY iter, idx_c, idx_gamma, part ORDER BY score)
+              + (count(*) OVER (PARTITION BY iter, idx_c, idx_gamma, part, score) - 1) / 2.0::DOUBLE AS mid FROM sc),
+ag AS (SELECT iter, idx_c, idx_gamma, part, count(*) AS n, sum(CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0 END) AS p,
+              sum(CASE WHEN label = 1 THEN mid ELSE 0 END) AS ranks,
+              avg(ln(1 + exp(CASE WHEN label = 1 THEN -score ELSE score END))) AS loss FROM rk GROUP BY ALL)
+SELECT CAST(iter AS INTEGER) AS iter, CAST(idx_c AS INTEGER) AS idx_c, CAST(idx_gamma AS INTEGER) AS idx_gamma, part, n,
+       round(coalesce((ranks - p * (p + 1) / 2) / nullif(p * (n - p), 0), 0), 6) + 0.0 AS auc, round(loss, 6) + 0.0 AS log_loss FROM ag"""
+
+
 def _grid_events(spark: SparkSession, sf: str) -> DataFrame:
     per = _metrics_per_split_events(spark, sf)
     grid = mean_over_splits(per, ["idx_c", "c", "idx_gamma", "gamma"])
@@ -1072,6 +1094,7 @@ QUERIES = {
     "v1_feature_profile_orders": (q_feature_profile_orders, SQL_FEATURE_PROFILE_ORDERS),
     "s4_predictions_documents": (q_predictions_documents, SQL_PREDICTIONS_DOCUMENTS),
     "s1_j1_csv_roundtrip_orders": (q_csv_roundtrip_orders, SQL_CSV_ROUNDTRIP_ORDERS),
+    "h2_score_measures_events": (q_score_measures_events, SQL_SCORE_MEASURES_EVENTS),
     "a8_mse_logistic_events": (q_mse_logistic_events, SQL_MSE_LOGISTIC_EVENTS),
     "m2_scaler_train_to_test_documents": (q_scaler_train_to_test_documents, SQL_SCALER_TRAIN_TO_TEST_DOCUMENTS),
     # fitted stages: rows-only here, invariants and brute force in tests/

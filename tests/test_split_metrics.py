@@ -66,3 +66,33 @@ def test_curve_gain(spark):
 def test_class_weights_auto():
     w = metrics.auto_weights({0.0: 10, 1.0: 30})
     assert w[0.0] == pytest.approx(1.5) and w[1.0] == pytest.approx(0.5)
+
+
+def test_score_measures_equal_all_pairs(spark):
+    """AUC over all pairs and the log loss by its definition; a hot score, ties of both zeros, extremes, nulls, one class."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("a", float(rng.random() < 0.4), rng.choice([-0.0, 0.0, 1.5, rng.gauss(0, 2)])) for _ in range(400)]
+    rows += [("b", 1.0, 2.0), ("b", 1.0, 900.0), (None, 0.0, -800.0), (None, 1.0, 3.0), (None, 0.0, 3.0)]
+    bad = [("a", 1.0, None), ("a", None, 1.0), ("a", 1.0, float("nan"))]
+    df = spark.createDataFrame(rows + bad, "g string, label double, score double")
+    got = {r["g"]: (r["n"], r["auc"], r["log_loss"]) for r in metrics.score_measures(df.repartition(7), ["g"]).collect()}
+
+    def soft(x):
+        return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
+
+    assert set(got) == {"a", "b", None}
+    for g, (n, auc, loss) in got.items():
+        own = [(y, s) for h, y, s in rows if h == g]
+        pos, neg = [s for y, s in own if y == 1], [s for y, s in own if y != 1]
+        wins = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg)
+        assert n == len(own) and auc == pytest.approx(wins / (len(pos) * len(neg)) if pos and neg else 0.0, abs=1e-12)
+        assert loss == pytest.approx(sum(soft(-s if y == 1 else s) for y, s in own) / n, rel=1e-12)
+    assert metrics.score_measures(df.where("false"), ["g"]).count() == 0
+
+
+def test_score_measures_without_groups(spark):
+    df = spark.createDataFrame([(0.0, -1.0), (1.0, 1.0), (0.0, 1.0)], "label double, score double")
+    r = metrics.score_measures(df, []).first()
+    assert (r["n"], r["auc"]) == (3, 0.75)
