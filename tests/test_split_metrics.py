@@ -96,3 +96,15 @@ def test_score_measures_without_groups(spark):
     df = spark.createDataFrame([(0.0, -1.0), (1.0, 1.0), (0.0, 1.0)], "label double, score double")
     r = metrics.score_measures(df, []).first()
     assert (r["n"], r["auc"]) == (3, 0.75)
+
+
+def test_estimator_reports_its_auc_and_log_loss(spark):
+    """A perfectly ranked table: AUC 1 on both parts, a log loss below that of a coin."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from kestrel.plans.model_selection import evaluate_estimator
+
+    df = frame(spark, [(i, float(i >= 20), [float(i)]) for i in range(40)])
+    res = evaluate_estimator(df, lambda c: LogisticRegression(regParam=c), [0.01], n_iter=1, scores=True)
+    r = res.grid.first()
+    assert r["cv_auc"] == r["tr_auc"] == 1.0 and 0 < r["cv_log_loss"] < math.log(2) and 0 < r["tr_log_loss"] < math.log(2)
