@@ -278,7 +278,13 @@ def exact_quantiles(df: DataFrame, probs: list[float], features: str = "features
     Every pass counts, per feature and wanted leading bits, the values by their next ``KEY_BITS`` bits; the counts
     (at most 2^KEY_BITS per wanted rank and feature) say which of them hold the wanted ranks, and the next pass
     looks only there. After 64 bits the values themselves are known. Only counts are shuffled, after tasks have
-    added their own; a value that a third of all rows share is one count."""
+    added their own; a value that a third of all rows share is one count.
+
+    All passes read one checkpointed copy: a feature that is a sum of doubles over a shuffle may change its last
+    bits when it is computed again, and the descent would then look for a value that is no longer there."""
+    from kestrel.session import cut_lineage
+
+    df = cut_lineage(df.select(features))
     head = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
     n, d = head["n"], head["d"] or 0
     spark = df.sparkSession
@@ -315,7 +321,7 @@ def exact_quantiles(df: DataFrame, probs: list[float], features: str = "features
                 yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature_idx", "code", "n"])
 
         counts: dict = {}
-        for r in df.select(features).mapInArrow(count, "feature_idx int, code bigint, n bigint").groupBy("feature_idx", "code").agg(F.sum("n").alias("n")).collect():
+        for r in df.mapInArrow(count, "feature_idx int, code bigint, n bigint").groupBy("feature_idx", "code").agg(F.sum("n").alias("n")).collect():
             counts.setdefault((r["feature_idx"], r["code"] >> step), []).append((r["code"] & ((1 << step) - 1), r["n"]))
         for at in counts.values():
             at.sort()
