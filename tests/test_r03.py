@@ -13,3 +13,27 @@ def test_quantiles_of_values_that_change_when_computed_again(spark):
     df = spark.range(0, 400, 1, 4).select(F.array(F.udf(lambda i: float(i) + np.random.default_rng().random(), "double").asNondeterministic()("id")).alias("features"))
     got = {r["prob"]: r["value"] for r in stats.exact_quantiles(df, [0.0, 0.5, 1.0]).collect()}
     assert 0 <= got[0.0] < 1 and 199 <= got[0.5] < 201 and 399 <= got[1.0] < 400
+
+
+def test_chi2_distances_with_empty_and_equal_features():
+    rng = np.random.default_rng(3)
+    x, lm = rng.integers(0, 3, (50, 4)).astype(float), rng.integers(0, 3, (7, 4)).astype(float)
+    want = [[sum((a - b) ** 2 / (a + b) if a + b > 0 else 0.0 for a, b in zip(u, v)) for v in lm] for u in x]
+    assert np.allclose(kernels.chi2_dist(x, lm), want, rtol=1e-14)
+
+
+def test_kernel_digest_is_exact(spark):
+    rng = np.random.default_rng(4)
+    k = rng.random((30, 256))
+    rows = spark.createDataFrame([(i % 20, k[i].tolist()) for i in range(30)], "row_id bigint, k array<double>").repartition(3)
+    got = sorted(tuple(r) for r in kernels.row_digest(rows).collect())
+    micro = [[round(v * 1e6) for v in row] for row in k.tolist()]
+    assert got == sorted((i % 20, 256, sum(m), sum(v * (j + 1) for j, v in enumerate(m)), min(m), max(m)) for i, m in enumerate(micro))
+
+
+def test_chi2_query_makes_no_row_per_landmark(spark):
+    from kestrel.plans.catalog import q_chi2_kernel_orders
+    from tests.conftest import SF001
+
+    plan = q_chi2_kernel_orders(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
