@@ -10,8 +10,8 @@ The gradient is closed-form from two passes per evaluation:
   A = X^T (g * act'(Z)), B = X^T (S * act'(Z)) and q_j = sum_i g_ij S_ij; then
   dW = A / n - B * q / n^3 (bias: the same with x = 1).
 
-The driver runs L-BFGS on (W, b) only; each iteration evaluates several step lengths in the
-same two passes, so no lineage grows and nothing but the parameters leaves the executors.
+The driver runs L-BFGS on (W, b) only; each iteration evaluates its first step length in two passes, the shorter
+ones, where they are needed, in two more, so no lineage grows and nothing but the parameters leaves the executors.
 """
 
 from __future__ import annotations
@@ -22,16 +22,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.arrow import column, list_to_matrix, matrix_to_list
 from kestrel.operators.stats import BLOB_SCHEMA, partial_map, sum_partials
-from kestrel.session import persist
+from kestrel.session import persist, ship_package
 
 EPS = 1e-8
 LOCAL_BYTES = 64 << 20
+BLOCK_ROWS = 1024  # rows evaluated at a time: their activations stay in the cache
 STEPS = (1.0, 0.5, 0.1, 0.01)
 FIRST_STEPS = (1.0, 0.1, 0.01, 1e-3)
 
@@ -78,6 +80,14 @@ def gradient_terms(x: np.ndarray, params, norms: np.ndarray, act) -> np.ndarray:
     return np.array(out)
 
 
+def by_blocks(x: np.ndarray, fn) -> np.ndarray:
+    """Sum of ``fn`` over blocks of rows."""
+    total = fn(x[:BLOCK_ROWS])
+    for lo in range(BLOCK_ROWS, len(x), BLOCK_ROWS):
+        total += fn(x[lo : lo + BLOCK_ROWS])
+    return total
+
+
 def joined_terms(v: np.ndarray, nj: np.ndarray, d: int, k: int) -> tuple[float, np.ndarray]:
     """Objective and gradient from the sums of both passes."""
     a, bb = v[1 : 1 + d * k].reshape(d, k), v[1 + d * k : 1 + 2 * d * k].reshape(d, k)
@@ -86,6 +96,14 @@ def joined_terms(v: np.ndarray, nj: np.ndarray, d: int, k: int) -> tuple[float,
     return float(v[0]), np.concatenate([gw.reshape(-1), ab / nj - bbias * (q / nj**3)])
 
 
+def next_points(steps, sent):
+    """The points that a descent asks for next; None: it has ended."""
+    try:
+        return steps.send(sent)
+    except StopIteration:
+        return None
+
+
 @dataclass
 class SparseFilterLayer:
     n_features: int = 200
@@ -104,7 +122,7 @@ class SparseFilterLayer:
         params = [_unpack(t, d, k) for t in thetas]
 
         def norms_part(batch: pa.RecordBatch) -> np.ndarray:
-            return square_sums(list_to_matrix(column(batch, features), d), params, act).reshape(-1)
+            return by_blocks(list_to_matrix(column(batch, features), d), lambda x: square_sums(x, params, act)).reshape(-1)
 
         src = df.select(features)
         sq = sum_partials(src.mapInArrow(partial_map(norms_part, n_p * k), BLOB_SCHEMA), n_p * k).reshape(n_p, k)
@@ -112,7 +130,7 @@ class SparseFilterLayer:
         size = n_terms(d, k)
 
         def grad_part(batch: pa.RecordBatch) -> np.ndarray:
-            return gradient_terms(list_to_matrix(column(batch, features), d), params, norms, act).reshape(-1)
+            return by_blocks(list_to_matrix(column(batch, features), d), lambda x: gradient_terms(x, params, norms, act)).reshape(-1)
 
         tot = sum_partials(src.mapInArrow(partial_map(grad_part, n_p * size), BLOB_SCHEMA), n_p * size).reshape(n_p, size)
         return [joined_terms(tot[i], norms[i], d, k) for i in range(n_p)], norms
@@ -121,8 +139,8 @@ class SparseFilterLayer:
         """The same over rows that one task holds."""
         d, k = x.shape[1], self.n_features
         params = [_unpack(t, d, k) for t in thetas]
-        norms = np.sqrt(square_sums(x, params, self.activation) + EPS)
-        terms = gradient_terms(x, params, norms, self.activation)
+        norms = np.sqrt(by_blocks(x, lambda rows: square_sums(rows, params, self.activation)) + EPS)
+        terms = by_blocks(x, lambda rows: gradient_terms(rows, params, norms, self.activation))
         return [joined_terms(terms[i], norms[i], d, k) for i in range(len(thetas))], norms
 
     # -------------------------------------------------------------- fit
@@ -133,11 +151,18 @@ class SparseFilterLayer:
         return self._descend(lambda thetas: self.evaluate_block(x, thetas), x.shape[1], together=False)
 
     def _descend(self, evaluate, d: int, together: bool) -> "SparseFilterLayer":
-        """L-BFGS. ``together``: all trial steps of an iteration in one evaluation (a pass over the data each), or
-        one after the other until one suffices."""
+        steps = self.descent(d, together)
+        asked = next(steps)
+        while asked is not None:
+            asked = next_points(steps, evaluate(asked))
+        return self
+
+    def descent(self, d: int, together: bool = True):
+        """L-BFGS as a generator: yields lists of points, is sent what ``evaluate`` makes of them. The first trial step of an iteration nearly always suffices and is evaluated alone; the shorter ones
+        are evaluated in one go (``together``: two passes over the data for all) or one after the other."""
         rng = np.random.default_rng(self.seed)
         theta = np.concatenate([rng.standard_normal(d * self.n_features), rng.standard_normal(self.n_features)])
-        (f, g), = evaluate([theta])[0]
+        (f, g), = (yield [theta])[0]
         hs, hy = [], []
         self.objective_trace = [f]
         for it in range(max(0, int(self.n_iterations) - 1)):
@@ -162,11 +187,11 @@ class SparseFilterLayer:
                 slope = float(g @ direction)
             steps = FIRST_STEPS if not hs else STEPS
             cands = [theta + t * direction for t in steps]
-            res = evaluate(cands)[0] if together else []
+            res = []
             chosen = None
             for j, (t, c) in enumerate(zip(steps, cands)):
-                if not together:
-                    res += evaluate([c])[0]
+                if j == len(res):
+                    res += (yield cands[1:] if together and j else [c])[0]
                 fc, gc = res[j]
                 if fc <= f + 1e-4 * t * slope:
                     chosen = (c, fc, gc)
@@ -193,20 +218,17 @@ class SparseFilterLayer:
             if converged or np.abs(g).max() < 1e-7:
                 break
         self.W, self.b = _unpack(theta, d, self.n_features)
-        _, norms = evaluate([theta])
+        _, norms = yield [theta]
         self.fit_norms = norms[0]
-        return self
 
-    def transform_block(self, x: np.ndarray) -> np.ndarray:
-        """M12 over rows that one task holds, with their own norms."""
+    def transform_block(self, x: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """M12 over rows that one task holds, with their own norms or given ones."""
         s, _ = activate(self.activation, x @ self.W + self.b)
-        u = s / np.sqrt((s * s).sum(0) + EPS)
+        u = s / (np.sqrt((s * s).sum(0) + EPS) if norms is None else norms)
         return u / np.sqrt((u * u).sum(1, keepdims=True) + EPS)
 
     # -------------------------------------------------------------- transform
     def activations(self, df: DataFrame, features: str = "features", out: str = "_act") -> DataFrame:
-        from kestrel.session import ship_package
-
         ship_package(df.sparkSession)
         w, b, act = self.W, self.b, self.activation
         d = w.shape[0]
@@ -289,22 +311,7 @@ class SparseFilter:
 
     def fit_passes(self, df: DataFrame, d: int, features: str = "features", by: str | None = "part") -> "SparseFilter":
         """The stack by passes over the rows where they lie."""
-        n_layers = 1 if self.n_layers is None else int(self.n_layers)
-        self.layers = []
-        # every evaluation reads the input twice: keep it
-        data, dim = persist(df.select(features, *([by] if by and by in df.columns else []))), d
-        prev = data
-        for i in range(n_layers):
-            layer = SparseFilterLayer(self.n_features, self.n_iterations, self.activation, self.seed * 1000 + i)
-            layer.fit(data, dim, features)
-            self.layers.append(layer)
-            if i + 1 < n_layers:
-                nxt = persist(layer.transform(data, features, "batch", None))
-                nxt.count()
-                prev.unpersist()
-                data, dim, prev = nxt, self.n_features, nxt
-        prev.unpersist()
-        return self
+        return fit_lockstep(df, d, [self], features)[0]
 
     def transform(self, df: DataFrame, features: str = "features", norms: str = "batch", by: str | None = "part",
                   depth: int | None = None) -> DataFrame:
@@ -334,31 +341,117 @@ class SparseFilter:
         return sf
 
 
+def row_blocks(df: DataFrame, d: int, features: str):
+    """The rows as a kept RDD of matrices, each in a list (one matrix per input of the next layers)."""
+    ship_package(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([list_to_matrix(column(b, features), d).tobytes()], pa.binary())], names=["blob"])
+
+    from kestrel.plans.model_selection import spread
+
+    kept = persist(df.select(features))
+    blocks = spread(kept).mapInArrow(pack, BLOB_SCHEMA).rdd.map(lambda r: [np.frombuffer(r[0]).reshape(-1, d)])
+    if blocks.getNumPartitions() > 4 * sc.defaultParallelism:
+        blocks = blocks.coalesce(4 * sc.defaultParallelism)  # a pass sends one vector per partition
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.count()
+    kept.unpersist()
+    return blocks
+
+
+def evaluate_together(blocks, asked: dict):
+    """Objectives, gradients and norms at the points that several layers ask for, in two passes for all. ``asked``:
+    {key: (place of its input in a block's list, width of the input, its features, activation, points)}."""
+    asked = {k: (at, d, w, act, [_unpack(t, d, w) for t in thetas]) for k, (at, d, w, act, thetas) in asked.items()}
+
+    def summed(part):
+        def run(index, held):
+            total: dict = {}
+            for inputs in held:
+                for k, (at, _, _, act, params) in asked.items():
+                    v = by_blocks(inputs[at], lambda x, k=k, act=act, params=params: part(k, x, params, act))
+                    total[k] = total[k] + v if k in total else v
+            for k, v in total.items():
+                yield k, (index, v)
+
+        return run
+
+    def in_order(parts):  # by partition: the same sum in every run
+        return sum(v for _, v in sorted(parts, key=lambda p: p[0]))
+
+    parts: dict = {}
+    for k, p in blocks.mapPartitionsWithIndex(summed(lambda k, x, params, act: square_sums(x, params, act))).collect():
+        parts.setdefault(k, []).append(p)
+    norms = {k: np.sqrt((in_order(parts[k]) if k in parts else np.zeros((len(a[4]), a[2]))) + EPS) for k, a in asked.items()}
+    shapes = {k: (d, w) for k, (_, d, w, _, _) in asked.items()}
+
+    def joined(item):
+        k, found = item
+        v = in_order(found)
+        return k, [joined_terms(v[i], norms[k][i], *shapes[k]) for i in range(len(v))]
+
+    terms = blocks.mapPartitionsWithIndex(summed(lambda k, x, params, act: gradient_terms(x, params, norms[k], act)))
+    out = dict(terms.groupByKey(min(len(asked), blocks.getNumPartitions())).map(joined).collect())
+    empty = {k: [(0.0, np.zeros(d * w + w))] * len(norms[k]) for k, (d, w) in shapes.items()}
+    return {k: (out.get(k, empty[k]), norms[k]) for k in asked}
+
+
+def fit_lockstep(df: DataFrame, d: int, stacks: Sequence[SparseFilter], features: str = "features") -> list[SparseFilter]:
+    """Stacks over rows where they lie, layer by layer, all descents in the same passes: a pass costs its job once,
+    and only gradients, already summed and joined per stack, reach the driver."""
+    blocks = row_blocks(df, d, features)
+    depth = [1 if s.n_layers is None else int(s.n_layers) for s in stacks]
+    places = {k: (0, d) for k in range(len(stacks))}
+    for s in stacks:
+        s.layers = []
+    for i in range(max(depth)):
+        live = [k for k in range(len(stacks)) if i < depth[k]]
+        layers = {k: SparseFilterLayer(stacks[k].n_features, stacks[k].n_iterations, stacks[k].activation, stacks[k].seed * 1000 + i) for k in live}
+        steps = {k: layers[k].descent(places[k][1]) for k in live}
+        asked = {k: next(s) for k, s in steps.items()}
+        while asked:
+            found = evaluate_together(blocks, {k: (*places[k], layers[k].n_features, layers[k].activation, points) for k, points in asked.items()})
+            after = {k: next_points(steps[k], found[k]) for k in asked}
+            asked = {k: points for k, points in after.items() if points is not None}
+        for k in live:
+            stacks[k].layers.append(layers[k])
+        deeper = [k for k in live if i + 1 < depth[k]]
+        if deeper:
+            fitted = [(places[k][0], layers[k]) for k in deeper]
+            nxt = blocks.map(lambda inputs, fitted=fitted: [y.transform_block(inputs[at], y.fit_norms) for at, y in fitted]).persist(StorageLevel.MEMORY_AND_DISK)
+            nxt.count()
+            blocks.unpersist()
+            blocks, places = nxt, {k: (n, layers[k].n_features) for n, k in enumerate(deeper)}
+    blocks.unpersist()
+    return list(stacks)
+
+
 def fit_stacks(df: DataFrame, d: int, stacks: Sequence[SparseFilter], features: str = "features", by: str | None = "part",
                local_bytes: int | None = None) -> list[SparseFilter]:
-    """Several stacks over the same rows. A table that stays within ``LOCAL_BYTES`` at the widest layer (its rows are
-    counted first) is broadcast and the stacks are dealt to the tasks, which then need no passes; a larger one stays
-    where it is and every evaluation is two passes. The same objective, start and steps either way."""
-    widest = max(d, *(int(s.n_features) for s in stacks))
-    if df.count() * widest * 8 > (LOCAL_BYTES if local_bytes is None else local_bytes) or any(not isinstance(s.activation, str) for s in stacks):
-        return [s.fit_passes(df, d, features, by) for s in stacks]
+    """Several stacks over the same rows. A table of at most ``LOCAL_BYTES`` (its rows are counted first) is broadcast
+    and each stack is a task, which then needs no passes; a larger one stays where it is and all stacks descend
+    together in the same passes. The same objective, start and steps either way."""
+    if df.count() * d * 8 > (LOCAL_BYTES if local_bytes is None else local_bytes) or any(not isinstance(s.activation, str) for s in stacks):
+        return fit_lockstep(df, d, stacks, features)
     spark = df.sparkSession
     order = ["row_id"] if "row_id" in df.columns else []
     rows = df.select(features, *order).orderBy(*order) if order else df.select(features)
     x = list_to_matrix(rows.toArrow().column(features), d)
     shared = spark.sparkContext.broadcast(x)
     described = [(k, s.n_layers, int(s.n_iterations), int(s.n_features), s.activation, int(s.seed)) for k, s in enumerate(stacks)]
-    # the widest take longest: dealt first, one task each
+    # the widest take longest and start first; one task each (a shuffle by key would put several into one)
     described.sort(key=lambda t: -t[3])
-    jobs = spark.createDataFrame(described, "stack int, n_layers int, n_iterations int, n_features int, activation string, seed bigint")
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                sf = SparseFilter(r["n_layers"], r["n_iterations"], r["n_features"], r["activation"], r["seed"]).fit_block(shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array([r["stack"]], pa.int32()), pa.array([json.dumps(sf.to_dict())])], names=["stack", "fitted"])
+    def run(stack):
+        k, *settings = stack
+        return k, json.dumps(SparseFilter(*settings).fit_block(shared.value).to_dict())
 
-    fitted = {r["stack"]: SparseFilter.from_dict(json.loads(r["fitted"])) for r in jobs.repartition(len(stacks), "stack").mapInArrow(run, "stack int, fitted string").collect()}
+    ship_package(spark)
+    fitted = {k: SparseFilter.from_dict(json.loads(doc)) for k, doc in spark.sparkContext.parallelize(described, len(described)).map(run).collect()}
     shared.unpersist()
     return [fitted[k] for k in range(len(stacks))]
 

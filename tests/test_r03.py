@@ -37,3 +37,37 @@ def test_chi2_query_makes_no_row_per_landmark(spark):
 
     plan = q_chi2_kernel_orders(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_stacks_of_different_depth_descend_in_the_same_passes(spark, monkeypatch):
+    from kestrel.operators import sparse_filter as sf
+
+    x = np.random.default_rng(5).standard_normal((90, 5))
+    df = frame(spark, [(i, 0.0, x[i].tolist()) for i in range(90)]).repartition(3)
+    make = lambda: [sf.SparseFilter(n, 5, k, seed=2 + k) for n, k in ((2, 3), (1, 4), (2, 6))]
+    monkeypatch.setattr(sf, "BLOCK_ROWS", 7)
+    calls = []
+    together = sf.evaluate_together
+    monkeypatch.setattr(sf, "evaluate_together", lambda blocks, asked: calls.append({k: len(a[4]) for k, a in asked.items()}) or together(blocks, asked))
+    got = sf.fit_stacks(df, 5, make(), local_bytes=0)
+    assert len(calls[0]) == 3 and max(calls[0].values()) == 1  # one job for all, the first step alone
+    for a, b in zip(got, make()):
+        b.fit_block(x)
+        assert len(a.layers) == len(b.layers)
+        for u, v in zip(a.layers, b.layers):
+            assert np.allclose(u.W, v.W, atol=1e-5) and np.allclose(u.fit_norms, v.fit_norms, rtol=1e-5)
+            assert len(u.objective_trace) == len(v.objective_trace)
+
+
+def test_rows_evaluated_in_blocks():
+    from kestrel.operators import sparse_filter as sf
+
+    rng = np.random.default_rng(6)
+    x, theta = rng.standard_normal((3000, 4)), rng.standard_normal(15)
+    layer = sf.SparseFilterLayer(n_features=3)
+    ((f, g),), norms = layer.evaluate_block(x, [theta])
+    assert sf.BLOCK_ROWS < len(x)
+    params = [sf._unpack(theta, 4, 3)]
+    whole = np.sqrt(sf.square_sums(x, params, "soft_absolute") + sf.EPS)
+    want = sf.joined_terms(sf.gradient_terms(x, params, whole, "soft_absolute")[0], whole[0], 4, 3)
+    assert f == pytest.approx(want[0], rel=1e-12) and np.allclose(g, want[1], rtol=1e-9) and np.allclose(norms, whole)
