@@ -71,3 +71,30 @@ def test_rows_evaluated_in_blocks():
     whole = np.sqrt(sf.square_sums(x, params, "soft_absolute") + sf.EPS)
     want = sf.joined_terms(sf.gradient_terms(x, params, whole, "soft_absolute")[0], whole[0], 4, 3)
     assert f == pytest.approx(want[0], rel=1e-12) and np.allclose(g, want[1], rtol=1e-9) and np.allclose(norms, whole)
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 20])
+def test_large_tables_start_from_drawn_rows_and_are_certified_on_all(spark, monkeypatch, direct):
+    from kestrel.operators import hinge, split, svm
+
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 3))
+    y = (x[:, 0] + 0.2 * rng.standard_normal(600) > 0.5).astype(float)
+    df = frame(spark, [(i, float(y[i]), x[i].tolist()) for i in range(600)]).repartition(2)
+    th = split.fit_split(df, 1, 0.3, 1)
+    data = th.with_masks(df).cache()
+    groups, specs = [svm.Group(3, kernels.Nystroem("rbf", 1.0, x[:20]))], [svm.Spec(0, c, 0) for c in (0.1, 1.0)]
+    whole = hinge.HingeSVM(tol=1e-3, local_bytes=1 << 20).fit(data, groups, specs, 3, 1, train_counts=th.train_counts())
+    monkeypatch.setattr(hinge, "DRAWN_ROWS", 200)
+    monkeypatch.setattr(hinge, "DIRECT_BYTES", direct)
+    descents, descend = [], hinge.HingeSVM._descend
+    monkeypatch.setattr(hinge.HingeSVM, "_descend", lambda self, rows, n, *more: descents.append(n) or descend(self, rows, n, *more))
+    got = hinge.HingeSVM(tol=1e-3, local_bytes=0).fit(data, groups, specs, 3, 1, train_counts=th.train_counts())
+    assert len(descents) == 2 and descents[0] < 400 and descents[1] == 600
+    assert got.converged.all() and np.allclose(got.objective, whole.objective, rtol=2e-3)
+    vm = np.array([r.val_mask for r in data.orderBy("row_id").collect()])
+    rows = hinge.Rows(y, vm, {s: svm.auto_weights(c) for s, c in th.train_counts().items()})
+    for m, spec in enumerate(specs):  # the bound is that of all rows
+        w, phi = got.weights[m], groups[0].nystroem.map(x)
+        loss = 0.5 * w[:-1] @ w[:-1] + spec.C * rows.weights(0) @ np.maximum(0, 1 - rows.ypm * (phi @ w[:-1] + w[-1]))
+        assert loss == pytest.approx(got.objective[m], rel=1e-9)
