@@ -49,13 +49,18 @@ def sum_partials(partials: DataFrame, size: int, combine=np.add) -> np.ndarray:
     """Sum the float64 blobs of ``partials`` (one per input partition) into one vector, or join them by another
     commutative ``combine`` of two vectors.
 
-    The plan is turned into one RDD, so its shuffles run once. Blobs of ``DIRECT_COLLECT_BYTES``
-    in all are added on the driver; more are added in a tree of tasks of at most ``FAN_IN``
-    blobs each (streamed: a task holds its sum and one blob) until a few are left."""
+    The plan is turned into one RDD, so its shuffles run once."""
     from kestrel.session import ship_package
 
     ship_package(partials.sparkSession)
-    vectors = partials.rdd.map(lambda r: np.frombuffer(r[0], dtype=np.float64))
+    return sum_vectors(partials.rdd.map(lambda r: np.frombuffer(r[0], dtype=np.float64)), size, combine)
+
+
+def sum_vectors(vectors, size: int, combine=np.add) -> np.ndarray:
+    """Sum an RDD of float64 vectors (one per partition at most), or join them by another commutative ``combine``.
+
+    Vectors of ``DIRECT_COLLECT_BYTES`` in all are added on the driver; more are added in a tree of tasks of at
+    most ``FAN_IN`` vectors each (streamed: a task holds its sum and one vector) until a few are left."""
     n = vectors.getNumPartitions()
 
     def added(a, b):

@@ -73,6 +73,41 @@ def test_batches_and_partitions_change_nothing(spark, monkeypatch):
     assert np.allclose(a, b, atol=1e-12)
 
 
+def test_rows_take_one_step_per_round_and_leave_ended_nodes():
+    x = np.array([[1.0, 5.0], [2.0, 5.0], [3.0, np.nan], [3.0, 7.0], [4.0, 6.0], [2.0, 9.0]])
+    ones = np.array([0, 1, 1, 0, 1, 0], np.uint8)
+    starts, block = np.array([0, 1, 2]), forest.Block.of(x, ones)  # two trees in their roots
+    ranges = np.full((2, 2, 2), np.inf)
+    forest._add_ranges(ranges, block, starts, 0, np.array([[0, 1], [1, -1]]))
+    assert ranges[0, 0].tolist() == [1.0, -4.0] and ranges[1, 0, 0] == 5.0 and np.isnan(ranges[1, 0, 1])
+    cuts = forest.Cuts(np.array([[0, 1], [0, -1]]), np.array([[2.5, 6.5], [3.0, 0.0]]), 2)
+    counts = np.zeros((2, 2, 2))
+    forest._add_counts(counts, block, starts, 0, cuts)
+    assert counts.tolist() == [[[2.0, 1.0], [1.0, 2.0]], [[3.0, 2.0], [0.0, 0.0]]]
+    # the first tree's left node and the second's right node end; then both sides of the open ones split again
+    moved = forest._step(block, starts, forest.Cuts(np.array([0, 0]), np.array([2.5, 3.0]), 2), np.array([[-1, 0], [0, -1]]), np.array([1, 1]))
+    assert [r.tolist() for r in moved.rows] == [[2, 3, 4], [0, 1, 2, 3, 5]]
+    last = forest._step(moved, starts, forest.Cuts(np.array([0, -1]), np.array([3.5, 0.0]), 2), np.array([[1, 0], [0, 0]]), np.array([2, 1]))
+    assert [r.tolist() for r in last.rows] == [[4, 2, 3], [0, 1, 2, 3, 5]]
+    assert [n.tolist() for n in last.sizes] == [[1, 2], [5]]
+
+
+def test_blocks_and_groups_of_trees_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((900, 5)), 1)
+    x[:, 2] = rng.integers(0, 2, 900)
+    y = (x[:, 1] + x[:, 2] > 0.5 * rng.standard_normal(900)).astype(float)
+    df = frame(spark, [(i, float(y[i]), x[i].tolist()) for i in range(900)])
+    whole = forest.ForestSelector(5, max_depth=5, seed=2).fit(df.coalesce(1))
+    monkeypatch.setattr(forest, "STATE_BYTES", 2 * 900 * 2)  # two trees at a time
+    parts = forest.ForestSelector(5, max_depth=5, seed=2).fit(df.repartition(3))
+    want = np.array([plain_tree(x, y, 2, t, 5) for t in range(5)])
+    assert np.allclose(whole.importances, (want / want.sum(axis=1, keepdims=True)).mean(axis=0), atol=1e-12)
+    assert np.allclose(parts.importances, whole.importances, atol=1e-12)
+    assert sorted(zip(parts.trees.feature, parts.trees.threshold)) == sorted(zip(whole.trees.feature, whole.trees.threshold))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_edge_cases(spark, monkeypatch):
     rows = [(i, float(i % 2), [1.0, 2.0, 3.0, 4.0]) for i in range(10)]
     assert forest.ForestSelector(3).fit(frame(spark, rows)).importances == [0.0] * 4  # nothing but constants
