@@ -16,6 +16,7 @@ ones, where they are needed, in two more, so no lineage grows and nothing but th
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -26,13 +27,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kestrel.functions.arrow import column, list_to_matrix, matrix_to_list
 from kestrel.operators.stats import BLOB_SCHEMA, partial_map, sum_partials
-from kestrel.session import persist, ship_package
+from kestrel.session import persist, ship_package, side_by_side
 
 EPS = 1e-8
 LOCAL_BYTES = 64 << 20
+HELD_BYTES = 256 << 20  # activations that a task keeps of one evaluation
 BLOCK_ROWS = 1024  # rows evaluated at a time: their activations stay in the cache
 STEPS = (1.0, 0.5, 0.1, 0.01)
 FIRST_STEPS = (1.0, 0.1, 0.01, 1e-3)
@@ -57,6 +60,14 @@ def _unpack(theta: np.ndarray, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return theta[: d * k].reshape(d, k), theta[d * k :]
 
 
+def _groups(batch: pa.RecordBatch, group: str | None) -> tuple[np.ndarray, list]:
+    """The place of each row's group in the list of those that the batch has; no grouping: one group for all."""
+    if group is None:
+        return np.zeros(batch.num_rows, np.int64), [None]
+    coded = column(batch, group).dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
 def n_terms(d: int, k: int) -> int:
     return 1 + 2 * d * k + 3 * k
 
@@ -96,6 +107,37 @@ def joined_terms(v: np.ndarray, nj: np.ndarray, d: int, k: int) -> tuple[float,
     return float(v[0]), np.concatenate([gw.reshape(-1), ab / nj - bbias * (q / nj**3)])
 
 
+def joined_blocks(x: np.ndarray, w: np.ndarray, b: np.ndarray, act) -> tuple[float, np.ndarray, np.ndarray]:
+    """Objective, gradient and norms at one point over all rows, block by block: with n and q summed first,
+    dW = X^T ((g / n - S q / n^3) * act'(Z)). The activations are kept for that where they fit ``HELD_BYTES``."""
+    blocks = [x[lo : lo + BLOCK_ROWS] for lo in range(0, len(x), BLOCK_ROWS)]
+    held = [activate(act, rows @ w + b) for rows in blocks] if 16 * len(x) * len(b) <= HELD_BYTES else None
+
+    def activated():
+        return held if held is not None else (activate(act, rows @ w + b) for rows in blocks)
+
+    norms = np.sqrt(sum(np.einsum("ij,ij->j", s, s) for s, _ in activated()) + EPS)
+    inv = 1.0 / norms
+    objective, q, by_row = 0.0, 0.0, []
+    for s, _ in activated():
+        square, su = s * s, s @ inv
+        over = 1.0 / np.sqrt(square @ (inv * inv) + EPS)
+        c = su * over**3
+        objective += float(su @ over)
+        q = q + over @ s - inv * (c @ square)
+        by_row.append((over, c))
+    gw, gb = np.zeros_like(w), np.zeros(len(b))
+    for rows, (s, ds), (over, c) in zip(blocks, activated(), by_row, strict=True):
+        h = -np.multiply.outer(c, inv * inv)
+        h -= q * inv**3
+        h *= s
+        h += np.multiply.outer(over, inv)
+        h *= ds
+        gw += rows.T @ h
+        gb += h.sum(0)
+    return objective, np.concatenate([gw.reshape(-1), gb]), norms
+
+
 def next_points(steps, sent):
     """The points that a descent asks for next; None: it has ended."""
     try:
@@ -136,11 +178,15 @@ class SparseFilterLayer:
         return [joined_terms(tot[i], norms[i], d, k) for i in range(n_p)], norms
 
     def evaluate_block(self, x: np.ndarray, thetas: Sequence[np.ndarray]):
-        """The same over rows that one task holds."""
+        """The same over rows that one task holds: several blocks are joined with the column sums known, so that a
+        gradient is one product."""
         d, k = x.shape[1], self.n_features
         params = [_unpack(t, d, k) for t in thetas]
-        norms = np.sqrt(by_blocks(x, lambda rows: square_sums(rows, params, self.activation)) + EPS)
-        terms = by_blocks(x, lambda rows: gradient_terms(rows, params, norms, self.activation))
+        if len(x) > BLOCK_ROWS:
+            found = [joined_blocks(x, w, b, self.activation) for w, b in params]
+            return [(f, g) for f, g, _ in found], np.array([n for _, _, n in found])
+        norms = np.sqrt(square_sums(x, params, self.activation) + EPS)
+        terms = gradient_terms(x, params, norms, self.activation)
         return [joined_terms(terms[i], norms[i], d, k) for i in range(len(thetas))], norms
 
     # -------------------------------------------------------------- fit
@@ -247,30 +293,59 @@ class SparseFilterLayer:
                   out: str | None = None) -> DataFrame:
         """Activate, column-normalise (over the batch given, per ``by`` group -- or with the norms
         of the fit when ``norms='fit'``), row-normalise. Replaces ``features`` unless ``out``."""
-        from kestrel.functions.arrays import lit_array, row_l2_normalise
-        from kestrel.operators.stats import column_norms
-
+        ship_package(df.sparkSession)
+        w, b, act = self.W, self.b, self.activation
+        d, k = w.shape
         out = out or features
-        a = self.activations(df, features, "_act")
-        if norms == "fit":
-            nl = lit_array(self.fit_norms)
-            a = a.withColumn("_u", F.transform("_act", lambda v, j: v / F.get(nl, j)))
-        else:
-            group = (by,) if by and by in df.columns else ()
-            nrows = column_norms(a, "_act", EPS, group).collect()
-            if group:
-                table: dict = {}
-                for r in nrows:
-                    table.setdefault(r[by], {})[int(r["feature_idx"])] = float(r["norm"])
-                m = F.create_map(*[x for key, vals in table.items()
-                                   for x in (F.lit(key), lit_array([vals[j] for j in range(len(vals))]))])
-                nl = F.element_at(m, F.col(by))
-            else:
-                vals = {int(r["feature_idx"]): float(r["norm"]) for r in nrows}
-                nl = lit_array([vals[j] for j in range(len(vals))])
-            a = a.withColumn("_u", F.transform("_act", lambda v, j: v / F.get(nl, j)))
-        res = a.withColumn(out, row_l2_normalise("_u", EPS)).drop("_act", "_u")
-        return res
+        group = by if norms != "fit" and by and by in df.columns else None
+        table = {None: np.asarray(self.fit_norms)} if norms == "fit" else self._norms(df, features, group)
+
+        def run(batches):
+            for bt in batches:
+                if bt.num_rows == 0:
+                    continue
+                x, (at, keys) = list_to_matrix(column(bt, features), d), _groups(bt, group)
+                nj = np.array([table[key] for key in keys])
+                y = np.empty((len(x), k))
+                for lo in range(0, len(x), BLOCK_ROWS):
+                    u = activate(act, x[lo : lo + BLOCK_ROWS] @ w + b)[0]
+                    u /= nj[at[lo : lo + BLOCK_ROWS]]
+                    y[lo : lo + BLOCK_ROWS] = u / np.sqrt((u * u).sum(1, keepdims=True) + EPS)
+                cols = dict(zip(bt.schema.names, bt.columns)) | {out: matrix_to_list(y)}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+        made = T.StructField(out, T.ArrayType(T.DoubleType()))
+        fields = {f.name: f for f in df.schema.fields} | {out: made}
+        return df.mapInArrow(run, T.StructType(list(fields.values())))
+
+    def _norms(self, df: DataFrame, features: str, group: str | None) -> dict:
+        """The column norms of the activations, per group: one vector per partition and group is added up."""
+        w, b, act = self.W, self.b, self.activation
+        d, k = w.shape
+
+        def run(batches):
+            total: dict = {}
+            for bt in batches:
+                if bt.num_rows == 0:
+                    continue
+                x, (at, keys) = list_to_matrix(column(bt, features), d), _groups(bt, group)
+                for g, key in enumerate(keys):
+                    v = by_blocks(x if len(keys) == 1 else x[at == g], lambda rows: square_sums(rows, [(w, b)], act))[0]
+                    total[key] = total[key] + v if key in total else v
+            yield from total.items()
+
+        def of_rows(rows):
+            for key, v in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([v.tobytes()], pa.binary())], names=["key", "blob"])
+
+        src = df.select(features, *([group] if group else []))
+        key_type = df.schema[group].dataType if group else T.StringType()
+        kind = to_arrow_type(key_type)
+        sums = src.mapInArrow(lambda batches: of_rows(run(batches)), T.StructType([T.StructField("key", key_type), T.StructField("blob", T.BinaryType())]))
+        if not group:
+            return {None: np.sqrt(sum_partials(sums.select("blob"), k) + EPS)}
+        added = sums.rdd.map(lambda r: (r[0], np.frombuffer(r[1]))).reduceByKey(np.add, 1 + sums.rdd.getNumPartitions() // 64)
+        return {key: np.sqrt(v + EPS) for key, v in added.collect()}
 
     def to_dict(self) -> dict:
         return {"n_features": self.n_features, "n_iterations": self.n_iterations, "activation": self.activation,
@@ -459,8 +534,8 @@ def fit_stacks(df: DataFrame, d: int, stacks: Sequence[SparseFilter], features:
 def sweep(df: DataFrame, d: int, features_list: Sequence[int], n_layers: int, n_reps: int, n_iterations: int,
           out_path: str, seed: int = 0, features: str = "features") -> DataFrame:
     """M16 + S5: for each width x repetition fit a stack on train+test, transform both parts (norms
-    per part) and store every depth's features, one write per stack, in one partitioned parquet
-    dataset below ``features``; each depth's fitted network goes to ``filters``. A stack that is
+    per part) and store every depth's features, all stacks in one write (a task has rows of one stack),
+    in one partitioned parquet dataset below ``features``; each depth's fitted network goes to ``filters``. A stack that is
     run again replaces its own partitions."""
     from kestrel.sources.sinks import write_json_doc
 
@@ -468,16 +543,21 @@ def sweep(df: DataFrame, d: int, features_list: Sequence[int], n_layers: int, n_
     src = persist(df.select("row_id", "part", features))
     runs = [(int(nf), rep) for nf in features_list for rep in range(int(n_reps))]
     stacks = fit_stacks(src, d, [SparseFilter(n_layers, n_iterations, nf, seed=seed + 7919 * rep + nf) for nf, rep in runs], features)
-    for (nf, rep), sf in zip(runs, stacks):
+
+    def stored(run) -> DataFrame:
+        (nf, rep), sf = run
         full = sf.transform(src, features, "batch", "part")
         depths = F.array(*[F.struct(F.lit(k).alias("n_layers"), F.slice("sf_features", 1, k * int(nf)).alias("features"))
                            for k in range(1, len(sf.layers) + 1)])
-        rows = full.select("row_id", "part", F.explode(depths).alias("_d")).select(
+        for sub in sf.sub_networks():
+            write_json_doc(spark, sub.to_dict(), f"{out_path}/filters/{len(sub.layers)}-{int(nf)}-{int(n_iterations)}-{rep}")
+        return full.select("row_id", "part", F.explode(depths).alias("_d")).select(
             "row_id", "part", "_d.features", "_d.n_layers", F.lit(int(nf)).alias("n_features"),
             F.lit(int(n_iterations)).alias("n_iter"), F.lit(rep).alias("n_rep"))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+    rows = side_by_side(stored, zip(runs, stacks))
+    if rows:
+        (functools.reduce(DataFrame.union, rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("n_layers", "n_features", "n_iter", "n_rep", "part").parquet(f"{out_path}/features"))
-        for sub in sf.sub_networks():
-            write_json_doc(spark, sub.to_dict(), f"{out_path}/filters/{len(sub.layers)}-{int(nf)}-{int(n_iterations)}-{rep}")
     src.unpersist()
     return spark.read.parquet(f"{out_path}/features")
