@@ -17,6 +17,18 @@ def spark():
     yield s
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_kept_from_other_modules():
+    """What earlier modules' frames keep cached doesn't count in a module that asks what is kept."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        for rdd in list(sc._jsc.getPersistentRDDs().values()):
+            rdd.unpersist()
+    yield
+
+
 @pytest.fixture()
 def tmpdir_path(tmp_path):
     return str(tmp_path)
